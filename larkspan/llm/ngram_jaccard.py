@@ -275,9 +275,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     # band buckets of two classes or more; a bucket's smallest document links the others to it
     keyed = classes.select(F.col("copy_id").alias("doc_id"), "k1", "k2").join(signed.select("doc_id", "k1", "k2", "bands"), ["doc_id", "k1", "k2"])
     keys = keyed.select("doc_id", F.explode("bands").alias("band"))
-    hubs = keys.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("band", "a")
-    edges = keys.join(hubs, "band").filter("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    comps = components(edges)
+    hubs = keys.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("b")).filter("hub < b").select("band", "hub")
+    stars = stored(keys.join(hubs, "band").select("doc_id", "hub"), "stars")
+    # every document hooks onto its smallest hub; what is left to connect are those, and in a group of near copies they are few
+    hooks = stored(stars.groupBy("doc_id").agg(F.min("hub").alias("hook")), "hooks")
+    between = stars.join(hooks, "doc_id").select(F.col("hook").alias("a"), "hub").distinct()
+    between = between.join(hooks.select(F.col("doc_id").alias("hub"), F.col("hook").alias("b")), "hub").select("a", "b").distinct()
+    joined = components(between)
+    comps = hooks.join(joined.select(F.col("node").alias("hook"), "comp"), "hook", "left").select(F.col("doc_id").alias("node"), F.coalesce("comp", "hook").alias("comp"))
     members = comps.join(classes.select(F.col("copy_id").alias("node"), "copies", "n"), "node")
     totals = comps.join(classes.select(F.col("copy_id").alias("node"), "n"), "node").groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
     by_docs = F.ceil(F.col("size") / F.greatest(F.lit(BLOCK), F.least(F.lit(MOST), F.floor(F.col("size") / 32))))
