@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,10 @@ from larkspan.llm._common import small_batches, stored, table
 CAPACITY = 2048
 END = 0
 SALTS = 64
-#: Chunks of text whose ids a task remembers.
-CACHE = 400_000
+#: Chunks of text whose ids a worker remembers; some 150 bytes each.
+CACHE = 1_000_000
+#: Marks that never join a run of letters. The apostrophe does: the file's pattern knows endings like 's.
+MARKS = ".,;:!?()[]{}*#%&$+-/|=<>\"_~^@"
 
 
 def default_tokenizer() -> str:
@@ -45,11 +49,14 @@ def default_tokenizer() -> str:
 
 
 class ChunkTokenizer:
-    """Ids of a text by the tokenizer file, as little-endian 32-bit words.
-
-    The file's pattern never matches across white space, so the text's ids are
-    those of its chunks between spaces and line feeds, and frequent chunks are
-    encoded once.
+    """Ids of texts by the tokenizer file, as little-endian 32-bit words.
+
+    The file's pattern never matches across white space, so a text's ids are
+    those of its chunks between spaces and line feeds. Chunks are encoded once
+    and looked up from then on. The file lower-cases by character, so chunks are
+    looked up lower-cased, but for texts where that could differ (a capital
+    sigma, whose small form depends on its place) or could make up a special
+    token.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,21 +64,72 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-
-    def __call__(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            new = list({c for c in chunks if c not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            known[""] = b""
-            new = list(set(chunks) - {""})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+
+    def learn(self, fresh: list[str]) -> None:
+        """Remembers the ids of chunks. A chunk of letters and ASCII marks after them has the ids of both; letters alone are encoded many at a time and told apart by their ends."""
+        known, marks, letters, other = self.known, {}, set(), []
+        for c in fresh:
+            head = c.rstrip(MARKS)
+            if head.isalpha() and len(head) < 200:
+                if len(head) < len(c):
+                    tail = c[len(head) :]
+                    marks[c] = (head, tail)
+                    if tail not in known:
+                        other.append(tail)
+                if head not in known:
+                    letters.add(head)
+            else:
+                other.append(c)
+        encode = lambda parts: self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        words = list(letters)
+        for a in range(0, len(words), 1000):
+            part = words[a : a + 1000]
+            ids = np.array(encode([" ".join(part)])[0].ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(part):
+                raw, at = ids.tobytes(), [0, *(4 * at).tolist()]
+                known.update(zip(part, [raw[x:y] for x, y in zip(at, at[1:], strict=False)], strict=True))
+            else:
+                other += part
+        for a in range(0, len(other), 1000):
+            part = other[a : a + 1000]
+            known.update(zip(part, (array("I", e.ids).tobytes() for e in encode(part)), strict=True))
+        for c, (head, tail) in marks.items():
+            known[c] = known[head] + known[tail]
+
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        if "<|" not in text and "\u03a3" not in text:
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        get, out, late = self.known.get, [], []
+        for k, text in enumerate(texts):
+            found = list(map(get, chunks := self.chunks(text)))
+            if None in found:
+                late.append((k, chunks, found))
+                out.append(b"")
+            else:
+                out.append(b"".join(found))
+        if late:
+            fresh = list({c for _, chunks, found in late for c, x in zip(chunks, found, strict=True) if x is None})
+            self.learn(fresh)
+            for k, chunks, _ in late:
+                out[k] = b"".join(map(get, chunks))
+            if len(self.known) > CACHE:
+                self.known.clear()
+                self.known[""] = b""
+        return out
+
+
+@lru_cache(maxsize=2)
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
+    """One for each worker process, so that its tasks share what it remembers."""
+    return ChunkTokenizer(path)
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -79,11 +137,12 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 def _cut(path: str, capacity: int):
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = ChunkTokenizer(path), np.array([END], "<u4").tobytes()
+        encode, end = chunk_tokenizer(path), np.array([END], "<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(texts), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)))

@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,8 @@ from larkspan.llm._common import small_batches, table
 
 SPACE = "▁"
 PENALTY = 10.0
-CACHE = 300_000
+#: Segments whose ids a worker remembers.
+CACHE = 800_000
 
 
 def default_model() -> str:
@@ -123,9 +125,15 @@ class Codec:
         return text.replace(SPACE, " ")[1:]
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """One for each worker process, so that its tasks share what it remembers."""
+    return Codec(path)
+
+
 def _coded(path: str):
     def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for b in batches:
             n, crc, chars, same = [], [], [], []
             for text in b.column(1).to_pylist():
@@ -148,7 +156,7 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for t in texts:
             yield pd.Series([np.frombuffer(codec.encode(x or ""), "<u4").astype("int32") for x in t], dtype=object)
 
