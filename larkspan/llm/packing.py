@@ -111,15 +111,17 @@ class ChunkTokenizer:
         for k, text in enumerate(texts):
             found = list(map(get, chunks := self.chunks(text)))
             if None in found:
-                late.append((k, chunks, found))
+                late.append((k, found, [(i, c) for i, (c, x) in enumerate(zip(chunks, found, strict=True)) if x is None]))
                 out.append(b"")
             else:
                 out.append(b"".join(found))
         if late:
-            fresh = list({c for _, chunks, found in late for c, x in zip(chunks, found, strict=True) if x is None})
+            fresh = list({c for _, _, new in late for _, c in new})
             self.learn(fresh)
-            for k, chunks, _ in late:
-                out[k] = b"".join(map(get, chunks))
+            for k, found, new in late:
+                for i, c in new:
+                    found[i] = get(c)
+                out[k] = b"".join(found)
             if len(self.known) > CACHE:
                 self.known.clear()
                 self.known[""] = b""
