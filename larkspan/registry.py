@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from larkspan.plans import ground, nodes, reports
+
+PLANS = (reports, ground, nodes)
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for plan in PLANS for name, fn in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
