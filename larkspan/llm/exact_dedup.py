@@ -183,8 +183,8 @@ def exact_duplicates(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
 
 def without_exact_duplicates(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     """docs, all columns, without the rows that an equal text with a larger doc_id replaces."""
-    gone = exact_duplicates(docs, budget).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = exact_duplicates(docs, budget).filter(~F.col("kept")).select(F.col("doc_id").alias("__larkspan_gone"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__larkspan_gone"), "left_anti")
 
 
 SQL = """

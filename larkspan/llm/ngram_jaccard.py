@@ -303,8 +303,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one document of each class of linked documents: the smallest doc_id."""
-    gone = near_duplicates(docs).filter("class_id < doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs).filter("class_id < doc_id").select(F.col("doc_id").alias("__larkspan_gone"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__larkspan_gone"), "left_anti")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

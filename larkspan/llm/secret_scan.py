@@ -118,16 +118,16 @@ def ratio(token: Column, model: Column) -> Column:
 
 
 def secret_spans(docs: DataFrame, model: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with _base and _spans added: arrays of (start, kind, end, value), sorted; kind is an index into KINDS, or len(KINDS) for markov."""
+    """docs with __larkspan_base and __larkspan_spans added: arrays of (start, kind, end, value), sorted; kind is an index into KINDS, or len(KINDS) for markov."""
     if model is None:
         model = likelihood_ratios(labelled_samples(docs))
     held = F.from_json(F.lit(json.dumps(model)), "array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(*[matches(text, p, g, least, quick, k) for k, (_, p, g, least, quick) in enumerate(KINDS)]))
     tokens = matches(text, TOKEN, 0, MIN_TOKEN, TOKEN, len(KINDS))
-    free = F.filter("_tokens", lambda t: (F.size("_base") == 0) | ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    free = F.filter("__larkspan_tokens", lambda t: (F.size("__larkspan_base") == 0) | ~F.exists("__larkspan_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     random = F.filter(free, lambda t: ratio(t["value"], held) > threshold)
-    return docs.withColumn("_base", base).withColumn("_tokens", tokens).withColumn("_spans", F.when(F.size("_tokens") == 0, F.col("_base")).otherwise(F.array_sort(F.concat("_base", random)))).drop("_tokens")
+    return docs.withColumn("__larkspan_base", base).withColumn("__larkspan_tokens", tokens).withColumn("__larkspan_spans", F.when(F.size("__larkspan_tokens") == 0, F.col("__larkspan_base")).otherwise(F.array_sort(F.concat("__larkspan_base", random)))).drop("__larkspan_tokens")
 
 
 def listed(spans: str) -> Column:
@@ -137,10 +137,10 @@ def listed(spans: str) -> Column:
 
 def scan_secrets(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans."""
-    found = secret_spans(docs.select("doc_id", "text"), model).select("doc_id", "_base", "_spans")
-    of = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long")
+    found = secret_spans(docs.select("doc_id", "text"), model).select("doc_id", "__larkspan_base", "__larkspan_spans")
+    of = lambda k: F.size(F.filter("__larkspan_spans", lambda s: s["kind"] == k)).cast("long")
     counts = [of(k).alias(f"n_{name}") for k, name in enumerate([*[k[0] for k in KINDS], "markov"])]
-    return found.select("doc_id", *counts, F.sha2(listed("_base"), 256).alias("base_sha256"), listed("_spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed("__larkspan_base"), 256).alias("base_sha256"), listed("__larkspan_spans").alias("spans"))
 
 
 def redacted(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
@@ -155,10 +155,10 @@ def redacted(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
         new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit("["), F.get(names, s["kind"]), F.lit("]"))).otherwise(acc["out"])
         return F.struct(new.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))))
+    text = F.when(F.size("__larkspan_spans") == 0, F.col("text")).otherwise(F.aggregate("__larkspan_spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))))
     found = found.withColumn("text", text)
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        found = found.withColumn("n_chars", F.when(F.size("__larkspan_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

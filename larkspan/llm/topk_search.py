@@ -108,6 +108,8 @@ def _searched(queries, k: int):
                             low[i] = best[i][1][-1]
         for a in range(0, len(qid), 4096):
             some = [i for i in range(a, min(a + 4096, len(qid))) if len(best[i][0])]
+            if not some:
+                continue
             yield pd.DataFrame({"query_id": [qid[i] for i in some], "ids": [best[i][0] for i in some], "scores": [best[i][1] for i in some]})
 
     return search
