@@ -23,20 +23,21 @@ def gap_sessions(df: DataFrame, keys: list[str], gap: int, ties: list[str], star
 
 
 def worst_window(df: DataFrame, keys: list[str], width: int, start: str = "t0", end: str = "t1") -> DataFrame:
-    """keys, worst, worst_from: the most time on, in any window of that width, and the earliest window that has it.
+    """keys, worst, worst_from: the most time on, in any window of that width, and the first window that has it: by start of an interval, else by end.
 
     A best window begins at a start or ends at an end. Rows and windows meet by
     buckets of the width, so no key's rows are paired with all others; intervals
     are width long at most.
     """
     spans = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    marks = spans.select(*keys, F.explode(F.array(F.col("_s"), F.col("_e") - width)).alias("_lo")).distinct()
+    mark = lambda lo, kind: F.struct(lo.alias("_lo"), F.lit(kind).alias("_kind"))
+    marks = spans.select(*keys, F.inline(F.array(mark(F.col("_s"), 0), mark(F.col("_e") - width, 1)))).groupBy(*keys, "_lo").agg(F.min("_kind").alias("_kind"))
     bucket = lambda c: F.floor(c / width)
     marks = marks.withColumn("_b", F.explode(F.sequence(bucket(F.col("_lo")) - 1, bucket(F.col("_lo")) + 1)))
     met = marks.join(spans.withColumn("_b", bucket(F.col("_s"))), [*keys, "_b"])
     on = F.greatest(F.lit(0).cast("long"), F.least(F.col("_e"), F.col("_lo") + width) - F.greatest(F.col("_s"), F.col("_lo")))
-    totals = met.groupBy(*keys, "_lo").agg(F.sum(on).alias("_on"))
-    best = totals.groupBy(*keys).agg(F.max(F.struct(F.col("_on"), (-F.col("_lo")).alias("_first"))).alias("_b"))
+    totals = met.groupBy(*keys, "_lo", "_kind").agg(F.sum(on).alias("_on"))
+    best = totals.groupBy(*keys).agg(F.max(F.struct(F.col("_on"), (-F.col("_kind")).alias("_k"), (-F.col("_lo")).alias("_first"))).alias("_b"))
     return best.select(*keys, F.col("_b._on").alias("worst"), (-F.col("_b._first")).alias("worst_from"))
 
 

@@ -153,9 +153,9 @@ def worst_hour(spark, sf_dir):
     return intervals.worst_window(bridge.frames(spark, sf_dir), ["sid", "freq"], HOUR)
 
 
-SQL["worst_hour"] = f"""WITH {FRAMES}, m AS (SELECT DISTINCT sid, freq, unnest([t0, t1 - {HOUR}]) AS lo FROM frames),
-o AS (SELECT m.sid, m.freq, lo, sum(greatest(0, least(t1, lo + {HOUR}) - greatest(t0, lo))) AS on_air FROM m JOIN frames f ON f.sid = m.sid AND f.freq = m.freq AND f.t0 < lo + {HOUR} AND f.t1 > lo GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY sid, freq ORDER BY on_air DESC, lo) AS k FROM o)
+SQL["worst_hour"] = f"""WITH {FRAMES}, m AS (SELECT sid, freq, lo, min(kind) AS kind FROM (SELECT sid, freq, t0 AS lo, 0 AS kind FROM frames UNION ALL SELECT sid, freq, t1 - {HOUR}, 1 FROM frames) GROUP BY ALL),
+o AS (SELECT m.sid, m.freq, lo, m.kind, sum(greatest(0, least(t1, lo + {HOUR}) - greatest(t0, lo))) AS on_air FROM m JOIN frames f ON f.sid = m.sid AND f.freq = m.freq AND f.t0 < lo + {HOUR} AND f.t1 > lo GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY sid, freq ORDER BY on_air DESC, kind, lo) AS k FROM o)
 SELECT sid, freq, CAST(on_air AS BIGINT) AS worst, lo AS worst_from FROM r WHERE k = 1"""
 
 

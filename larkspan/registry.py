@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspan.plans import ground, nodes, reports
+from larkspan.plans import ground, live, nodes, reports
 
-PLANS = (reports, ground, nodes)
+PLANS = (reports, ground, nodes, live)
 
 
 def queries() -> dict:
