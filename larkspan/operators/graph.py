@@ -72,3 +72,33 @@ def greedy_coverage(covers: DataFrame, weights: DataFrame, picks: int, k: int =
         mine = covers.filter(F.col("cand") == top["cand"]).select("item", F.lit(1).alias("one")).distinct()
         held = cut(held.join(mine, "item", "left").select("item", "w", (F.col("n") + F.coalesce("one", F.lit(0))).cast("long").alias("n")))
     return spark.createDataFrame(out, "step long, cand long, gain double" if out and isinstance(out[0][2], float) else "step long, cand long, gain long")
+
+
+def improve_by_swaps(covers: DataFrame, weights: DataFrame, chosen: list[int], k: int = 1, rounds: int = 20) -> tuple[list[int], float]:
+    """Swaps a chosen candidate for another one as long as that raises the covered weight; the best swap first, ties to smaller candidates.
+
+    Returns the candidates, in their places, and the weight. A round is one
+    distributed evaluation: what removal loses, what insertion gains, and what
+    both share; only the best swap comes to the driver.
+    """
+    chosen = list(chosen)
+    for _ in range(rounds):
+        counts = covers.filter(F.col("cand").isin(chosen)).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+        held = cut(covers.join(weights, "item").join(counts, "item", "left").select("cand", "item", "w", F.coalesce("n", F.lit(0)).alias("n")))
+        inside = F.col("cand").isin(chosen)
+        loss = held.filter(inside & (F.col("n") <= k)).groupBy(F.col("cand").alias("out")).agg(F.sum("w").alias("loss"))
+        gain = held.filter(~inside & (F.col("n") < k)).groupBy(F.col("cand").alias("into")).agg(F.sum("w").alias("gain"))
+        # an item at exactly k that both cover is lost by the removal and won back by the insertion
+        edge = held.filter(F.col("n") == k)
+        both = edge.filter(inside).select(F.col("cand").alias("out"), "item", "w").join(edge.filter(~inside).select(F.col("cand").alias("into"), "item"), "item").groupBy("out", "into").agg(F.sum("w").alias("back"))
+        everyone = covers.select("cand").distinct()
+        outs = everyone.filter(inside).select(F.col("cand").alias("out")).join(loss, "out", "left").withColumn("one", F.lit(1))
+        intos = everyone.filter(~inside).select(F.col("cand").alias("into")).join(gain, "into", "left").withColumn("one", F.lit(1))
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        swaps = outs.join(intos, "one").join(both, ["out", "into"], "left").select("out", "into", (zero("gain") - zero("loss") + zero("back")).alias("delta"))
+        best = swaps.orderBy(F.desc("delta"), "out", "into").first()
+        if best is None or best["delta"] <= 1e-9:
+            break
+        chosen[chosen.index(best["out"])] = best["into"]
+    covered = covers.filter(F.col("cand").isin(chosen)).groupBy("item").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n")).join(weights, "item")
+    return chosen, covered.agg(F.sum(F.col("w") * F.col("n"))).first()[0] or 0

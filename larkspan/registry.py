@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspan.plans import ground, live, nodes, reports
+from larkspan.plans import ground, live, nodes, reports, terrain
 
-PLANS = (reports, ground, nodes, live)
+PLANS = (reports, ground, nodes, live, terrain)
 
 
 def queries() -> dict:

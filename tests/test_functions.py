@@ -107,3 +107,58 @@ def test_selection(spark):
     assert (node(tags="x") - node(role="r")).pick(df) == ["a"] and (node(id=1) & node(id=2)).pick(df) == []
     with pytest.raises(ValueError):
         node(colour="red").pick(df)
+
+
+def test_projection(spark):
+    from larkspan.functions import geo
+
+    points = [(52.5163, 13.3777), (0.0, 15.0), (-33.9, 17.2), (69.6, 12.01), (52.0, 18.0)]
+    df = spark.createDataFrame(points, "lat double, lon double")
+    x, y = geo.utm(F.col("lat"), F.col("lon"), 33)
+    both = df.withColumn("x", x).withColumn("y", y)
+    lat, lon = geo.degrees_of_utm(F.col("x"), F.col("y"), 33)
+    out = both.select("lat", "lon", "x", "y", lat.alias("la"), lon.alias("lo")).collect()
+    for r in out:
+        assert abs(r.la - r.lat) < 1e-10 and abs(r.lo - r.lon) < 1e-10
+    gate = next(r for r in out if r.lat == 52.5163)
+    assert abs(gate.x - 389_912) < 30 and abs(gate.y - 5_819_700) < 60
+    origin = next(r for r in out if r.lat == 0.0)
+    assert abs(origin.x - 500_000) < 1e-6 and abs(origin.y) < 1e-6
+
+
+def test_polygons(spark):
+    from larkspan.functions import geo
+
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    df = spark.createDataFrame([(square, 1.0, 1.0), (square, 5.0, 1.0), ([(1.0, 2.0), (3.0, 4.0)], 1.0, 1.0)], "ring array<struct<x:double,y:double>>, x double, y double")
+    r = df.select(geo.ring_area(F.col("ring")).alias("a"), geo.ring_centroid(F.col("ring")).alias("c"), geo.in_ring(F.col("x"), F.col("y"), F.col("ring")).alias("i")).collect()
+    assert [x.a for x in r] == [16.0, 16.0, 0.0] and tuple(r[0].c) == (2.0, 2.0) and tuple(r[2].c) == (1.0, 2.0)
+    assert [x.i for x in r[:2]] == [True, False]
+
+
+def test_paths(spark):
+    from larkspan.functions import paths
+
+    flat = spark.createDataFrame([([0.0, 50.0, 100.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]), ([0.0, 50.0, 100.0], [0.0, 0.0, 0.0], [0.0, 30.0, 0.0]), ([0.0, 100.0], [0.0, 0.0], [0.0, 0.0])], "d array<double>, h array<double>, g array<double>")
+    out = [r[0] for r in flat.select(paths.near_field_loss(F.lit(869.525), F.col("d"), F.col("h"), F.col("g"), F.lit(10.0), F.lit(10.0))).collect()]
+    free = 32.44 + 20 * math.log10(869.525) + 20 * math.log10(0.1)
+    assert out[0] == pytest.approx(free) and out[1] > free + 15 and out[2] is None
+    assert one(spark, paths.knife_edge(F.lit(0.0))) == pytest.approx(6.9 + 20 * math.log10(math.sqrt(1.01) - 0.1))
+    assert one(spark, paths.height_gain(F.lit(0.868), F.lit(12.0), F.lit(10.0), F.lit(27.0), F.lit(True))) == 0.0
+    assert one(spark, paths.height_gain(F.lit(0.868), F.lit(1.5), F.lit(15.0), F.lit(27.0), F.lit(True))) > 5
+    assert tuple(one(spark, paths.estimated_height(F.lit(None).cast("double"), F.lit(60.0), F.lit(3.0), F.lit(5)))) == (30.0, "building")
+
+
+def test_swaps_never_lose_and_reach_the_best(spark):
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    covers = {c: {rng.randrange(25) for _ in range(rng.randint(2, 8))} for c in range(8)}
+    weights = {i: rng.randint(1, 9) for i in range(25)}
+    value = lambda s: sum(weights[i] for i in set().union(*(covers[c] for c in s)))
+    a = spark.createDataFrame([(c, i) for c, s in covers.items() for i in s], "cand long, item long")
+    chosen, total = graph.improve_by_swaps(a, spark.createDataFrame(list(weights.items()), "item long, w long"), [0, 1, 2])
+    assert total == value(chosen) >= value([0, 1, 2]) and len(set(chosen)) == 3
+    for out, into in itertools.product(chosen, set(range(8)) - set(chosen)):
+        assert value([c for c in chosen if c != out] + [into]) <= total
