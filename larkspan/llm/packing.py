@@ -110,11 +110,11 @@ class ChunkTokenizer:
         get, out, late = self.known.get, [], []
         for k, text in enumerate(texts):
             found = list(map(get, chunks := self.chunks(text)))
-            if None in found:
-                late.append((k, found, [(i, c) for i, (c, x) in enumerate(zip(chunks, found, strict=True)) if x is None]))
-                out.append(b"")
-            else:
+            try:
                 out.append(b"".join(found))
+            except TypeError:  # some are unknown
+                late.append((k, found, [(i, chunks[i]) for i, x in enumerate(found) if x is None]))
+                out.append(b"")
         if late:
             fresh = list({c for _, _, new in late for _, c in new})
             self.learn(fresh)
