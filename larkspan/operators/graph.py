@@ -102,3 +102,18 @@ def improve_by_swaps(covers: DataFrame, weights: DataFrame, chosen: list[int], k
         chosen[chosen.index(best["out"])] = best["into"]
     covered = covers.filter(F.col("cand").isin(chosen)).groupBy("item").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n")).join(weights, "item")
     return chosen, covered.agg(F.sum(F.col("w") * F.col("n"))).first()[0] or 0
+
+
+def relayed_hops(links: DataFrame, pairs: DataFrame, forwarders: DataFrame, limit: int = 64) -> DataFrame:
+    """src, dst, d of each pair: the fewest hops through forwarders only. Unlike hops(), a pair of one node counts the shortest way round; pairs without a way are left out."""
+    front = cut(pairs.select("src").distinct().select("src", F.col("src").alias("node")))
+    passed, found = front, None
+    for k in range(1, limit + 1):
+        near = cut(front.join(links.select(F.col("a").alias("node"), F.col("b").alias("to")), "node").select("src", F.col("to").alias("node")).distinct())
+        hit = near.join(pairs.select("src", F.col("dst").alias("node")).distinct(), ["src", "node"]).select("src", F.col("node").alias("dst"), F.lit(k).cast("long").alias("d"))
+        found = cut(hit if found is None else found.unionByName(hit.join(found, ["src", "dst"], "left_anti")))
+        front = cut(near.join(forwarders.select("node").distinct(), "node", "left_semi").select("src", "node").join(passed, ["src", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        passed = cut(passed.unionByName(front))
+    return found

@@ -181,6 +181,17 @@ def hop_counts_forwarding(spark, sf_dir):
 SQL["hop_counts_forwarding"] = f"WITH RECURSIVE {_HOPS}, r(src, node, d) AS (SELECT id, id, 0 FROM n WHERE id < 10 UNION SELECT src, l.b, d + 1 FROM r JOIN l ON l.a = r.node WHERE d < 20 AND (d = 0 OR r.node % 3 = 0)) SELECT src, node, CAST(min(d) AS BIGINT) AS d FROM r GROUP BY src, node"
 
 
+def delivery_hops(spark, sf_dir):
+    """Hops of messages between some stations, passed on by transport nodes; the way round for a station's message to itself."""
+    s = bridge.stations(spark, sf_dir).filter(F.col("id") < 12).select(F.col("id").alias("src"))
+    pairs_ = s.withColumn("dst", F.explode(F.array(F.col("src"), (F.col("src") * 5 + 2) % STATIONS, (F.col("src") + 40) % STATIONS)))
+    via = bridge.nodes(spark, sf_dir).filter("role = 'transport'").select(F.col("id").alias("node"))
+    return graph.relayed_hops(_hop_links(spark, sf_dir), pairs_, via)
+
+
+SQL["delivery_hops"] = f"WITH RECURSIVE {_HOPS}, q AS (SELECT DISTINCT id AS src, unnest([id, (id * 5 + 2) % {STATIONS}, (id + 40) % {STATIONS}]) AS dst FROM n WHERE id < 12), r(src, node, d) AS (SELECT id, id, 0 FROM n WHERE id < 12 UNION SELECT src, l.b, d + 1 FROM r JOIN l ON l.a = r.node WHERE d < 20 AND (d = 0 OR r.node % 3 = 0)) SELECT q.src, q.dst, CAST(min(d) AS BIGINT) AS d FROM q JOIN r ON r.src = q.src AND r.node = q.dst AND d > 0 GROUP BY q.src, q.dst"
+
+
 def network_diameter(spark, sf_dir):
     """The longest of the shortest ways, and ordered pairs without one."""
     s = bridge.stations(spark, sf_dir).select(F.col("id").alias("src"))

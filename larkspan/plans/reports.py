@@ -460,4 +460,17 @@ round((8 + 4.25) * sym + (8.0 + greatest(ceil((8.0 * (power + 10) - 4.0 * g.sf +
 round(pow(10.0, power / 10.0), 6) AS mw, CAST(list_max(list_filter({radio.POWER_LADDER}, lambda p: p <= power)) AS BIGINT) AS step FROM g JOIN m ON m.sf = g.sf AND m.osf = 9"""
 
 
+def audible_links(spark, sf_dir):
+    """Pairs of stations that would decode each other's frames, by the made-up path loss and each sender's most common setting."""
+    s = common_setting(spark, sf_dir).filter(F.col("freq") == CALLING).select("sf", "bw", "power")
+    n = bridge.stations(spark, sf_dir).select("id")
+    a, b = n.select(F.col("id").alias("tx"), F.lit(1).alias("one")), n.select(F.col("id").alias("rx"), F.lit(1).alias("one"))
+    pairs = a.join(b, "one").filter("tx <> rx").join(s.withColumn("one", F.lit(1)), "one")
+    level = (F.col("power") - (F.lit(100) + (F.col("tx") * 31 + F.col("rx") * 17) % 60)).cast("double")
+    return pairs.filter(radio.audible(level, F.col("bw"), F.col("sf"))).select("tx", "rx", level.alias("level"))
+
+
+SQL["audible_links"] = f"WITH c AS (SELECT * FROM ({SQL['common_setting']}) WHERE freq = {CALLING}), n AS (SELECT c_custkey AS id FROM customer WHERE c_custkey <= {STATIONS}), p AS (SELECT a.id AS tx, b.id AS rx, c.sf, c.bw, CAST(c.power - (100 + (a.id * 31 + b.id * 17) % 60) AS DOUBLE) AS level FROM n a, n b, c WHERE a.id <> b.id) SELECT tx, rx, level FROM p c WHERE level >= -168.0 + 10.0 * log10(bw) + {_SENS}"
+
+
 QUERIES = {name: globals()[name] for name in SQL}

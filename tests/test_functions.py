@@ -48,9 +48,9 @@ def test_text(spark):
     assert one(spark, text.small_uint(lit(7.5))) is None and one(spark, text.small_uint(lit(255.0))) == 255
     assert one(spark, text.level_height(lit("12 m"))) == 12.0 and one(spark, text.level_height(lit("10'6\""))) == pytest.approx(3.2004)
     h = 0
-    for c in "rnpath":
+    for c in "status":
         h = (h * 31 + ord(c)) % 256
-    assert one(spark, text.query_id(lit("rnpath"))) == 0x20 + h % 160
+    assert one(spark, text.query_id(lit("status"))) == 0x20 + h % 160
 
 
 def test_quantiles(spark):
@@ -162,3 +162,23 @@ def test_swaps_never_lose_and_reach_the_best(spark):
     assert total == value(chosen) >= value([0, 1, 2]) and len(set(chosen)) == 3
     for out, into in itertools.product(chosen, set(range(8)) - set(chosen)):
         assert value([c for c in chosen if c != out] + [into]) <= total
+
+
+def test_frame_kinds(spark):
+    from larkspan.functions import frames
+
+    def packet(kind, context, address=b"\x11" * 16, data=b"", two=False, flags=0):
+        return bytes([0, kind | flags | (0x40 if two else 0), 3]) + (b"\x22" * 16 if two else b"") + address + bytes([context]) + data
+
+    announce = b"\x33" * 64 + frames.name_hash("lxmf.delivery") + b"\x44" * 20
+    cases = [
+        (b"", 0, "empty"), (None, 0, "empty"), (b"\xc2\x01\x02\x03", 0, "call HAIL"), (b"\x04\x10\x00\x00", 0, "power request"), (packet(0, 0), 2, None),
+        (b"\x00\x01", 0, "other"), (packet(0, 0, flags=0x80), 0, "other"), (packet(1, 0, data=announce), 0, "announce lxmf.delivery"), (packet(1, 0, data=announce, two=True), 1, "announce lxmf.delivery"),
+        (packet(1, 0, data=b"x" * 80), 0, "announce other"), (packet(1, 0x0B, data=announce), 0, "path response"), (packet(2, 0), 0, "link request"), (packet(3, 0xFF), 0, "link proof"), (packet(3, 1), 0, "proof"),
+        (packet(0, 0, frames.plain_address("rnstransport.path.request")), 0, "path request"), (packet(0, 0xFE), 0, "link control"), (packet(0, 5), 0, "resource"), (packet(0, 0x0E), 0, "data"),
+    ]
+    df = spark.createDataFrame([(i, p, part) for i, (p, part, _) in enumerate(cases)], "i int, p binary, part int")
+    out = df.select("i", frames.kind_of(F.col("p"), F.col("part")).alias("k"), frames.announced(F.col("p"), F.col("part")).alias("a")).orderBy("i").collect()
+    assert [r.k for r in out] == [k for _, _, k in cases]
+    assert tuple(out[8].a) == ("11" * 16, 3) and out[2].a is None and out[15].a is None
+    assert [one(spark, frames.calling_class(F.lit(k))) for k in ("announce other", "call HAIL", "call GOT", "data")] == ["announces_and_path", "hails", "calls_other", "unicast"]

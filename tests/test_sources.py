@@ -84,7 +84,7 @@ def test_map_logs_and_grids(spark, tmp_path):
     assert (got[0].key, got[0].kind, got[0].lat, got[0].stamp) == ("", "unknown", None, None)
     assert (got[1].kind, got[1].lat, got[1].stamp) == ("repeater", 52.5, 1_767_323_099)
     (tmp_path / "nodes/n1").mkdir(parents=True)
-    write(tmp_path / "nodes/n1/log", "\x1b[32mSep 25 10:00:07.000 I [lxmf] id 0: DIRECT delivered mid=o_1_ab\x1b[0m\nSep 25 10:00:09.500 I again mid=o_1_ab\nno stamp mid=o_2\n")
+    write(tmp_path / "nodes/n1/log", "\x1b[32mSep 25 10:00:07.000 I [mail] id 0: DIRECT delivered mid=o_1_ab\x1b[0m\nSep 25 10:00:09.500 I again mid=o_1_ab\nno stamp mid=o_2\n")
     log = feeds.read_logs(spark, f"{tmp_path}/nodes/*/log", 1_790_330_400.0, 2026).collect()
     assert [(r.node, r.mid, r.delivered, r.last) for r in log] == [("n1", "o_1_ab", 7.0, " I again mid=o_1_ab")]
     people = write(tmp_path / "census.csv", "id;x_mp_100m;y_mp_100m;Einwohner\nc;4321050;3210050;12\nc;x;1;2\nc;1;2;-1\n")
