@@ -25,6 +25,17 @@ def bucketed(feed: DataFrame, kinds: list[str], box: tuple[float, float, float,
     )
 
 
+def list_bucketed(nodes: DataFrame, box: tuple[float, float, float, float] | None, now: int, days: int | None = 90, ahead: int | None = 7, companions: bool = False) -> DataFrame:
+    """A node list (kind, lat, lon, quality, stamp) with bucket: the first reason to drop a row, or kept. Without days, rows without a stamp are kept too."""
+    inside = F.lit(True) if box is None else F.col("lat").between(box[1], box[3]) & F.col("lon").between(box[0], box[2])
+    bucket = F.when(F.lit(not companions) & (F.col("kind") == "companion"), "wrong kind").when(F.col("lat").isNull() | F.col("lon").isNull(), "no position").when(F.col("quality") == "truncated", "truncated").when(~inside, "outside")
+    if ahead is not None:
+        bucket = bucket.when(F.col("stamp") - now > ahead * DAY, "future")
+    if days is not None:
+        bucket = bucket.when(now - F.col("stamp") > days * DAY, "stale").when(F.col("stamp").isNull(), "no stamp")
+    return nodes.withColumn("bucket", bucket.otherwise("kept"))
+
+
 def newest(rows: DataFrame, key: str, stamp: str, order: str) -> DataFrame:
     """Per key the row with the largest stamp (null least, the earlier of equal ones), with place: the order of the key's first row. Blank keys stand for themselves."""
     own = F.when(F.coalesce(F.col(key), F.lit("")) == "", F.concat(F.lit("row"), F.col(order).cast("string"))).otherwise(F.col(key))

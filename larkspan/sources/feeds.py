@@ -96,6 +96,73 @@ def read_map(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce("public_key", F.lit("")).alias("key"), F.coalesce(F.try_element_at(kinds, F.col("type")), F.lit("unknown")).alias("kind"), F.col("adv_name").alias("name"), F.when(there, F.col("adv_lat")).alias("lat"), F.when(there, F.col("adv_lon")).alias("lon"), rfc3339_seconds(F.col("last_advert")).alias("stamp"))
 
 
+NODE_LIST = "node_id string, num bigint, short_name string, long_name string, role string, last_heard bigint, location_source string, precision_bits bigint, latitude double, longitude double, altitude double, lora_freq double, modem_preset string, protocol string"
+#: What a node list's roles are called here; other roles are lower-cased with dashes.
+ROLES = {
+    "repeater": ["REPEATER"],
+    "room-server": ["ROOM_SERVER", "ROOM"],
+    "companion": ["COMPANION", "CHAT"],
+    "router": ["ROUTER", "ROUTER_LATE", "ROUTER_CLIENT"],
+    "client": ["CLIENT", "CLIENT_MUTE", "CLIENT_HIDDEN", "CLIENT_BASE", "TAK"],
+    "tracker": ["TRACKER", "TAK_TRACKER", "LOST_AND_FOUND"],
+    "sensor": ["SENSOR"],
+}
+#: Positions with fewer bits were blurred on purpose.
+WHOLE_POSITION_BITS = 30
+
+
+def read_node_list(spark: SparkSession, path: str) -> DataFrame:
+    """A node list's JSON array: row, key, num, kind, name, lat, lon, quality (unknown, truncated, fixed or gps), stamp, and the list's own radio columns. No row is rejected."""
+    rows = spark.read.schema(NODE_LIST).option("multiLine", "true").json(path).withColumn("row", F.monotonically_increasing_id())
+    there = F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180) & ~((F.col("latitude") == 0) & (F.col("longitude") == 0))
+    role = F.upper("role")
+    kind = F.when(role.isNotNull(), F.lower(F.regexp_replace("role", "_", "-"))).otherwise("unknown")
+    for name, roles in ROLES.items():
+        kind = F.when(role.isin(roles), name).otherwise(kind)
+    bits = F.col("precision_bits")
+    installed = (F.lower("protocol") == "meshcore") & role.isin("REPEATER", "ROOM_SERVER")
+    quality = F.when(~F.coalesce(there, F.lit(False)), "unknown").when(bits < WHOLE_POSITION_BITS, "truncated").when(F.upper("location_source").contains("MANUAL"), "fixed").when(bits.isNotNull(), "gps").when(installed, "fixed").otherwise("unknown")
+    named = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return rows.select("row", F.col("node_id").alias("key"), "num", kind.alias("kind"), F.coalesce(named("long_name"), named("short_name"), F.lit("")).alias("name"), F.when(there, F.col("latitude")).alias("lat"), F.when(there, F.col("longitude")).alias("lon"), quality.alias("quality"), F.col("last_heard").alias("stamp"), "altitude", "lora_freq", "modem_preset", "protocol")
+
+
+def _sightings(links: DataFrame, nodes: DataFrame, rssi: Column) -> DataFrame:
+    """Observations of links (tx, rx, rx_time, snr) with the positions of both ends, where known."""
+    last = nodes.groupBy("key").agg(F.max_by(F.struct("lat", "lon", "quality"), "row").alias("n"))
+    end = lambda side: last.select(F.col("key").alias(side), F.col("n").alias(f"{side}_n"))
+    held = links.join(end("tx"), "tx", "left").join(end("rx"), "rx", "left")
+    return held.select(F.col("rx_time").alias("time"), "tx", "rx", F.col("tx_n.lat").alias("tx_lat"), F.col("tx_n.lon").alias("tx_lon"), F.col("rx_n.lat").alias("rx_lat"), F.col("rx_n.lon").alias("rx_lon"), F.coalesce("rx_n.quality", F.lit("unknown")).alias("quality"), F.col("snr").cast("float").alias("snr"), rssi.cast("float").alias("rssi"))
+
+
+def read_neighbours(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
+    """Observations of a neighbour list: its reporter heard its neighbour. Ends that nodes (read_node_list) doesn't hold have no position; of rows with one key the last counts."""
+    rows = spark.read.schema("node_id string, neighbor_id string, snr double, rx_time bigint").option("multiLine", "true").json(path)
+    return _sightings(rows.select(F.col("neighbor_id").alias("tx"), F.col("node_id").alias("rx"), "rx_time", "snr"), nodes, F.lit(None))
+
+
+def read_traces(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
+    """Observations of traced routes' two ends, by number; a trace with an end that no node has is left out."""
+    rows = spark.read.schema("src bigint, dest bigint, rx_time bigint, rssi double, snr double").option("multiLine", "true").json(path)
+    ids = nodes.filter("num IS NOT NULL").groupBy("num").agg(F.max_by("key", "row").alias("key"))
+    held = rows.join(ids.select(F.col("num").alias("src"), F.col("key").alias("tx")), "src").join(ids.select(F.col("num").alias("dest"), F.col("key").alias("rx")), "dest")
+    return _sightings(held, nodes, F.col("rssi"))
+
+
+def read_hop_reports(spark: SparkSession, glob: str) -> DataFrame:
+    """hops, paths: the sum over every station's report of its line "by hops: h:n ..."."""
+    pairs = spark.read.text(glob).select(F.explode(F.regexp_extract_all(F.regexp_extract("value", r"by hops:((?:\s*\d+:\d+)+)", 1), F.lit(r"(\d+:\d+)"), F.lit(1))).alias("p"))
+    part = lambda i: F.split_part("p", F.lit(":"), F.lit(i)).cast("long")
+    return pairs.groupBy(part(1).alias("hops")).agg(F.sum(part(2)).alias("paths"))
+
+
+def read_refractivity(spark: SparkSession, path: str, rows: int = 121, cols: int = 241) -> DataFrame:
+    """row, col, v of a world map of whitespace-separated numbers, its size checked. The size is the format's, so a task holds it."""
+    text = spark.read.text(path, wholetext=True)
+    v = F.transform(F.filter(F.split("value", r"\s+"), lambda s: s != ""), lambda s: s.try_cast("double"))
+    checked = F.when((F.size(v) == rows * cols) & ~F.exists(v, lambda x: x.isNull()), v).otherwise(F.raise_error(F.lit(f"the map isn't {rows} by {cols} numbers")))
+    return text.select(F.posexplode(checked).alias("k", "v")).select(F.floor(F.col("k") / cols).cast("int").alias("row"), (F.col("k") % cols).alias("col"), "v")
+
+
 def read_logs(spark: SparkSession, glob: str, epoch_s: float, year: int) -> DataFrame:
     """node, mid, delivered (first, seconds after the epoch), last (the last line's words), from station logs <node>/log."""
     raw = spark.read.text(glob).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("node"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", "\x1b\\[[0-9;]*m", "").alias("line")).filter(F.col("line").contains("mid=o_"))
