@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +15,14 @@ def both_ways(links: DataFrame) -> DataFrame:
     return links.select("a", "b").distinct().join(links.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct(), ["a", "b"], "left_semi")
 
 
-def hops(links: DataFrame, sources: DataFrame, via: DataFrame | None = None, limit: int = 64) -> DataFrame:
+def hops(links: DataFrame, sources: DataFrame, via: DataFrame | None = None) -> DataFrame:
     """src, node, d: the fewest hops from each source (src), itself included at 0.
 
     With via (node), only those pass a message on; a source always does. One
     join and one anti-join a step; each step's lineage is cut.
     """
     found = front = sources.select("src", F.col("src").alias("node"), F.lit(0).cast("long").alias("d"))
-    for k in range(1, limit + 1):
+    for k in itertools.count(1):
         passing = front if via is None or k == 1 else front.join(via.select("node").distinct(), "node", "left_semi")
         near = passing.join(links.select(F.col("a").alias("node"), F.col("b").alias("to")), "node").select("src", F.col("to").alias("node")).distinct()
         front = cut(near.join(found, ["src", "node"], "left_anti").select("src", "node", F.lit(k).cast("long").alias("d")))
@@ -35,10 +37,10 @@ def diameter(reached: DataFrame, nodes: int) -> DataFrame:
     return reached.agg(F.max("d").alias("diameter"), (F.lit(nodes) * F.lit(nodes) - F.count(F.lit(1))).alias("unreached"))
 
 
-def components(links: DataFrame, nodes: DataFrame, limit: int = 64) -> DataFrame:
+def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, comp (the smallest node), by lowering labels and following them; isolated nodes are their own."""
     labels = cut(nodes.select("node", F.col("node").alias("comp")).distinct())
-    for _ in range(limit):
+    while True:
         near = links.join(labels.select(F.col("node").alias("b"), "comp"), "b").select(F.col("a").alias("node"), "comp")
         hooked = labels.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp").select("node", F.col("up").alias("comp"))
         new = cut(near.unionByName(hooked).unionByName(labels).groupBy("node").agg(F.min("comp").alias("comp")).join(nodes.select("node").distinct(), "node", "left_semi"))
@@ -104,11 +106,11 @@ def improve_by_swaps(covers: DataFrame, weights: DataFrame, chosen: list[int], k
     return chosen, covered.agg(F.sum(F.col("w") * F.col("n"))).first()[0] or 0
 
 
-def relayed_hops(links: DataFrame, pairs: DataFrame, forwarders: DataFrame, limit: int = 64) -> DataFrame:
+def relayed_hops(links: DataFrame, pairs: DataFrame, forwarders: DataFrame) -> DataFrame:
     """src, dst, d of each pair: the fewest hops through forwarders only. Unlike hops(), a pair of one node counts the shortest way round; pairs without a way are left out."""
     front = cut(pairs.select("src").distinct().select("src", F.col("src").alias("node")))
     passed, found = front, None
-    for k in range(1, limit + 1):
+    for k in itertools.count(1):
         near = cut(front.join(links.select(F.col("a").alias("node"), F.col("b").alias("to")), "node").select("src", F.col("to").alias("node")).distinct())
         hit = near.join(pairs.select("src", F.col("dst").alias("node")).distinct(), ["src", "node"]).select("src", F.col("node").alias("dst"), F.lit(k).cast("long").alias("d"))
         found = cut(hit if found is None else found.unionByName(hit.join(found, ["src", "dst"], "left_anti")))

@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def every(left: DataFrame, right: DataFrame, blocks: int = 16) -> DataFrame:
+    """Each row of left with each row of right, for matrices that are the answer themselves: left is dealt over blocks by its rows' hash, right copied to each, so no task holds the matrix."""
+    dealt = left.withColumn("_block", F.pmod(F.xxhash64(*left.columns), F.lit(blocks)))
+    return dealt.join(right.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), "_block").drop("_block")
+
+
 def within(points: DataFrame, ident: str, x: str, y: str, radius: int) -> DataFrame:
     """a, b, d2: pairs at most radius apart, a < b. Points meet in a grid of that width: one side goes to its own cell, the other to nine."""
     at = lambda c: F.floor(F.col(c) / radius)

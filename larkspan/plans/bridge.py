@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 #: Carriers in Hz by event type.
 CARRIERS = {"click": 869_525_000, "error": 869_100_000, "purchase": 868_300_000, "signup": 867_500_000, "view": 433_500_000}
 CALLING = 869_525_000
-STATIONS = 150
+#: How many stations the made-up receptions are dealt over.
+RECEIVERS = 150
 #: Longest frame in microseconds, for bucketed joins.
 LONGEST = 600_000_000
 
@@ -43,11 +44,11 @@ FRAMES = f"""frames AS (SELECT event_id AS eid, user_id AS sid, epoch_us(ts) AS
 def receptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """eid, tx, rx, level, verdict: two stations that hear each frame."""
     f = frames(spark, sf_dir).select("eid", F.col("sid").alias("tx"), F.explode(F.array(F.lit(1), F.lit(2))).alias("j"))
-    rx = (F.col("tx") + F.col("j") * (F.col("eid") % 11 + 1)) % STATIONS
+    rx = (F.col("tx") + F.col("j") * (F.col("eid") % 11 + 1)) % RECEIVERS
     return f.select("eid", "tx", rx.cast("long").alias("rx"), (F.col("eid") * 13 % 40 - 130).cast("long").alias("level"), F.when((F.col("eid") + F.col("j")) % 5 == 0, "crc").otherwise("clean").alias("verdict"))
 
 
-RECEPTIONS = f"""receptions AS (SELECT eid, sid AS tx, CAST((sid + j * (eid % 11 + 1)) % {STATIONS} AS BIGINT) AS rx,
+RECEPTIONS = f"""receptions AS (SELECT eid, sid AS tx, CAST((sid + j * (eid % 11 + 1)) % {RECEIVERS} AS BIGINT) AS rx,
   CAST(eid * 13 % 40 - 130 AS BIGINT) AS level, CASE WHEN (eid + j) % 5 = 0 THEN 'crc' ELSE 'clean' END AS verdict
   FROM frames, (VALUES (1), (2)) v(j))"""
 
@@ -67,7 +68,12 @@ NODES = """nodes AS (SELECT c_custkey AS id, c_name AS name, c_custkey * 7919 %
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).filter(F.col("id") <= STATIONS)
+    """id, x, y (metres) of the backbone, whose loss tables and hops are matrices of it."""
+    k = F.col("s_suppkey")
+    return read(spark, sf_dir, "supplier").select(k.cast("long").alias("id"), (k * 4241 % 20000).cast("long").alias("x"), (k * 15013 % 20000).cast("long").alias("y"))
+
+
+STATIONS = "stations AS (SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(s_suppkey * 4241 % 20000 AS BIGINT) AS x, CAST(s_suppkey * 15013 % 20000 AS BIGINT) AS y FROM supplier)"
 
 
 SIDE = 96

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspan.operators import graph, pairs, raster
 from larkspan.plans import bridge
-from larkspan.plans.bridge import CELLS, NODES, SIDE, SITES, STATIONS
+from larkspan.plans.bridge import CELLS, NODES, SIDE, SITES
 
 RADIUS, K = 14, 2
 SQL: dict[str, str] = {}
@@ -117,11 +117,11 @@ def greedy_siting(spark, sf_dir):
 
 
 def _radius_links(spark, sf_dir, radius=900):
-    n = bridge.nodes(spark, sf_dir).filter(F.col("id") <= 1500).select("id", "x", "y")
+    n = bridge.nodes(spark, sf_dir).select("id", "x", "y")
     return pairs.within(n, "id", "x", "y", radius)
 
 
-_RADIUS = "SELECT a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM nodes a JOIN nodes b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 810000 WHERE a.id <= 1500 AND b.id <= 1500"
+_RADIUS = "SELECT a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM nodes a JOIN nodes b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 810000"
 
 
 def radius_pairs(spark, sf_dir):
@@ -145,51 +145,51 @@ def backbone_components(spark, sf_dir):
     """Components of the nodes within 250 m of each other: their size by smallest member."""
     p = _radius_links(spark, sf_dir, 250).select("a", "b")
     both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    n = bridge.nodes(spark, sf_dir).filter(F.col("id") <= 1500).select(F.col("id").alias("node"))
+    n = bridge.nodes(spark, sf_dir).select(F.col("id").alias("node"))
     return graph.components(both, n).groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
 
 
-SQL["backbone_components"] = f"""WITH RECURSIVE {NODES}, n AS (SELECT * FROM nodes WHERE id <= 1500), l AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 62500),
+SQL["backbone_components"] = f"""WITH RECURSIVE {NODES}, n AS (SELECT * FROM nodes), l AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 62500),
 r(s, node) AS (SELECT id, id FROM n UNION SELECT r.s, l.b FROM r JOIN l ON l.a = r.node WHERE l.b > r.s OR l.b < r.s), c AS (SELECT node, min(s) AS comp FROM r GROUP BY node) SELECT comp, count(*) AS members FROM c GROUP BY comp"""
 
 
 def _hop_links(spark, sf_dir):
     e = bridge.stations(spark, sf_dir).select(F.col("id").alias("a"))
-    near = e.select("a", F.explode(F.array((F.col("a") * 3 + 1) % STATIONS, (F.col("a") + 7) % STATIONS)).alias("b")).filter("a <> b")
+    near = e.select("a", F.explode(F.array(F.floor(F.col("a") / 3), F.col("a") - F.col("a") % 7)).alias("b")).filter("a <> b")
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-_HOPS = f"n AS (SELECT c_custkey AS id FROM customer WHERE c_custkey <= {STATIONS}), h AS (SELECT id AS a, (id * 3 + 1) % {STATIONS} AS b FROM n UNION SELECT id, (id + 7) % {STATIONS} FROM n), l AS (SELECT a, b FROM h WHERE a <> b UNION SELECT b, a FROM h WHERE a <> b)"
+_HOPS = "n AS (SELECT CAST(s_suppkey AS BIGINT) AS id FROM supplier), h AS (SELECT id AS a, id // 3 AS b FROM n UNION SELECT id, id - id % 7 FROM n), l AS (SELECT a, b FROM h WHERE a <> b UNION SELECT b, a FROM h WHERE a <> b)"
 
 
 def hop_counts(spark, sf_dir):
-    """Fewest hops from the first ten stations to all."""
-    src = bridge.stations(spark, sf_dir).filter(F.col("id") < 10).select(F.col("id").alias("src"))
+    """Fewest hops from every station to every other."""
+    src = bridge.stations(spark, sf_dir).select(F.col("id").alias("src"))
     return graph.hops(_hop_links(spark, sf_dir), src)
 
 
-SQL["hop_counts"] = f"WITH RECURSIVE {_HOPS}, r(src, node, d) AS (SELECT id, id, 0 FROM n WHERE id < 10 UNION SELECT src, l.b, d + 1 FROM r JOIN l ON l.a = r.node WHERE d < 12) SELECT src, node, CAST(min(d) AS BIGINT) AS d FROM r GROUP BY src, node"
+SQL["hop_counts"] = f"WITH RECURSIVE {_HOPS}, r(src, node, d) AS (SELECT id, id, 0 FROM n UNION SELECT src, l.b, d + 1 FROM r JOIN l ON l.a = r.node WHERE d < 30) SELECT src, node, CAST(min(d) AS BIGINT) AS d FROM r GROUP BY src, node"
 
 
 def hop_counts_forwarding(spark, sf_dir):
     """The same where only transport nodes pass messages on."""
-    src = bridge.stations(spark, sf_dir).filter(F.col("id") < 10).select(F.col("id").alias("src"))
+    src = bridge.stations(spark, sf_dir).select(F.col("id").alias("src"))
     via = bridge.nodes(spark, sf_dir).filter("role = 'transport'").select(F.col("id").alias("node"))
     return graph.hops(_hop_links(spark, sf_dir), src, via)
 
 
-SQL["hop_counts_forwarding"] = f"WITH RECURSIVE {_HOPS}, r(src, node, d) AS (SELECT id, id, 0 FROM n WHERE id < 10 UNION SELECT src, l.b, d + 1 FROM r JOIN l ON l.a = r.node WHERE d < 20 AND (d = 0 OR r.node % 3 = 0)) SELECT src, node, CAST(min(d) AS BIGINT) AS d FROM r GROUP BY src, node"
+SQL["hop_counts_forwarding"] = f"WITH RECURSIVE {_HOPS}, r(src, node, d) AS (SELECT id, id, 0 FROM n UNION SELECT src, l.b, d + 1 FROM r JOIN l ON l.a = r.node WHERE d < 30 AND (d = 0 OR r.node % 3 = 0)) SELECT src, node, CAST(min(d) AS BIGINT) AS d FROM r GROUP BY src, node"
 
 
 def delivery_hops(spark, sf_dir):
-    """Hops of messages between some stations, passed on by transport nodes; the way round for a station's message to itself."""
-    s = bridge.stations(spark, sf_dir).filter(F.col("id") < 12).select(F.col("id").alias("src"))
-    pairs_ = s.withColumn("dst", F.explode(F.array(F.col("src"), (F.col("src") * 5 + 2) % STATIONS, (F.col("src") + 40) % STATIONS)))
+    """Hops of messages between stations, passed on by transport nodes; the way round for a station's message to itself."""
+    s = bridge.stations(spark, sf_dir).select(F.col("id").alias("src"))
+    pairs_ = s.withColumn("dst", F.explode(F.array(F.col("src"), F.floor(F.col("src") / 2), F.floor(F.col("src") / 5))))
     via = bridge.nodes(spark, sf_dir).filter("role = 'transport'").select(F.col("id").alias("node"))
     return graph.relayed_hops(_hop_links(spark, sf_dir), pairs_, via)
 
 
-SQL["delivery_hops"] = f"WITH RECURSIVE {_HOPS}, q AS (SELECT DISTINCT id AS src, unnest([id, (id * 5 + 2) % {STATIONS}, (id + 40) % {STATIONS}]) AS dst FROM n WHERE id < 12), r(src, node, d) AS (SELECT id, id, 0 FROM n WHERE id < 12 UNION SELECT src, l.b, d + 1 FROM r JOIN l ON l.a = r.node WHERE d < 20 AND (d = 0 OR r.node % 3 = 0)) SELECT q.src, q.dst, CAST(min(d) AS BIGINT) AS d FROM q JOIN r ON r.src = q.src AND r.node = q.dst AND d > 0 GROUP BY q.src, q.dst"
+SQL["delivery_hops"] = f"WITH RECURSIVE {_HOPS}, q AS (SELECT DISTINCT id AS src, unnest([id, id // 2, id // 5]) AS dst FROM n), r(src, node, d) AS (SELECT id, id, 0 FROM n UNION SELECT src, l.b, d + 1 FROM r JOIN l ON l.a = r.node WHERE d < 30 AND (d = 0 OR r.node % 3 = 0)) SELECT q.src, q.dst, CAST(min(d) AS BIGINT) AS d FROM q JOIN r ON r.src = q.src AND r.node = q.dst AND d > 0 GROUP BY q.src, q.dst"
 
 
 def network_diameter(spark, sf_dir):
@@ -198,7 +198,7 @@ def network_diameter(spark, sf_dir):
     return graph.diameter(graph.hops(_hop_links(spark, sf_dir), s), s.count()).select("diameter", F.col("unreached").cast("long").alias("unreached"))
 
 
-SQL["network_diameter"] = f"WITH RECURSIVE {_HOPS}, r(src, node, d) AS (SELECT id, id, 0 FROM n UNION SELECT src, l.b, d + 1 FROM r JOIN l ON l.a = r.node WHERE d < 12), m AS (SELECT src, node, min(d) AS d FROM r GROUP BY src, node) SELECT CAST(max(d) AS BIGINT) AS diameter, (SELECT count(*) * count(*) FROM n) - count(*) AS unreached FROM m"
+SQL["network_diameter"] = f"WITH RECURSIVE {_HOPS}, r(src, node, d) AS (SELECT id, id, 0 FROM n UNION SELECT src, l.b, d + 1 FROM r JOIN l ON l.a = r.node WHERE d < 30), m AS (SELECT src, node, min(d) AS d FROM r GROUP BY src, node) SELECT CAST(max(d) AS BIGINT) AS diameter, (SELECT count(*) * count(*) FROM n) - count(*) AS unreached FROM m"
 
 
 def calibration_residuals(spark, sf_dir):

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from larkspan.operators import medium
+from larkspan.operators import medium, pairs
 from larkspan.plans import bridge
 from larkspan.sources import loss_table
 from larkspan.streaming import rolling
@@ -23,14 +23,14 @@ def demodulator_lock(spark, sf_dir):
 
 def loss_table_round_trip(spark, sf_dir):
     """Pair losses through the binary format and back."""
-    n = bridge.stations(spark, sf_dir).filter("id < 30").select("id")
-    a, b = n.select(F.concat(F.lit("n"), F.col("id")).alias("a"), F.col("id").alias("i"), F.lit(1).alias("one")), n.select(F.concat(F.lit("n"), F.col("id")).alias("b"), F.col("id").alias("j"), F.lit(1).alias("one"))
-    cells = a.join(b, "one").filter("a <> b").select(F.lit("868").alias("band"), "a", "b", ((F.col("i") * 31 + F.col("j") * 17) % 60 + 80).cast("float").alias("loss"), F.lit(8).alias("flags"), F.lit(3).alias("samples"))
+    n = bridge.stations(spark, sf_dir)
+    a, b = n.select(F.concat(F.lit("n"), F.col("id")).alias("a"), F.col("id").alias("i")), n.select(F.concat(F.lit("n"), F.col("id")).alias("b"), F.col("id").alias("j"))
+    cells = pairs.every(a, b).filter("a <> b").select(F.lit("868").alias("band"), "a", "b", ((F.col("i") * 31 + F.col("j") * 17) % 60 + 80).cast("float").alias("loss"), F.lit(8).alias("flags"), F.lit(3).alias("samples"))
     back = loss_table.encoded_tables(cells).select(F.concat("band", F.lit(".bin")).alias("path"), "content").mapInPandas(loss_table._cells, loss_table.CELLS)
     return back.filter("loss < 1000").select("band", "a", "b", F.col("loss").cast("long").alias("loss"), F.col("flags").cast("long").alias("flags"), F.col("samples").cast("long").alias("samples"))
 
 
-SQL["loss_table_round_trip"] = "WITH n AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 30) SELECT '868' AS band, 'n' || x.id AS a, 'n' || y.id AS b, CAST((x.id * 31 + y.id * 17) % 60 + 80 AS BIGINT) AS loss, CAST(8 AS BIGINT) AS flags, CAST(3 AS BIGINT) AS samples FROM n x JOIN n y ON x.id <> y.id"
+SQL["loss_table_round_trip"] = "WITH n AS (SELECT s_suppkey AS id FROM supplier) SELECT '868' AS band, 'n' || x.id AS a, 'n' || y.id AS b, CAST((x.id * 31 + y.id * 17) % 60 + 80 AS BIGINT) AS loss, CAST(8 AS BIGINT) AS flags, CAST(3 AS BIGINT) AS samples FROM n x JOIN n y ON x.id <> y.id"
 
 
 def _drained(spark, sf_dir, transform, mode="complete"):

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspan.functions import text
-from larkspan.operators import feeds
+from larkspan.operators import feeds, pairs
 from larkspan.operators.selection import node
 from larkspan.plans import bridge
 from larkspan.plans.bridge import NODES
@@ -148,23 +148,22 @@ SQL["tile_cover"] = "WITH r AS (SELECT n_nationkey AS k, n_nationkey * 7 % 60 -
 def merged_layers(spark, sf_dir):
     """Suppliers laid over customers: a supplier within 400 m of a customer is that customer."""
     s = bridge.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") * 4241 % 20000).alias("x"), (F.col("s_suppkey") * 15013 % 20000).alias("y"))
-    c = bridge.nodes(spark, sf_dir).filter("id <= 1500").select("id", "name", "x", "y")
+    c = bridge.nodes(spark, sf_dir).select("id", "name", "x", "y")
     return feeds.merged(c, s, 400).groupBy((F.col("id") >= 10_000_000).alias("supplier")).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
 
 
-SQL["merged_layers"] = f"WITH {NODES}, s AS (SELECT s_suppkey + 10000000 AS id, s_suppkey * 4241 % 20000 AS x, s_suppkey * 15013 % 20000 AS y FROM supplier), c AS (SELECT id, x, y FROM nodes WHERE id <= 1500), m AS (SELECT id FROM c UNION ALL SELECT id FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 160000)) SELECT id >= 10000000 AS supplier, count(*) AS n, max(id) AS last FROM m GROUP BY 1"
+SQL["merged_layers"] = f"WITH {NODES}, s AS (SELECT s_suppkey + 10000000 AS id, s_suppkey * 4241 % 20000 AS x, s_suppkey * 15013 % 20000 AS y FROM supplier), c AS (SELECT id, x, y FROM nodes), m AS (SELECT id FROM c UNION ALL SELECT id FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 160000)) SELECT id >= 10000000 AS supplier, count(*) AS n, max(id) AS last FROM m GROUP BY 1"
 
 
 def loss_offsets(spark, sf_dir):
     """Pair losses with offsets added: offsets by unordered pair, summed, both ways."""
-    n = bridge.stations(spark, sf_dir).filter("id < 40").select("id")
-    a, b = n.select(F.col("id").alias("a"), F.lit(1).alias("j")), n.select(F.col("id").alias("b"), F.lit(1).alias("j"))
-    cells = a.join(b, "j").filter("a <> b").select("a", "b", ((F.col("a") * 31 + F.col("b") * 17) % 60 + 80).alias("loss"))
+    n = bridge.stations(spark, sf_dir).select("id")
+    cells = pairs.every(n.withColumnRenamed("id", "a"), n.withColumnRenamed("id", "b")).filter("a <> b").select("a", "b", ((F.col("a") * 31 + F.col("b") * 17) % 60 + 80).alias("loss"))
     off = bridge.frames(spark, sf_dir).select((F.col("eid") % 40).alias("p"), (F.col("eid") * 7 % 40).alias("q"), (F.col("eid") % 3).alias("db")).filter("p <> q").groupBy(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).agg(F.sum("db").alias("db"))
     return cells.join(off, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left").select("a", "b", (F.col("loss") + F.coalesce("db", F.lit(0))).cast("long").alias("loss"))
 
 
-SQL["loss_offsets"] = f"WITH {bridge.FRAMES}, n AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 40), c AS (SELECT a.id AS a, b.id AS b, (a.id * 31 + b.id * 17) % 60 + 80 AS loss FROM n a JOIN n b ON a.id <> b.id), o AS (SELECT least(p, q) AS lo, greatest(p, q) AS hi, sum(db) AS db FROM (SELECT eid % 40 AS p, eid * 7 % 40 AS q, eid % 3 AS db FROM frames) WHERE p <> q GROUP BY 1, 2) SELECT a, b, CAST(loss + coalesce(db, 0) AS BIGINT) AS loss FROM c LEFT JOIN o ON least(a, b) = lo AND greatest(a, b) = hi"
+SQL["loss_offsets"] = f"WITH {bridge.FRAMES}, n AS (SELECT s_suppkey AS id FROM supplier), c AS (SELECT a.id AS a, b.id AS b, (a.id * 31 + b.id * 17) % 60 + 80 AS loss FROM n a JOIN n b ON a.id <> b.id), o AS (SELECT least(p, q) AS lo, greatest(p, q) AS hi, sum(db) AS db FROM (SELECT eid % 40 AS p, eid * 7 % 40 AS q, eid % 3 AS db FROM frames) WHERE p <> q GROUP BY 1, 2) SELECT a, b, CAST(loss + coalesce(db, 0) AS BIGINT) AS loss FROM c LEFT JOIN o ON least(a, b) = lo AND greatest(a, b) = hi"
 
 
 def first_turns(spark, sf_dir):
@@ -178,12 +177,12 @@ SQL["first_turns"] = "SELECT conv_id, role, turn, n FROM (SELECT conv_id, role,
 
 def station_union(spark, sf_dir):
     """Stations known as nodes, as senders, or both."""
-    a = bridge.stations(spark, sf_dir).select(F.col("id").alias("sid"), F.lit(1).alias("n"))
+    a = bridge.nodes(spark, sf_dir).select(F.col("id").alias("sid"), F.lit(1).alias("n"))
     b = bridge.frames(spark, sf_dir).select("sid", F.lit(2).alias("n")).distinct()
     return a.unionByName(b).groupBy("sid").agg(F.sum("n").alias("known"))
 
 
-SQL["station_union"] = f"WITH {bridge.FRAMES} SELECT sid, CAST(sum(n) AS BIGINT) AS known FROM (SELECT c_custkey AS sid, 1 AS n FROM customer WHERE c_custkey <= {bridge.STATIONS} UNION ALL SELECT DISTINCT sid, 2 FROM frames) GROUP BY sid"
+SQL["station_union"] = f"WITH {bridge.FRAMES} SELECT sid, CAST(sum(n) AS BIGINT) AS known FROM (SELECT c_custkey AS sid, 1 AS n FROM customer UNION ALL SELECT DISTINCT sid, 2 FROM frames) GROUP BY sid"
 
 
 def segment_ranks(spark, sf_dir):

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import radio
 from larkspan.functions.stats import ranked_quantiles
-from larkspan.operators import intervals
+from larkspan.operators import intervals, pairs
 from larkspan.plans import bridge
-from larkspan.plans.bridge import CALLING, FRAMES, LONGEST, NODES, RECEPTIONS, STATIONS
+from larkspan.plans.bridge import CALLING, FRAMES, LONGEST, NODES, RECEPTIONS
 
 HOUR = 3_600_000_000
 GAP = 60_000_000
@@ -34,14 +34,14 @@ def airtime_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = bridge.frames(spark, sf_dir)
     on = on_calling(F.col("freq"))
     totals = f.groupBy("sid").agg(F.count(F.lit(1)).alias("frames"), F.sum(F.when(on, F.col("span")).otherwise(0)).alias("calling_us"), F.sum(F.when(on, 0).otherwise(F.col("span"))).alias("other_us"))
-    s = bridge.stations(spark, sf_dir).select(F.col("id").alias("sid"), "name")
+    s = bridge.nodes(spark, sf_dir).select(F.col("id").alias("sid"), "name")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return s.join(totals, "sid", "left").select("sid", "name", zero("frames"), zero("calling_us"), zero("other_us"), (F.coalesce("calling_us", F.lit(0)) + F.coalesce("other_us", F.lit(0))).cast("long").alias("total_us"))
 
 
 SQL["airtime_report"] = f"""WITH {FRAMES}, {NODES}, t AS (SELECT sid, count(*) AS frames, sum(CASE WHEN {ON} THEN span ELSE 0 END) AS c, sum(CASE WHEN {ON} THEN 0 ELSE span END) AS o FROM frames GROUP BY sid)
 SELECT id AS sid, name, CAST(coalesce(frames, 0) AS BIGINT) AS frames, CAST(coalesce(c, 0) AS BIGINT) AS calling_us, CAST(coalesce(o, 0) AS BIGINT) AS other_us, CAST(coalesce(c, 0) + coalesce(o, 0) AS BIGINT) AS total_us
-FROM nodes LEFT JOIN t ON id = t.sid WHERE id <= {STATIONS}"""
+FROM nodes LEFT JOIN t ON id = t.sid"""
 
 
 def airtime_carrier(spark, sf_dir):
@@ -303,11 +303,11 @@ def neighbours(spark, sf_dir):
     """Per station: how many it reaches, the nearest and the farthest; 0 and nulls for those that reach nobody."""
     g = _link_lengths(spark, sf_dir).groupBy("tx").agg(F.count(F.lit(1)).alias("n"), F.min("d2").alias("near"), F.max("d2").alias("far"))
     m = lambda c: F.round(F.sqrt(F.col(c).cast("double")), 6)
-    s = bridge.stations(spark, sf_dir).select(F.col("id").alias("sid"))
+    s = bridge.nodes(spark, sf_dir).select(F.col("id").alias("sid"))
     return s.join(g, s["sid"] == g["tx"], "left").select("sid", F.coalesce("n", F.lit(0)).cast("long").alias("n"), m("near").alias("nearest_m"), m("far").alias("farthest_m"))
 
 
-SQL["neighbours"] = f"WITH g AS (SELECT u.tx, count(*) AS n, min({_D2}) AS near, max({_D2}) AS far FROM {_LENGTHS} GROUP BY u.tx) SELECT c_custkey AS sid, coalesce(n, 0) AS n, round(sqrt(CAST(near AS DOUBLE)), 6) AS nearest_m, round(sqrt(CAST(far AS DOUBLE)), 6) AS farthest_m FROM customer LEFT JOIN g ON g.tx = c_custkey WHERE c_custkey <= {STATIONS}"
+SQL["neighbours"] = f"WITH g AS (SELECT u.tx, count(*) AS n, min({_D2}) AS near, max({_D2}) AS far FROM {_LENGTHS} GROUP BY u.tx) SELECT c_custkey AS sid, coalesce(n, 0) AS n, round(sqrt(CAST(near AS DOUBLE)), 6) AS nearest_m, round(sqrt(CAST(far AS DOUBLE)), 6) AS farthest_m FROM customer LEFT JOIN g ON g.tx = c_custkey"
 
 
 def power_bins(spark, sf_dir):
@@ -382,13 +382,13 @@ def milestones(spark, sf_dir):
     """When the last station was first heard, whether all were, and the first frame at each spreading factor."""
     f = bridge.frames(spark, sf_dir)
     first = f.groupBy("sid").agg(F.min("t0").alias("t"))
-    every = bridge.stations(spark, sf_dir).select((F.col("id") - 1).alias("sid")).join(first, "sid", "left")
+    every = bridge.stations(spark, sf_dir).select(F.col("id").alias("sid")).join(first, "sid", "left")
     whole = every.agg(F.count("t").alias("heard"), F.count(F.lit(1)).alias("stations"), F.max("t").alias("t")).select(F.lit("every station").alias("milestone"), "heard", F.when(F.col("heard") == F.col("stations"), F.col("t")).otherwise(-1).alias("t"))
     steps = f.groupBy("sf").agg(F.countDistinct("sid").alias("heard"), F.min("t0").alias("t")).select(F.concat(F.lit("first sf "), F.col("sf").cast("string")).alias("milestone"), "heard", "t")
     return whole.unionByName(steps)
 
 
-SQL["milestones"] = f"WITH {FRAMES}, f AS (SELECT sid, min(t0) AS t FROM frames GROUP BY sid), e AS (SELECT count(t) AS heard, count(*) AS n, max(t) AS t FROM (SELECT c_custkey - 1 AS sid FROM customer WHERE c_custkey <= {STATIONS}) s LEFT JOIN f USING (sid)) SELECT 'every station' AS milestone, heard, CASE WHEN heard = n THEN t ELSE -1 END AS t FROM e UNION ALL SELECT 'first sf ' || sf, count(DISTINCT sid), min(t0) FROM frames GROUP BY sf"
+SQL["milestones"] = f"WITH {FRAMES}, f AS (SELECT sid, min(t0) AS t FROM frames GROUP BY sid), e AS (SELECT count(t) AS heard, count(*) AS n, max(t) AS t FROM (SELECT s_suppkey AS sid FROM supplier) s LEFT JOIN f USING (sid)) SELECT 'every station' AS milestone, heard, CASE WHEN heard = n THEN t ELSE -1 END AS t FROM e UNION ALL SELECT 'first sf ' || sf, count(DISTINCT sid), min(t0) FROM frames GROUP BY sf"
 
 
 def delivery(spark, sf_dir):
@@ -462,15 +462,15 @@ round(pow(10.0, power / 10.0), 6) AS mw, CAST(list_max(list_filter({radio.POWER_
 
 def audible_links(spark, sf_dir):
     """Pairs of stations that would decode each other's frames, by the made-up path loss and each sender's most common setting."""
-    s = common_setting(spark, sf_dir).filter(F.col("freq") == CALLING).select("sf", "bw", "power")
+    s = common_setting(spark, sf_dir).filter(F.col("freq") == CALLING).select("freq", "sf", "bw", "power")
     n = bridge.stations(spark, sf_dir).select("id")
-    a, b = n.select(F.col("id").alias("tx"), F.lit(1).alias("one")), n.select(F.col("id").alias("rx"), F.lit(1).alias("one"))
-    pairs = a.join(b, "one").filter("tx <> rx").join(s.withColumn("one", F.lit(1)), "one")
+    met = pairs.every(n.withColumnRenamed("id", "tx"), n.withColumnRenamed("id", "rx")).filter("tx <> rx")
+    met = met.withColumn("freq", F.lit(CALLING).cast("long")).join(s, "freq")  # one row: a setting per carrier
     level = (F.col("power") - (F.lit(100) + (F.col("tx") * 31 + F.col("rx") * 17) % 60)).cast("double")
-    return pairs.filter(radio.audible(level, F.col("bw"), F.col("sf"))).select("tx", "rx", level.alias("level"))
+    return met.filter(radio.audible(level, F.col("bw"), F.col("sf"))).select("tx", "rx", level.alias("level"))
 
 
-SQL["audible_links"] = f"WITH c AS (SELECT * FROM ({SQL['common_setting']}) WHERE freq = {CALLING}), n AS (SELECT c_custkey AS id FROM customer WHERE c_custkey <= {STATIONS}), p AS (SELECT a.id AS tx, b.id AS rx, c.sf, c.bw, CAST(c.power - (100 + (a.id * 31 + b.id * 17) % 60) AS DOUBLE) AS level FROM n a, n b, c WHERE a.id <> b.id) SELECT tx, rx, level FROM p c WHERE level >= -168.0 + 10.0 * log10(bw) + {_SENS}"
+SQL["audible_links"] = f"WITH c AS (SELECT * FROM ({SQL['common_setting']}) WHERE freq = {CALLING}), n AS (SELECT s_suppkey AS id FROM supplier), p AS (SELECT a.id AS tx, b.id AS rx, c.sf, c.bw, CAST(c.power - (100 + (a.id * 31 + b.id * 17) % 60) AS DOUBLE) AS level FROM n a, n b, c WHERE a.id <> b.id) SELECT tx, rx, level FROM p c WHERE level >= -168.0 + 10.0 * log10(bw) + {_SENS}"
 
 
 QUERIES = {name: globals()[name] for name in SQL}

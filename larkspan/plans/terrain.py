@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspan.functions import geo, paths
+from larkspan.operators import pairs
 from larkspan.plans import bridge
 from larkspan.plans.bridge import CELLS, NODES
 
@@ -98,20 +99,20 @@ SELECT basis, count(*) AS n, CAST(sum(m) AS BIGINT) AS total_m, CAST(max(m) AS D
 
 def updated_losses(spark, sf_dir):
     """A loss table after some nodes moved: pairs that touch one are computed anew, the others kept."""
-    n = bridge.stations(spark, sf_dir).filter("id < 60").select("id", "x", "y")
-    old = n.withColumn("one", F.lit(1))
+    n = bridge.stations(spark, sf_dir)
     loss = lambda a, b: F.abs(F.col(f"{a}x") - F.col(f"{b}x")) + F.abs(F.col(f"{a}y") - F.col(f"{b}y"))
-    named = lambda d, p: d.select(*[F.col(c).alias(f"{p}{c}") for c in ("id", "x", "y")], F.lit(1).alias("one"))
-    table = named(old, "a").join(named(old, "b"), "one").filter("aid < bid").select("aid", "bid", loss("a", "b").alias("loss"))
+    named = lambda d, p: d.select(*[F.col(c).alias(f"{p}{c}") for c in ("id", "x", "y")])
+    table = pairs.every(named(n, "a"), named(n, "b")).filter("aid < bid").select("aid", "bid", loss("a", "b").alias("loss"))
     moved = n.filter("id % 7 = 0").withColumn("x", F.col("x") + 100)
     now = n.filter("id % 7 <> 0").unionByName(moved)
     touched = moved.select("id")
     kept = table.join(touched.withColumnRenamed("id", "aid"), "aid", "left_anti").join(touched.withColumnRenamed("id", "bid"), "bid", "left_anti")
-    pairs = named(now, "a").join(named(now, "b"), "one").filter("aid < bid AND (aid % 7 = 0 OR bid % 7 = 0)")
-    return kept.select("aid", "bid", "loss").unionByName(pairs.select("aid", "bid", loss("a", "b").alias("loss")))
+    still = n.join(touched, "id", "left_anti")
+    new = pairs.every(named(moved, "a"), named(now, "b")).filter("aid < bid").unionByName(pairs.every(named(still, "a"), named(moved, "b")).filter("aid < bid"))
+    return kept.select("aid", "bid", "loss").unionByName(new.select("aid", "bid", loss("a", "b").alias("loss")))
 
 
-SQL["updated_losses"] = f"WITH {NODES}, n AS (SELECT id, x + CASE WHEN id % 7 = 0 THEN 100 ELSE 0 END AS x, y FROM nodes WHERE id < 60) SELECT a.id AS aid, b.id AS bid, abs(a.x - b.x) + abs(a.y - b.y) AS loss FROM n a JOIN n b ON a.id < b.id"
+SQL["updated_losses"] = f"WITH {bridge.STATIONS}, n AS (SELECT id, x + CASE WHEN id % 7 = 0 THEN 100 ELSE 0 END AS x, y FROM stations) SELECT a.id AS aid, b.id AS bid, abs(a.x - b.x) + abs(a.y - b.y) AS loss FROM n a JOIN n b ON a.id < b.id"
 
 
 def power_curves(spark, sf_dir):
