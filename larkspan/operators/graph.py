@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ def hops(links: DataFrame, sources: DataFrame, via: DataFrame | None = None) ->
     """src, node, d: the fewest hops from each source (src), itself included at 0.
 
     With via (node), only those pass a message on; a source always does. One
-    join and one anti-join a step; each step's lineage is cut.
+    join and one anti-join a step, whose rows alone are written.
     """
     found = front = sources.select("src", F.col("src").alias("node"), F.lit(0).cast("long").alias("d"))
     for k in itertools.count(1):
@@ -28,7 +29,8 @@ def hops(links: DataFrame, sources: DataFrame, via: DataFrame | None = None) ->
         front = cut(near.join(found, ["src", "node"], "left_anti").select("src", "node", F.lit(k).cast("long").alias("d")))
         if front.isEmpty():
             break
-        found = cut(found.unionByName(front))
+        found = found.unionByName(front)  # steps are stored tables already; now and then they become one
+        found = cut(found) if k % 8 == 0 else found
     return found
 
 
@@ -37,18 +39,31 @@ def diameter(reached: DataFrame, nodes: int) -> DataFrame:
     return reached.agg(F.max("d").alias("diameter"), (F.lit(nodes) * F.lit(nodes) - F.count(F.lit(1))).alias("unreached"))
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """One round over edges (u, v), v < u: every neighbour above a node goes to the least of the neighbourhood, then every one below it. Keeps components, and roughly halves their depth."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    above = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = above.groupBy("u").agg(F.min("v").alias("m"))
+    below = above.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return below.unionByName(low.withColumnRenamed("m", "v")).distinct()
+
+
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, comp (the smallest node), by lowering labels and following them; isolated nodes are their own."""
-    labels = cut(nodes.select("node", F.col("node").alias("comp")).distinct())
+    """node, comp (the smallest node of its component); isolated nodes are their own, links to what isn't a node don't count.
+
+    Alternating stars until every component is one: rounds grow with the
+    logarithm of the nodes, not with the length of chains.
+    """
+    known = cut(nodes.select("node").distinct())
+    held = links.join(known.select(F.col("node").alias("a")), "a", "left_semi").join(known.select(F.col("node").alias("b")), "b", "left_semi")
+    edges = cut(held.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
-        near = links.join(labels.select(F.col("node").alias("b"), "comp"), "b").select(F.col("a").alias("node"), "comp")
-        hooked = labels.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp").select("node", F.col("up").alias("comp"))
-        new = cut(near.unionByName(hooked).unionByName(labels).groupBy("node").agg(F.min("comp").alias("comp")).join(nodes.select("node").distinct(), "node", "left_semi"))
-        same = new.join(labels, ["node", "comp"], "left_anti").isEmpty()
-        labels = new
-        if same:
+        edges = cut(_stars(edges))
+        ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+        if ends.groupBy("n").agg(F.sum("child").alias("c"), F.max("root").alias("r")).filter("c > 1 OR (c = 1 AND r = 1)").isEmpty():
             break
-    return labels
+    return known.join(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
 def greedy_coverage(covers: DataFrame, weights: DataFrame, picks: int, k: int = 1, seed: DataFrame | None = None) -> DataFrame:
@@ -109,13 +124,14 @@ def improve_by_swaps(covers: DataFrame, weights: DataFrame, chosen: list[int], k
 def relayed_hops(links: DataFrame, pairs: DataFrame, forwarders: DataFrame) -> DataFrame:
     """src, dst, d of each pair: the fewest hops through forwarders only. Unlike hops(), a pair of one node counts the shortest way round; pairs without a way are left out."""
     front = cut(pairs.select("src").distinct().select("src", F.col("src").alias("node")))
-    passed, found = front, None
+    passed, hits = front, []
     for k in itertools.count(1):
         near = cut(front.join(links.select(F.col("a").alias("node"), F.col("b").alias("to")), "node").select("src", F.col("to").alias("node")).distinct())
-        hit = near.join(pairs.select("src", F.col("dst").alias("node")).distinct(), ["src", "node"]).select("src", F.col("node").alias("dst"), F.lit(k).cast("long").alias("d"))
-        found = cut(hit if found is None else found.unionByName(hit.join(found, ["src", "dst"], "left_anti")))
+        hits.append(near.withColumn("d", F.lit(k).cast("long")))
         front = cut(near.join(forwarders.select("node").distinct(), "node", "left_semi").select("src", "node").join(passed, ["src", "node"], "left_anti"))
         if front.isEmpty():
             break
-        passed = cut(passed.unionByName(front))
-    return found
+        passed = passed.unionByName(front)
+        passed = cut(passed) if k % 8 == 0 else passed
+    wanted = pairs.select("src", "dst").distinct()
+    return functools.reduce(DataFrame.unionByName, hits).withColumnRenamed("node", "dst").join(wanted, ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.min("d").alias("d"))

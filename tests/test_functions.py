@@ -80,6 +80,24 @@ def test_graph(spark):
     assert graph.both_ways(one_way).count() == 2
 
 
+def test_components_of_chains_and_random_links(spark):
+    import random
+
+    rng = random.Random(1)
+    for n, links in ((60, [(rng.randrange(64), rng.randrange(64)) for _ in range(40)]), (200, [(i, i + 1) for i in range(199)]), (9, [])):
+        perm = rng.sample(range(n), n) + list(range(n, 64))
+        links = [(perm[a], perm[b]) for a, b in links]
+        up = list(range(n))
+        find = lambda x: x if up[x] == x else find(up[x])  # noqa: B023, E731
+        for a, b in links:
+            if a < n and b < n:
+                a, b = find(a), find(b)
+                up[max(a, b)] = min(a, b)
+        both = spark.createDataFrame(links + [(b, a) for a, b in links], "a long, b long")
+        got = {r.node: r.comp for r in graph.components(both, spark.createDataFrame([(i,) for i in range(n)], "node long")).collect()}
+        assert got == {i: find(i) for i in range(n)}
+
+
 def test_greedy_coverage_is_the_plain_one(spark):
     import random
 
