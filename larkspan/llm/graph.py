@@ -1,32 +1,43 @@
-"""Connected components of an edge table, by distributed label propagation with hooking to the smallest label."""
+"""Connected components of an edge table, by alternating stars."""
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm._common import discard, stored
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
+    """One round over edges (u, v), v < u: every neighbour above a node goes to the least of the neighbourhood, then every one below it."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    above = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = above.groupBy("u").agg(F.min("v").alias("m"))
+    below = above.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return below.unionByName(low.withColumnRenamed("m", "v")).distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every component is a star: each u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    return ends.groupBy("n").agg(F.sum("child").alias("c"), F.max("root").alias("r")).filter("c > 1 OR (c = 1 AND r = 1)").isEmpty()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node of its component, for every node of the edges (a, b).
 
-    A round joins each edge with its ends' labels, lowers both to the smaller one
-    and lowers the labels' own labels too (a label is a node), so that long
-    chains halve. Each round is a written table; the loop ends when a round
-    changes nothing. Nothing but a count reaches the driver.
+    Rounds grow with the logarithm of the nodes, in whatever order the ids stand
+    along a chain, and go on until every component is a star. Each round is a
+    written table; nothing but a row reaches the driver.
     """
-    both = stored(edges.select("a", "b").filter("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("a <> b")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels0")
-    for k in range(1, max_rounds + 1):
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").select(F.col("a").alias("node"), "comp")
-        # the label's label: every node proposes its own label to the node that its label names
-        hooked = labels.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp").select("node", F.col("up").alias("comp"))
-        raised = near.select("node", "comp").unionByName(hooked).unionByName(labels.select("node", "comp")).groupBy("node").agg(F.min("comp").alias("comp"))
-        new = stored(raised, f"labels{k}")
-        changed = new.agg(F.sum("comp").cast("decimal(38,0)")).first()[0] != labels.agg(F.sum("comp").cast("decimal(38,0)")).first()[0]
-        discard(labels)
-        labels = new
-        if not changed:
-            return labels
-    raise RuntimeError(f"components still changed after {max_rounds} rounds")
+    held = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    for k in itertools.count(1):
+        if _settled(held):
+            break
+        new = stored(_stars(held), f"stars{k}")
+        discard(held)
+        held = new
+    return held.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(held.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

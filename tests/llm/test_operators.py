@@ -185,6 +185,25 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500, 502: 500}
 
 
+def test_components_of_chains_with_shuffled_ids(spark):
+    rng = random.Random(11)
+    ids = rng.sample(range(5000), 1000)
+    three = rng.sample(range(10_000, 15_000), 1000)
+    edges = list(zip(ids, ids[1:], strict=False)) + [(three[i], three[j]) for i in range(1000) for j in range(i + 1, min(i + 4, 1000))]
+    got = {r.node: r.comp for r in components(stored(spark.createDataFrame(edges, "a long, b long"))).collect()}
+    assert got == dict.fromkeys(ids, min(ids)) | dict.fromkeys(three, min(three))
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_of_a_long_chain(spark):
+    rng = random.Random(12)
+    ids, words = rng.sample(range(300), 300), [f"w{i}" for i in range(10 * 300 + 94)]
+    texts = [(ids[i], " ".join(words[10 * i : 10 * i + 104])) for i in range(300)]  # 90 of 110 shingles shared with a neighbour
+    out = ngram_jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(out) == 300 and {r.class_id for r in out} == {0}
+    assert {r.doc_id: r.n_links for r in out} == {d: 1 if i in (0, 299) else 2 for i, d in enumerate(ids)}
+
+
 def test_toxicity_held_out():
     rng = random.Random(4)
     plain = [f"{a}{b}{c}" for a in "bcdfglmnprst" for b in ("an", "er", "il", "on") for c in ("", "ta", "del", "so")]
