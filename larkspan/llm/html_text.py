@@ -35,11 +35,66 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "form", "aside", "nav", "footer", "header", "blockquote"}
-TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]++|"[^"]{0,20000}+"|'[^']{0,20000}+')*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>""")
+MARKUP = re.compile(r"<(?:!--|/?[a-zA-Z]|[!?/])")
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"""['">]""")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Za-z]+")
 
 
+class Tags:
+    """Finds a page's tags from left to right; quoted attributes can have any length and hold any sign but their quote.
+
+    Positions between attributes from which no end is reached are remembered,
+    and a quote after which there is no other ends a search at once, so that a
+    page takes time in proportion to its length, whatever quotes it leaves open.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.dead = page, set()
+        self.last = {c: page.rfind(c) for c in "'\">"}
+
+    def after(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """Start, end, whether it closes, name and attributes of the next tag. Without a name: a comment's opening (end is start + 4), a declaration, or a tag whose quotes don't close, up to the next >."""
+        page = self.page
+        while (m := MARKUP.search(page, at)) is not None:
+            start = m.start()
+            if m[0] == "<!--":
+                return start, m.end(), False, None, ""
+            if start > self.last[">"]:  # only comments can follow
+                at = page.find("<!--", start)
+                if at < 0:
+                    return None
+                continue
+            m = TAG_NAME.match(page, start)
+            if m is not None:
+                # the longest name; a quote in it opens an attribute only where the tag has no end otherwise
+                cut = m.end()
+                while cut > m.start(2):
+                    end = self.end(cut)
+                    if end >= 0:
+                        return start, end, bool(m[1]), page[m.start(2) : cut], page[cut : end - 1]
+                    cut = max(page.rfind("'", m.start(2), cut), page.rfind('"', m.start(2), cut))
+            return start, page.find(">", start) + 1, False, None, ""
+        return None
+
+    def end(self, at: int) -> int:
+        """The end of the tag whose attributes go on at at, or -1."""
+        page, passed = self.page, []
+        while at not in self.dead:
+            passed.append(at)
+            m = QUOTE_OR_END.search(page, at)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.end()
+            if m.start() == self.last[m[0]]:
+                break
+            at = page.index(m[0], m.end()) + 1
+        self.dead.update(passed)
+        return -1
+
+
 class Block:
     __slots__ = ("linked", "path", "text")
 
@@ -73,22 +128,23 @@ def leaf_blocks(page: str) -> list[Block]:
         if any(x[0] == "a" for x in stack):
             linked += len(text)
 
+    tags = Tags(page)
     while at < n:
-        m = TAG.search(page, at)
-        if m is None:
+        found = tags.after(at)
+        if found is None:
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[0] == "<!--":
-            end = page.find("-->", at)
-            at = n if end < 0 else end + 3
-            continue
-        if m[2] is None:
+        start, end, closing, name, attributes = found
+        if start > at:
+            add(page[at:start])
+        at = end
+        if name is None:
+            if page.startswith("<!--", start):
+                end = page.find("-->", at)
+                at = n if end < 0 else end + 3
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if closing:
             if tag not in INLINE:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
@@ -126,8 +182,8 @@ def leaf_blocks(page: str) -> list[Block]:
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table"):
                         break
-        names = tuple(dict.fromkeys(w.lower() for a in NAMES.findall(m[3]) for w in PART.findall("".join(a)))) if m[3] else ()
-        if not (m[3] and m[3].endswith("/") and tag not in INLINE):
+        names = tuple(dict.fromkeys(w.lower() for a in NAMES.findall(attributes) for w in PART.findall("".join(a)))) if attributes else ()
+        if not (attributes.endswith("/") and tag not in INLINE):
             stack.append((tag, names))
     flush()
     return out

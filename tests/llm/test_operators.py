@@ -260,6 +260,23 @@ def test_html_articles(spark):
         assert html_text.main_text(r.html, field) == "\n\n".join(inside)
 
 
+def test_html_attributes_of_any_length():
+    for n in (20_000, 20_001, 300_001):
+        for value in ("x" * n, "x>" * (n // 2) + "<p>"):
+            for q in "'\"":
+                page = f"<nav class=menu data-state={q}{value}{q}><p>a</p></nav><script src={q}{value}{q}>if (1) x()</script><p>b</p>"
+                assert [(b.text, b.path) for b in html_text.leaf_blocks(page)] == [("a", (("nav", ("menu",)), ("p", ()))), ("b", (("p", ()),))]
+
+
+def test_html_open_quotes_take_linear_time():
+    import time
+
+    start = time.monotonic()
+    for piece in ("<a b=\"", "<a b=\"x>", "<a b='\"x>", "<a", "<!", "<a 'x' \""):
+        html_text.leaf_blocks(piece * 30_001)
+    assert time.monotonic() - start < 20
+
+
 def test_viterbi_is_the_best_sequence():
     import itertools
 
