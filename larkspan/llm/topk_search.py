@@ -63,20 +63,20 @@ class ImpactIndex:
         shifted = vectors - self.low
         self.planes = [(p, (shifted >> p & 1).astype(np.float64).T.copy()) for p in reversed(range(int(shifted.max(initial=0)).bit_length()))]
 
-    def search(self, queries: np.ndarray, floor: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each query the rows of this block that can be among the k best, given that a score below floor can't be."""
+    def search(self, queries: np.ndarray, floor: np.ndarray, k: int, own: np.ndarray) -> list[np.ndarray]:
+        """For each query the rows of this block that can be among the k best, given that a score below floor can't be. own: by query and row, rows that are the query itself."""
         weights = queries.astype(np.float64)
         base = weights @ self.low.astype(np.float64)
         gain, loss = np.maximum(weights, 0).sum(1), np.minimum(weights, 0).sum(1)
         n = len(self.vectors)
-        known = np.repeat(base[:, None], n, 1)
+        known = np.where(own, -np.inf, base[:, None])
         alive = np.ones(known.shape, bool)
         for p, plane in self.planes:
             known += (1 << p) * (weights @ plane)
             rest = float((1 << p) - 1)
             bound = floor.astype(np.float64)
             if n > k:
-                kth = np.partition(known, n - k - 1, axis=1)[:, n - k - 1]  # one rank lower: the query itself may be in the block
+                kth = np.partition(known, n - k, axis=1)[:, n - k]
                 bound = np.maximum(bound, kth + rest * loss)
             alive = known + (rest * gain)[:, None] >= bound[:, None]
             if alive.sum() <= FEW * alive.size:
@@ -100,7 +100,7 @@ def _searched(queries, k: int):
             mine = np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
             index = ImpactIndex(vectors)
             for a in range(0, len(qid), TILE):
-                for i, at in enumerate(index.search(mine[a : a + TILE], low[a : a + TILE], k), a):
+                for i, at in enumerate(index.search(mine[a : a + TILE], low[a : a + TILE], k, qid[a : a + TILE, None] == ids), a):
                     at = at[ids[at] != qid[i]]
                     if len(at):
                         best[i] = best_of(np.concatenate([best[i][0], ids[at]]), np.concatenate([best[i][1], vectors[at] @ mine[i]]), k)

@@ -300,3 +300,22 @@ def test_search_is_exact_in_chunks(spark, monkeypatch):
         s = q @ q[i]
         want = [(int(j), int(s[j])) for j in np.lexsort((np.arange(700), -s)) if j != i][:20]
         assert [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r.rank) if r.query_id == i] == want
+
+
+def test_search_with_repeated_query_rows(spark):
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(900, 12))
+    rows = [(0, (9 * v[0]).tolist())] * 15 + [(20 * i + 1, x.tolist()) for i, x in enumerate(v[1:])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    one = df.filter("vec_id = 0").limit(1)
+    con = duckdb.connect()
+    for queries, embeddings in ((one, df.toPandas()), (df.filter("vec_id = 0"), df.toPandas())):
+        got = sorted((r["rank"], r.vec_id, r.score) for r in topk_search.top_k(df, queries).collect())
+        if queries is one:
+            q = np.floor(64 * np.array(list(embeddings["embedding"]))).astype(int)
+            s, ids = q @ q[0], embeddings["vec_id"].to_numpy()
+            want = [(k + 1, int(ids[j]), int(s[j])) for k, j in enumerate([j for j in np.lexsort((ids, -s)) if ids[j] != 0][:20])]
+        else:  # each row of the query asks, as in the SQL
+            con.register("embeddings", embeddings)
+            want = sorted(con.sql(f"SELECT rank, vec_id, score FROM ({topk_search.SQL})").fetchall())
+        assert got == want
