@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,36 +25,85 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none (tests)."""
+    """The folder that driver and executors share, as the session names it. Only a local session without one gets a folder of its own (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larkspan-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
     return base.rstrip("/")
 
 
+#: Folders written by stored() and not removed yet.
+_held: dict[str, None] = {}
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written once to the shared folder and read again: its lineage ends there and a lost executor loses nothing."""
+    """df written once to the shared folder and read again: its lineage ends there and a lost executor loses nothing.
+
+    What isn't discarded before is removed when the application ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larkspan-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._larkspan_path = path
+    folder = f"{shared_dir(spark)}/larkspan-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    fs, p = _folder(spark, folder)
+    fs.deleteOnExit(p)
+    _held[folder] = None
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out._larkspan_folder = folder
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Removes what stored() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_larkspan_path", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if (folder := getattr(df, "_larkspan_folder", None)) is not None:
+        _remove(df.sparkSession, folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    fs, p = _folder(spark, folder)
+    fs.delete(p, True)
+    _held.pop(folder, None)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows, stored; what make() itself stored on the way is removed."""
+    before = set(_held)
+    out = stored(make(), name)
+    for folder in [f for f in _held if f not in before and f != out._larkspan_folder]:
+        _remove(spark, folder)
+    return out
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, parts: int = 256) -> DataFrame:
+    """Inner equi-join of left with right, which has each key once and in column count how many rows of left have it.
+
+    A key with more than 1/parts of all rows is dealt over several tasks: fewer
+    than parts keys can be that frequent, so their table is small enough to
+    broadcast. right is read three times and should be stored.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    share = max(1, total // parts)
+    hot = right.filter((F.col(count) > share) & (F.lit(total) > parts)).select(*keys, F.ceil(F.col(count) / share).cast("int").alias("_parts"))
+    if hot.isEmpty():
+        return left.join(right, keys)
+    salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"), F.lit(0))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    copied = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", every).drop("_parts")
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session by rows."""
+    """Bounds the Arrow batches of this session by rows; plans read the setting when they run, so it stays."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

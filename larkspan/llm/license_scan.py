@@ -1,5 +1,10 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
+One pass over the texts splits them into words, lists the places where a base
+phrase's words stand consecutively, and notes which of the templates' words a
+text holds. The words themselves are kept only where these are enough for some
+template. All further steps read that small table:
+
 Each template's distinct words are ordered by how many documents hold them,
 rarest first. A block whose share of a template's words reaches the threshold
 holds at least one of the template's first ``size - required + 1`` words, so an
@@ -8,8 +13,7 @@ words), the positional filter (too few words after the first match) and at last
 the exact intersection decide. Blocks are windows of ``2 * STRIDE`` words that
 start every STRIDE words: any passage of up to STRIDE words lies whole in one.
 
-Beside the join, places where a base phrase's words stand consecutively are
-listed for every text. Base labels always count, with score 1.
+Base labels always count, with score 1.
 
 Defined results: null and empty texts have no words, no labels and score 0.
 Every input row gives one output row, repeated ones too; doc_id may be null.
@@ -23,8 +27,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm._common import LOWER, UPPER, ascii_lower, stored, table
+from larkspan.llm._common import LOWER, UPPER, stored, table
 
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
+SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum() or c in UPPER)
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed by the contract: phrase and label.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
@@ -72,12 +78,19 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def prefix_table(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each word of each template's prefix: token, pos, label, size, need, tokens (rarest first). As small as the templates."""
-    spark, sets = docs.sparkSession, template_words(templates)
-    vocabulary = sorted({w for s in sets for w in s})
-    found = docs.select(F.explode(F.array_intersect(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(0)), _strings(vocabulary))).alias("token"))
-    counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+def split_words(text: Column) -> Column:
+    """The text's words, lower-cased.
+
+    A word is only ever compared with ASCII words, so letters beyond A-Z may be
+    lower-cased too, but for the one whose small form is ASCII: the Kelvin sign.
+    """
+    low = F.btrim(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u00e5"))), F.lit(SEPARATORS))
+    return F.when(low != "", F.split(low, SEPARATOR)).otherwise(F.array().cast("array<string>"))
+
+
+def prefix_table(spark: SparkSession, counts: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """A row for each word of each template's prefix: token, pos, label, size, need, tokens (rarest first). counts: token, df. As small as the templates."""
+    sets = template_words(templates)
     rows = F.array(*[F.struct(F.lit(i).alias("tid"), F.lit(label).alias("label"), F.lit(required(len(s), threshold)).alias("need"), _strings(s).alias("tokens")) for i, ((label, _), s) in enumerate(zip(templates, sets, strict=True))])
     listed = spark.range(1).select(F.inline(rows)).select("tid", "label", "need", F.explode("tokens").alias("token"))
     ordered = listed.join(counts, "token", "left").groupBy("tid", "label", "need").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("s"))
@@ -104,22 +117,33 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks."""
-    prefix = stored(prefix_table(docs, templates, threshold), "templates")
-    marks = sorted(r[0] for r in prefix.select("token").distinct().collect())  # words of the templates only
+def _read(docs: DataFrame, templates: list[tuple[str, str]], phrases: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """The pass over the texts: _row, doc_id, n_words, n_base, first_word, last_word, base, found (template words), and w (all words) where some template may be contained."""
+    sets = template_words(templates)
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = ascii_lower(text)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", low.alias("low"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("w"))
-    maybe = _either([F.col("low").contains(p.split(" ")[0]) & F.col("low").rlike(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+".join(p.split(" "))) for p, _ in phrases])
-    starts = [F.when(maybe, phrase_starts(F.col("w"), p)).otherwise(F.array().cast("array<int>")) for p, _ in phrases]
-    rows = rows.select("_row", "doc_id", "w", *[s.alias(f"_s{i}") for i, s in enumerate(starts)])
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", split_words(text).alias("w"))
+    every_word = F.array_intersect("w", _strings(sorted({w for s in sets for w in s} | {w for p, _ in phrases for w in p.split(" ")})))
+    rows = rows.withColumn("_known", every_word)
+    starts = [F.when(_all([F.array_contains("_known", w) for w in p.split(" ")]), phrase_starts(F.col("w"), p)).otherwise(F.array().cast("array<int>")) for p, _ in phrases]
+    rows = rows.select("*", *[s.alias(f"_s{i}") for i, s in enumerate(starts)])
     every = F.concat(*[f"_s{i}" for i in range(len(phrases))])
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"_s{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)]))))
+    enough = [F.size(F.array_intersect("_known", _strings(s))) >= required(len(s), threshold) for s in sets]
+    least = min((required(len(s), threshold) for s in sets), default=0)
+    maybe = (F.size("_known") >= least) & _either(enough) if enough else F.lit(False)
+    return rows.select("_row", "doc_id", F.size("w").cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), base.alias("base"), F.col("_known").alias("found"), F.when(maybe, F.col("w")).alias("w"))
+
+
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks."""
+    read = stored(_read(docs, templates, phrases, threshold), "read")
+    counts = read.select(F.explode("found").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    prefix = stored(prefix_table(docs.sparkSession, counts, templates, threshold), "templates")
+    marks = _strings(sorted(r[0] for r in prefix.select("token").distinct().collect()))  # words of the templates only
+    head = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
     windows = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("w") - STRIDE - 1, F.lit(0))) / STRIDE).cast("int")), lambda k: F.slice("w", k * STRIDE + 1, F.lit(2 * STRIDE)))
-    marked = F.when(F.arrays_overlap("w", _strings(marks)), F.filter(windows, lambda b: F.arrays_overlap(b, _strings(marks))))
-    blocks = rows.select("_row", "doc_id", F.size("w").cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), base.alias("base"), F.explode_outer(marked).alias("block"))
-    probes = blocks.withColumn("block", F.array_distinct("block")).withColumn("token", F.explode_outer(F.array_intersect("block", _strings(marks))))
+    blocks = read.filter("w IS NOT NULL").select("_row", *head, F.explode_outer(F.filter(windows, lambda b: F.arrays_overlap(b, marks))).alias("block"))
+    probes = blocks.withColumn("block", F.array_distinct("block")).withColumn("token", F.explode_outer(F.array_intersect("block", marks)))
     pairs = probes.join(prefix, "token", "left")
     # the first of a template's words that a block holds stands for the pair, so each pair is verified once
     first = ~F.arrays_overlap("block", F.slice("tokens", F.lit(1), F.col("pos")))
@@ -127,13 +151,14 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     overlap = F.when(fits, F.size(F.array_intersect("block", "tokens")))
     hit = F.when(overlap >= F.col("need"), overlap / F.col("size"))
     judged = pairs.withColumn("share", hit).groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base")],
-        F.collect_set(F.when(F.col("share").isNotNull(), F.col("label"))).alias("found"),
+        *[F.first(c).alias(c) for c in head],
+        F.collect_set(F.when(F.col("share").isNotNull(), F.col("label"))).alias("labels"),
         F.max("share").alias("share"),
         F.count("share").alias("n_blocks"),
     )
+    without = read.filter("w IS NULL").select("_row", *head, F.array().cast("array<string>").alias("labels"), F.lit(None).cast("double").alias("share"), F.lit(0).cast("long").alias("n_blocks"))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0)))
-    return judged.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("base", "found")), ",").alias("labels"), score.alias("score"), "n_blocks")
+    return without.unionByName(judged).select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("base", "labels")), ",").alias("labels"), score.alias("score"), "n_blocks")
 
 
 def _either(conditions: list[Column]) -> Column:
