@@ -11,12 +11,16 @@ Defined results: a null text counts as empty; empty texts are equal to each
 other. Rows that repeat both text and doc_id are one row's identity: they are
 kept or dropped alike. A null doc_id never wins over a number; if a group has
 only nulls, keep_id is null and its rows are kept. Other columns are ignored.
-Two contents with the same SHA-256 digest raise an error instead of merging.
+Two contents with the same SHA-256 digest fall into the same table, which
+raises an error instead of merging them. The stage drops a row by its doc_id and
+text together, so rows that share a doc_id but not the text are judged apart; a
+row without a doc_id goes if its text's group has a number.
 """
 
 from __future__ import annotations
 
 import pickle
+import sys
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm._common import ascii_lower, small_batches
+from larkspan.llm._common import ascii_lower, join_hot, small_batches, stored
 
 #: Bytes of distinct content that one table may hold before it spills.
 TABLE_BYTES = 64 << 20
@@ -45,7 +49,7 @@ def larger(a: int | None, b: int | None) -> int | None:
 
 
 class ContentTable:
-    """Open addressing with linear probing; a slot matches only if the complete contents are equal."""
+    """Open addressing with linear probing; a slot of the same hash and digest must hold the same complete content."""
 
     def __init__(self) -> None:
         self.slots = [-1] * 64
@@ -55,19 +59,21 @@ class ContentTable:
 
     def add(self, record: Record) -> None:
         digest, text, doc_id, n = record
-        h = xxhash.xxh3_64_intdigest(text)
+        h = xxhash.xxh3_64_intdigest(digest)
         mask = len(self.slots) - 1
         at = h & mask
         while (i := self.slots[at]) >= 0:
-            if self.hashes[i] == h and self.rows[i][1] == text:
-                row = self.rows[i]
+            row = self.rows[i]
+            if self.hashes[i] == h and row[0] == digest:
+                if row[1] != text:
+                    raise ValueError(f"two contents share the digest {digest}")
                 row[2], row[3] = larger(row[2], doc_id), row[3] + n
                 return
             at = (at + 1) & mask
         self.slots[at] = len(self.rows)
         self.hashes.append(h)
         self.rows.append([digest, text, doc_id, n])
-        self.bytes += len(text) + 200
+        self.bytes += sys.getsizeof(text) + 300
         if 3 * len(self.rows) > 2 * len(self.slots):
             self._grow()
 
@@ -107,7 +113,7 @@ def grace(records: Iterable[Record], budget: int, depth: int = 0) -> Iterator[li
 
 
 def spill(files: list, record, depth: int) -> None:
-    h = xxhash.xxh3_64_intdigest(record[1], seed=1)
+    h = xxhash.xxh3_64_intdigest(record[0], seed=1)
     pickle.dump(tuple(record), files[h >> (BITS * depth) & FANOUT - 1], protocol=5)
 
 
@@ -151,11 +157,8 @@ def _chunks(rows: list, names: list[str]) -> Iterator[pa.RecordBatch]:
 
 def _tabled(budget: int):
     def tabled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, seen = [], set()
+        out = []
         for row in grace(_records(batches), budget):
-            if row[0] in seen:
-                raise ValueError(f"two contents share the digest {row[0]}")
-            seen.add(row[0])
             out.append((row[0], row[2], row[3]))
             if len(out) == 10_000:
                 yield _batch(out, ["digest", "keep_id", "group_size"], [0, 1, 2])
@@ -177,14 +180,15 @@ def duplicate_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
 def exact_duplicates(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(content(F.col("text")), 256).alias("digest"))
-    groups = duplicate_groups(docs, budget)
-    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    groups = stored(duplicate_groups(docs, budget), "groups")
+    return join_hot(rows, groups, ["digest"], "group_size").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def without_exact_duplicates(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     """docs, all columns, without the rows that an equal text with a larger doc_id replaces."""
-    gone = exact_duplicates(docs, budget).filter(~F.col("kept")).select(F.col("doc_id").alias("__larkspan_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__larkspan_gone"), "left_anti")
+    gone = exact_duplicates(docs, budget).filter(~F.col("kept")).select(F.col("doc_id").alias("__larkspan_gone"), F.col("text_sha256").alias("__larkspan_digest")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__larkspan_gone")) & (F.sha2(content(F.col("text")), 256) == F.col("__larkspan_digest"))
+    return docs.join(gone, same, "left_anti")
 
 
 SQL = """
@@ -193,5 +197,5 @@ WITH d AS (
 ), g AS (
   SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256
 )
-SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)
 """
