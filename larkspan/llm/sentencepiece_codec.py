@@ -1,10 +1,17 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
 The automaton reports, for every position, all pieces that end there (its output
-links); each relaxes the best score at that position. The score of a
-segmentation is the sum of its pieces' scores; a character that no piece covers
-costs PENALTY below the lowest score and becomes its byte pieces, or <unk> if
-the model has none. Equal scores go to the longer last piece.
+links); each relaxes the best reading up to that position. What is best depends
+on the model. In a unigram model it is the sum of the pieces' scores; equal sums
+go to the longer last piece. In a BPE model scores are merge ranks, and the
+model's own reading is the one in which every two neighbours are what merging
+their joined text gives. Of the pieces that end at a position just one follows
+the reading up to its start in this way (readings of a text's beginnings are
+beginnings of readings), so a piece relaxes the position if that test passes,
+and the pass ends with the model's own ids. Tests of pairs are remembered.
+
+A character that no piece covers costs PENALTY below the lowest score and
+becomes its byte pieces, or <unk> if the model has none.
 
 White space is escaped as the model asks: a space becomes U+2581 and one is put
 in front. A piece never holds U+2581 after another character (checked on
@@ -34,8 +41,10 @@ from larkspan.llm._common import small_batches, table
 
 SPACE = "▁"
 PENALTY = 10.0
-#: Segments whose ids a worker remembers.
+#: Segments, and tests of pairs, that a worker remembers.
 CACHE = 800_000
+#: Of the model file: the field of the training options, the field of the model's kind in them, and the kind BPE.
+TRAINER, KIND, BPE = 2, 3, 2
 
 
 def default_model() -> str:
@@ -44,6 +53,34 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out, shift = 0, 0
+        while True:
+            out |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return out
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            yield key >> 3, raw[at : at + size]
+            at += size
+
+
+def is_bpe(model: bytes) -> bool:
+    options = b"".join(v for n, v in fields(model) if n == TRAINER)
+    return dict(fields(options)).get(KIND, 1) == BPE
+
+
 class Codec:
     def __init__(self, path: str) -> None:
         import ahocorasick
@@ -67,6 +104,59 @@ class Codec:
         cut = f"{SPACE}*[^{SPACE}]*" if lines else f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+"
         self.segments = re.compile("(?s).+" if inner else cut)
         self.known: dict[str, bytes] = {}
+        self.bpe = is_bpe(sp.serialized_model_proto())
+        self.rank = {self.pieces[i]: sp.get_score(i) for i in plain}
+        self.pairs: dict[tuple[str, str], bool] = {}
+
+    def merged(self, s: str) -> list[str]:
+        """Merging from single characters: the neighbours whose joined piece has the highest score first, from the left if equal."""
+        parts, rank = list(s), self.rank
+        while len(parts) > 1:
+            best, at = None, -1
+            for k in range(len(parts) - 1):
+                score = rank.get(parts[k] + parts[k + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, k
+            if best is None:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def follows(self, a: str, b: str) -> bool:
+        """Whether merging the text of the pieces a and b gives a and b."""
+        got = self.pairs.get((a, b))
+        if got is None:
+            if len(self.pairs) >= CACHE:
+                self.pairs.clear()
+            got = self.pairs[a, b] = self.merged(a + b) == [x for x in (a, b) if x]
+        return got
+
+    def single(self, i: int) -> bool:
+        """Whether merging the text of piece i gives the piece; pieces that other merges forestall never come up."""
+        return self.follows("", self.pieces[i]) if len(self.pieces[i]) > 1 else True
+
+    def merges(self, s: str) -> list[int]:
+        """The reading of a BPE model."""
+        n, pieces = len(s), self.pieces
+        back, piece = list(range(-1, n)), [-1] * (n + 1)  # a character without a piece stands alone
+        last = [""] + list(s)  # text of the last piece of the reading up to a position
+        for end, (size, _, i) in self.automaton.iter(s):
+            end += 1
+            if piece[end] >= 0 and end - back[end] > 1:
+                continue  # a longer piece has been accepted here
+            start = end - size
+            text = pieces[i]
+            if self.single(i) if start == 0 else self.follows(last[start], text):
+                back[end], piece[end], last[end] = start, i, text
+        out, at = [], n
+        while at:
+            out += [piece[at]] if piece[at] >= 0 else self.spelled(s[at - 1])
+            at = back[at]
+        return out[::-1]
+
+    def spelled(self, c: str) -> list[int]:
+        """Ids of a character that no piece covers, in reverse."""
+        return [self.bytes.get(b, self.unk) for b in reversed(c.encode())] if self.bytes else [self.unk]
 
     def viterbi(self, s: str) -> list[int]:
         n = len(s)
@@ -89,7 +179,7 @@ class Codec:
             if piece[at] >= 0:
                 out.append(piece[at])
             else:
-                out += [self.bytes.get(b, self.unk) for b in reversed(s[back[at] : at].encode())] if self.bytes else [self.unk]
+                out += self.spelled(s[back[at] : at])
             at = back[at]
         return out[::-1]
 
@@ -108,7 +198,7 @@ class Codec:
             if ids is None:
                 if len(known) >= CACHE:
                     known.clear()
-                ids = np.array(self.viterbi(s), "<u4").tobytes()
+                ids = np.array(self.merges(s) if self.bpe else self.viterbi(s), "<u4").tobytes()
                 if len(s) <= 64:
                     known[s] = ids
             out.append(ids)
