@@ -1,24 +1,34 @@
 """Exact top-k inner-product search over an impact-ordered index, score at a time.
 
 Components are integers, floor(SCALE * x). A block of vectors is indexed by
-shifting every dimension to be non-negative; the posting list of (dimension,
-plane) holds the vectors whose shifted value has that bit, and its quantised
-impact is the query's weight times 2**plane. Planes are processed by descending
-impact, all queries of a tile at once. After each plane the unprocessed rest of
-a score lies between known bounds, so a vector leaves as soon as its upper bound
-is below a query's k-th best lower bound: that is the proof, and processing ends
-when it holds for all but a few vectors. Those are rescored exactly.
-
-Queries are dealt by a hash into chunks of at most about CHUNK, each broadcast
-by itself (CHUNK vectors, so of bounded size); every candidate is read once per
-chunk and never shuffled. Each task returns its k best per query, packed into
-one row, and these are merged in two steps.
+shifting every dimension to be non-negative; a posting segment (dimension,
+plane) marks the vectors whose shifted value has that bit. For a query, the
+impact of a segment is its weight in that dimension times 2**plane, and segments
+are processed by descending impact, quantised to powers of two: first those of
+the highest level in all dimensions, then the next level. After each level the
+unprocessed rest of a score lies between the sums of the negative and of the
+positive impacts left, so a vector leaves as soon as its upper bound is below
+the query's k-th best lower bound: that is the proof. Later levels skip the
+vectors that left. When few are left, or nothing is left to process, the rest is
+rescored exactly.
+
+Queries are dealt by a hash into chunks of about CHUNK_BYTES, each broadcast by
+itself; every candidate is read once per chunk and never shuffled. (Building a
+block's index costs as much as some ten queries of the thousands in a chunk, so
+it isn't kept between chunks.) Each task returns its k best per query, packed
+into one row, and these are merged in two steps.
+
+Scores are 64-bit integers. Bounds are kept as doubles, which are exact below
+2**53; blocks and queries whose scores could exceed that are scored in whole
+with integers of any size, and a score beyond 64 bits raises an OverflowError.
 
 Defined results: vectors that are null, or hold a null or non-finite component,
 take no part; shorter vectors count as padded with zeros. Ties go to smaller
-vec_id. A candidate with the query's own vec_id is the query itself and is left
-out; rows that repeat a vec_id are each a candidate of the others. Fewer than k
-candidates are all returned. Rows with a null vec_id take no part.
+vec_id. "A query's own row" is every row with its vec_id: none of these is a
+candidate of the query, each is one of the others. A query row that is listed
+several times asks once; different vectors under one vec_id ask for the k best of
+all of theirs together. Fewer than k candidates are all returned. Rows with
+a null vec_id take no part.
 """
 
 from __future__ import annotations
@@ -33,10 +43,12 @@ from pyspark.sql import functions as F
 from larkspan.llm._common import stored, table
 
 SCALE, K, EVERY = 64, 20, 20
-#: Queries that are broadcast at a time, and the tile of them that is scored at once.
-CHUNK, TILE = 16_384, 256
+#: Bytes of the queries that are broadcast at a time.
+CHUNK_BYTES = 8 << 20
 #: Rescoring starts when at most this share of a block is left.
 FEW = 0.02
+#: Doubles hold integers up to here exactly.
+EXACT = 2**53
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -55,33 +67,55 @@ def matrix(rows: list, width: int) -> np.ndarray:
 
 
 class ImpactIndex:
-    """Posting lists of a block by (plane, dimension), as 0/1 matrices of one plane each."""
+    """Posting segments of a block: marks[s] has a 1 for each vector of segment s, which stands for 2**plane[s] in dimension[s]."""
 
     def __init__(self, vectors: np.ndarray) -> None:
         self.vectors = vectors
-        self.low = vectors.min(0) if len(vectors) else np.zeros(vectors.shape[1], np.int64)
-        shifted = vectors - self.low
-        self.planes = [(p, (shifted >> p & 1).astype(np.float64).T.copy()) for p in reversed(range(int(shifted.max(initial=0)).bit_length()))]
-
-    def search(self, queries: np.ndarray, floor: np.ndarray, k: int, own: np.ndarray) -> list[np.ndarray]:
-        """For each query the rows of this block that can be among the k best, given that a score below floor can't be. own: by query and row, rows that are the query itself."""
-        weights = queries.astype(np.float64)
-        base = weights @ self.low.astype(np.float64)
-        gain, loss = np.maximum(weights, 0).sum(1), np.minimum(weights, 0).sum(1)
+        n, width = vectors.shape
+        self.low, top = (vectors.min(0), vectors.max(0)) if n else (np.zeros(width, np.int64),) * 2
+        self.reach = np.maximum(np.abs(self.low.astype(np.float64)), np.abs(top.astype(np.float64)))
+        self.exact = bool((self.reach < EXACT).all())
+        marks, dimension, plane = [], [], []
+        if self.exact:
+            shifted = vectors - self.low
+            for d in range(width):
+                for p in range(int(shifted[:, d].max(initial=0)).bit_length()):
+                    marks.append((shifted[:, d] >> p & 1).astype(np.uint8))
+                    dimension.append(d)
+                    plane.append(p)
+        self.marks = np.stack(marks) if marks else np.zeros((0, n), np.uint8)
+        self.dimension, self.plane = np.array(dimension, np.int64), np.array(plane, np.int64)
+
+    def search(self, query: np.ndarray, floor: int, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of this block, those in own left out, that can be among the k best, given that a score below floor can't be; and their scores."""
         n = len(self.vectors)
-        known = np.where(own, -np.inf, base[:, None])
-        alive = np.ones(known.shape, bool)
-        for p, plane in self.planes:
-            known += (1 << p) * (weights @ plane)
-            rest = float((1 << p) - 1)
-            bound = floor.astype(np.float64)
-            if n > k:
-                kth = np.partition(known, n - k, axis=1)[:, n - k]
-                bound = np.maximum(bound, kth + rest * loss)
-            alive = known + (rest * gain)[:, None] >= bound[:, None]
-            if alive.sum() <= FEW * alive.size:
+        rows = np.setdiff1d(np.arange(n), own, assume_unique=True)
+        if not self.exact or 4 * float(self.reach @ np.abs(query.astype(np.float64))) >= EXACT:
+            whole = self.vectors[rows].astype(object) @ query.astype(object)
+            return rows, np.array([int(x) for x in whole], np.int64)
+        impact = query[self.dimension].astype(np.float64) * np.exp2(self.plane)
+        level = np.frexp(np.abs(impact))[1]
+        order = np.argsort(-level, kind="stable")
+        order = order[impact[order] != 0]
+        ends = [*(np.flatnonzero(np.diff(level[order])) + 1).tolist(), len(order)] if len(order) else []
+        gain = float(np.maximum(impact, 0).sum())
+        loss = float(np.minimum(impact, 0).sum())
+        known = np.full(len(rows), float(query @ self.low))
+        at = 0
+        for end in ends:
+            segments = order[at:end]
+            w = impact[segments]
+            known += w @ (self.marks[segments] if len(rows) == n else self.marks[np.ix_(segments, rows)])
+            gain, loss, at = gain - float(np.maximum(w, 0).sum()), loss - float(np.minimum(w, 0).sum()), end
+            bound = float(floor)
+            if len(rows) > k:
+                bound = max(bound, float(np.partition(known, len(rows) - k)[len(rows) - k]) + loss)
+            alive = known + gain >= bound
+            if not alive.all():
+                rows, known = rows[alive], known[alive]
+            if len(rows) <= FEW * n:
                 break
-        return [np.flatnonzero(a) for a in alive]
+        return rows, self.vectors[rows] @ query
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,21 +125,21 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 def _searched(queries, k: int):
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qid, rows = queries.value
+        qid, asked = queries.value
         none = np.empty(0, np.int64)
-        best, low = [(none, none)] * len(qid), np.full(len(qid), np.iinfo(np.int64).min)
+        best = [(none, none)] * len(qid)
         for f in frames:
-            width = max(max(map(len, f["v"]), default=0), rows.shape[1])
+            width = max(max(map(len, f["v"]), default=0), asked.shape[1])
             vectors, ids = matrix(list(f["v"]), width), f["vec_id"].to_numpy()
-            mine = np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
-            index = ImpactIndex(vectors)
-            for a in range(0, len(qid), TILE):
-                for i, at in enumerate(index.search(mine[a : a + TILE], low[a : a + TILE], k, qid[a : a + TILE, None] == ids), a):
-                    at = at[ids[at] != qid[i]]
-                    if len(at):
-                        best[i] = best_of(np.concatenate([best[i][0], ids[at]]), np.concatenate([best[i][1], vectors[at] @ mine[i]]), k)
-                        if len(best[i][0]) == k:
-                            low[i] = best[i][1][-1]
+            mine = np.pad(asked, ((0, 0), (0, width - asked.shape[1])))
+            index, sorted_by = ImpactIndex(vectors), np.argsort(ids, kind="stable")
+            lo, hi = np.searchsorted(ids[sorted_by], qid, "left"), np.searchsorted(ids[sorted_by], qid, "right")
+            for i in range(len(qid)):
+                held = best[i]
+                floor = int(held[1][-1]) if len(held[0]) == k else np.iinfo(np.int64).min
+                at, scores = index.search(mine[i], floor, k, np.sort(sorted_by[lo[i] : hi[i]]))
+                if len(at):
+                    best[i] = best_of(np.concatenate([held[0], ids[at]]), np.concatenate([held[1], scores]), k)
         for a in range(0, len(qid), 4096):
             some = [i for i in range(a, min(a + 4096, len(qid))) if len(best[i][0])]
             if not some:
@@ -128,9 +162,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     spark = vectors.sparkSession
     v = quantised(F.col("embedding"), scale)
     index = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
-    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
-    n = asked.count()
-    chunks = -(-n // CHUNK) or 1
+    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL").distinct()
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    chunks = -(-n * 8 * max(1, width or 0) // CHUNK_BYTES) or 1
     results = []
     for c in range(chunks):
         f = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).toPandas()
@@ -158,7 +192,7 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND c.vec_id <> q.vec_id
+  FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % {EVERY} = 0) q JOIN v c ON c.vec_id <> q.vec_id
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
