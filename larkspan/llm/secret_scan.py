@@ -39,6 +39,8 @@ MIN_TOKEN = 20
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 THRESHOLD = 12.0
 GENERATED = 2000
+BLOCK = 128
+FAR = 2**31 - 1
 SAMPLE_DOCS = 400
 IDENTIFIER_WORDS = (
     "user name file path data index value count list item node page request response error handler config server client cache key "
@@ -48,17 +50,23 @@ IDENTIFIER_WORDS = (
 ).split()
 
 
-def _positions(steps: Column) -> Column:
-    """Running sums of an array of ints, each sum taken over its block and the blocks before it, so that long arrays stay cheap."""
-    size = 128
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / size).cast("int")), lambda b: F.aggregate(F.slice(steps, b * size + 1, F.lit(size)), F.lit(0), lambda s, x: s + x))
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def upto(i: Column) -> Column:
-        b = F.floor(i / size).cast("int")
-        head = F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0), lambda s, x: s + x)
-        return head + F.aggregate(F.slice(steps, b * size + 1, i - b * size + 1), F.lit(0), lambda s, x: s + x)
 
-    return F.transform(F.sequence(F.lit(0), F.size(steps) - 1), upto)
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or maxima) of an array of ints from 0 on. Each is taken over its block of BLOCK and the sum of the blocks before, so that long arrays stay cheap."""
+
+    def over(v: Column) -> Column:
+        total = lambda part: F.aggregate(part, F.lit(0), join)
+        block = lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK))
+        numbers = F.sequence(F.lit(0), F.floor(F.size(v) / BLOCK).cast("int"))
+        heads = bound(F.transform(numbers, lambda b: total(block(b))), lambda sums: F.transform(numbers, lambda b: F.struct(b.alias("b"), total(F.slice(sums, F.lit(1), b)).alias("head"))))
+        within = lambda part, head: F.transform(part, lambda x, i: join(head, total(F.slice(part, F.lit(1), i + 1))))
+        return F.flatten(F.transform(heads, lambda h: bound(block(h["b"]), lambda part: within(part, h["head"]))))
+
+    return bound(values, over)
 
 
 NO_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -69,11 +77,29 @@ def matches(text: Column, pattern: str, group: int, least: int, quick: str, kind
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)  # what stands before, between and after the matches
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-    spans = F.zip_with(F.arrays_zip(found.alias("m"), held.alias("v")), _positions(steps), lambda x, end: F.struct((end - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.when(F.length(x["v"]) >= least, x["m"]).alias("value")))
+    steps = lambda m: F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, x: F.length(g) + F.length(x))
+    ends = lambda m: running(steps(m), lambda s, x: s + x)
+    spans = bound(found, lambda m: F.zip_with(F.arrays_zip(m.alias("m"), held.alias("v")), ends(m), lambda x, end: F.struct((end - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.when(F.length(x["v"]) >= least, x["m"]).alias("value"))))
     return F.coalesce(F.when(text.rlike(quick), F.filter(spans, lambda s: s["value"].isNotNull())), F.array().cast(NO_SPANS))
 
 
+def higher(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def apart(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span. In order of their starts, a span overlaps one before it that ends after its start, or the next one if that starts before its end."""
+    inside = lambda x: x["kind"] < len(KINDS)
+
+    def among(every: Column) -> Column:
+        ends = running(F.transform(every, lambda x: F.when(inside(x), x["end"]).otherwise(0)), higher)
+        # starts from the back, as distances from FAR, so that the nearest one is the greatest
+        starts = F.reverse(running(F.transform(F.reverse(every), lambda x: F.when(inside(x), FAR - x["start"]).otherwise(0)), higher))
+        return bound(ends, lambda e: bound(starts, lambda s: F.filter(every, lambda x, i: ~inside(x) & (F.get(e, i) <= x["start"]) & (FAR - F.get(s, i) >= x["end"]))))
+
+    return F.when(F.size(base) == 0, tokens).otherwise(bound(F.array_sort(F.concat(base, tokens)), among))
+
+
 def labelled_samples(docs: DataFrame, generated: int = GENERATED, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """value, random (1 or 0): strings made by rule, and words of a bounded sample of documents."""
     ids = docs.sparkSession.range(generated)
@@ -125,8 +151,7 @@ def secret_spans(docs: DataFrame, model: list[float] | None = None, threshold: f
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(*[matches(text, p, g, least, quick, k) for k, (_, p, g, least, quick) in enumerate(KINDS)]))
     tokens = matches(text, TOKEN, 0, MIN_TOKEN, TOKEN, len(KINDS))
-    free = F.filter("__larkspan_tokens", lambda t: (F.size("__larkspan_base") == 0) | ~F.exists("__larkspan_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    random = F.filter(free, lambda t: ratio(t["value"], held) > threshold)
+    random = F.filter(apart(F.col("__larkspan_tokens"), F.col("__larkspan_base")), lambda t: ratio(t["value"], held) > threshold)
     return docs.withColumn("__larkspan_base", base).withColumn("__larkspan_tokens", tokens).withColumn("__larkspan_spans", F.when(F.size("__larkspan_tokens") == 0, F.col("__larkspan_base")).otherwise(F.array_sort(F.concat("__larkspan_base", random)))).drop("__larkspan_tokens")
 
 
