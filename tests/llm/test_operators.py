@@ -204,6 +204,30 @@ def test_near_duplicates_of_a_long_chain(spark):
     assert {r.doc_id: r.n_links for r in out} == {d: 1 if i in (0, 299) else 2 for i, d in enumerate(ids)}
 
 
+def test_search_beyond_exact_doubles(spark):
+    rng = np.random.default_rng(11)
+    v = [[int(x) for x in rng.integers(-(2**30), 2**30, 4)] for _ in range(300)]
+    df = spark.createDataFrame([(i, [x / 64 for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    out = topk_search.top_k(df, df.filter("vec_id % 20 = 0"), 20).collect()
+    for i in range(0, 300, 20):
+        want = sorted((-sum(a * b for a, b in zip(v[i], v[j], strict=True)), j) for j in range(300) if j != i)[:20]
+        assert [(-r.score, r.vec_id) for r in sorted(out, key=lambda r: r.rank) if r.query_id == i] == want
+
+
+def test_segments_go_by_impact_and_skip_the_dead():
+    rng = np.random.default_rng(12)
+    v = rng.integers(-40, 40, (2000, 24))
+    v[:30] += 60
+    index = topk_search.ImpactIndex(v)
+    for query in (rng.integers(0, 60, 24), rng.integers(-60, 60, 24), np.zeros(24, np.int64), np.arange(24) * 1000):
+        scores = v @ query
+        own = np.array([3, 77])
+        rows, got = index.search(query, np.iinfo(np.int64).min, 20, own)
+        best = [j for j in np.lexsort((np.arange(2000), -scores)) if j not in own][:20]
+        assert set(best) <= set(rows.tolist()) and (got == scores[rows]).all() and not set(own) & set(rows.tolist())
+    assert len(index.search(np.full(24, 5), np.iinfo(np.int64).min, 20, own)[0]) < 100
+
+
 def test_toxicity_held_out():
     rng = random.Random(4)
     plain = [f"{a}{b}{c}" for a in "bcdfglmnprst" for b in ("an", "er", "il", "on") for c in ("", "ta", "del", "so")]
@@ -223,21 +247,85 @@ def test_toxicity_held_out():
     assert model.score(f"{clean} 12345 a b c 3.14 x=y") < toxicity.CUT
 
 
-def test_sentencepiece_against_brute_force(documents):
+def readings(stretch, model):
+    """Every reading of a lattice with its cost, by enumeration."""
+    import itertools
+
+    choices, last = [], ""
+    for c in stretch.lower():
+        if c in toxicity.SEPARATORS:
+            reads = [("", toxicity.COST["drop"] * (c != last)), (" ", toxicity.COST["break"])]
+        elif c in toxicity.STANDS_FOR:
+            reads = [(x, toxicity.COST["stands"]) for x in toxicity.STANDS_FOR[c]] + [("", toxicity.COST["sign"])] + [("", toxicity.COST["repeat"])] * (c == last)
+        else:
+            reads = [(c, 0.0)] + [("", toxicity.COST["repeat"])] * (c == last)
+        choices.append(reads)
+        last = c
+    for path in itertools.product(*choices, [("", toxicity.COST["drop"] * (last != " ")), (" ", toxicity.COST["break"])]):
+        text, cost = "  ", 0.0
+        for x, channel in path:
+            cost += channel
+            if x and not (x == " " and text[-1] == " "):
+                cost += model.cost(text[-2:], x)
+                text += x
+        yield cost + (0.0 if text[-1] == " " else model.cost(text[-2:], " ")), text.strip()
+
+
+def test_lattices_against_enumeration():
+    from collections import Counter
+
+    model = toxicity.CharModel(Counter({"toll": 9, "leet": 7, "all": 5, "so": 4, "isle": 3, "glass": 3, "to": 2}))
+    for stretch in ("l33t", "t-o-l-l", "s o", "a11", "1sle", "gl@$$", "aalll", "t.0..ll", "$0", "!!s1e"):
+        want = min(cost for cost, _ in readings(stretch, model))
+        got = toxicity.restored(stretch, model)
+        assert any(text == got and abs(cost - want) < 1e-9 for cost, text in readings(stretch, model)), (stretch, got)
+
+
+def test_disguise_patterns_take_linear_time():
+    import time
+
+    start = time.monotonic()
+    model = toxicity.CharModel(toxicity.Counter({"abc": 1}))
+    for text in ("ab" * 500_000, "ab" * 500_000 + "1", "a_" * 200_000 + "zz", "a" + " " * 300_000 + "b", "0a" * 100_000):
+        toxicity.words_of(text, model)
+    assert time.monotonic() - start < 60
+
+
+def test_one_rule_for_lexicon_entries_at_every_size():
+    for n in (50, 399, 400, 1200):
+        toxic, clean = [{"bad", f"t{i}"} for i in range(n)], [{f"c{i}"} for i in range(9 * n)]
+        for i in range(n // 2, n // 2 + 2):
+            toxic[i] = {"rare"}
+        assert "rare" in toxicity.lexicon(toxic, clean)  # two of two documents: chance 0.01
+        assert "rare" not in toxicity.lexicon(toxic, clean[:n])  # chance 0.25
+
+
+def test_sentencepiece_ids_are_the_models(documents):
+    import sentencepiece
+
+    c, rng = sentencepiece_codec.codec_of(sentencepiece_codec.default_model()), random.Random(6)
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    made = ["".join(rng.choices("ab cetinro\n\u2581日!1.-=", k=rng.randint(1, 60))) for _ in range(1000)]
+    for text in [*documents.values(), *made, "a  b   c\n\n x", "  ", "日本\n語", "x\ty", "a" * 300, "<s> </s> <0x41>"]:
+        ids = c.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(text) and c.decode(ids) == text.replace("\u2581", " ")
+
+
+def test_sentencepiece_sums_against_brute_force(documents):
     c = sentencepiece_codec.codec_of(sentencepiece_codec.default_model())
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
     score = {c.pieces[i]: sp.get_score(i) for i in range(len(c.pieces)) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
     for text in [*[t[:300] for t in list(documents.values())[:40]], "a  b   c\n\n x", "  ", "日本\n語", "x\ty"]:
-        ids = np.frombuffer(c.encode(text), "<u4")
-        assert c.decode(ids.tobytes()) == text == sp.decode(ids.tolist())
         s = "▁" + text.replace(" ", "▁")
+        ids = c.viterbi(s)
+        assert c.decode(np.array(ids, "<u4").tobytes()) == text
         best = [0.0]
         for e in range(1, len(s) + 1):
             best.append(max([best[e - 1] + c.missing, *[best[b] + score[s[b:e]] for b in range(max(0, e - 20), e) if s[b:e] in score]]))
-        raw = b"".join(c.value.get(i, b"") for i in ids.tolist()).decode()
-        got = sum(score[c.pieces[i]] for i in ids.tolist() if i not in c.value) + len(raw) * c.missing
+        raw = b"".join(c.value.get(i, b"") for i in ids).decode()
+        got = sum(score[c.pieces[i]] for i in ids if i not in c.value) + len(raw) * c.missing
         assert abs(got - best[-1]) < 1e-3
 
 
@@ -293,7 +381,7 @@ def test_search_is_exact_in_chunks(spark, monkeypatch):
     v = rng.normal(size=(700, 12)) * 3
     v[50:90] = v[50]
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
-    monkeypatch.setattr(topk_search, "CHUNK", 10)
+    monkeypatch.setattr(topk_search, "CHUNK_BYTES", 10 * 12 * 8)
     out = topk_search.top_k(df, df.filter("vec_id % 20 = 0"), 20).collect()
     q = np.floor(64 * v).astype(int)
     for i in range(0, 700, 20):
@@ -315,7 +403,7 @@ def test_search_with_repeated_query_rows(spark):
             q = np.floor(64 * np.array(list(embeddings["embedding"]))).astype(int)
             s, ids = q @ q[0], embeddings["vec_id"].to_numpy()
             want = [(k + 1, int(ids[j]), int(s[j])) for k, j in enumerate([j for j in np.lexsort((ids, -s)) if ids[j] != 0][:20])]
-        else:  # each row of the query asks, as in the SQL
+        else:  # rows that repeat the query ask once, as in the SQL
             con.register("embeddings", embeddings)
             want = sorted(con.sql(f"SELECT rank, vec_id, score FROM ({topk_search.SQL})").fetchall())
         assert got == want
