@@ -7,9 +7,10 @@ subset-sum program over the available lengths finds the fullest combination
 that fits beside it, and the combination is removed - as often as the histogram
 holds it, since the next bin would choose it again. The resulting patterns
 are handed to the executors, and a piece finds its place from its rank among the
-pieces of its length. Ranks come from salted counts, so that a length which a
-third of all pieces have (full pieces, a group of copies) is not sorted in one
-task.
+pieces of its length. Nothing is sorted for that: while pieces are written, each
+task numbers those of a length as they come, and the counts of the tasks before
+are added. So a length which a third of all pieces have (full pieces, a group of
+copies) is spread over as many tasks as wrote them.
 
 Defined results: a null text counts as empty, and a document always ends with
 END, so it has a piece of one token at least. Every input row is packed, rows
@@ -27,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +37,6 @@ from larkspan.llm._common import small_batches, stored, table
 
 CAPACITY = 2048
 END = 0
-SALTS = 64
 #: Chunks of text whose ids a worker remembers; some 150 bytes each.
 CACHE = 1_000_000
 #: Marks that never join a run of letters. The apostrophe does: the file's pattern knows endings like 's.
@@ -219,26 +220,41 @@ def places(patterns: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray,
     return {n: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for n, rows in out.items()}
 
 
+def _numbered(length: int, names: list[str]):
+    """Adds _part, the writing task, and _rank, the number of pieces of the same length that the task has seen before."""
+
+    def numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), {}
+        for b in batches:
+            n = b.column(length).to_numpy(zero_copy_only=False)
+            rank = np.zeros(len(n), np.int64)
+            order = np.argsort(n, kind="stable")
+            values, starts, sizes = np.unique(n[order], return_index=True, return_counts=True)
+            for v, at, k in zip(values.tolist(), starts.tolist(), sizes.tolist(), strict=True):
+                before = seen.get(v, 0)
+                rank[order[at : at + k]] = np.arange(before, before + k)
+                seen[v] = before + k
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(rank)], names=[*names, "_part", "_rank"])
+
+    return numbered
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (with a column length of 1 to capacity) with sequence_id and offset added."""
     spark = pieces.sparkSession
-    dealt = stored(pieces.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in pieces.columns]), F.lit(SALTS)).cast("int")), "pieces")
-    counts = dealt.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
-    held = [(r["length"], r["_salt"], r["n"]) for r in counts.orderBy("length", "_salt").collect()]  # capacity * SALTS rows at most
-    histogram: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for length, salt, n in held:
-        before[length, salt] = histogram.get(length, 0)
-        histogram[length] = histogram.get(length, 0) + n
-    placed = spark.sparkContext.broadcast((places(minimum_bin_slack(histogram, capacity)), before))
-    order = W.partitionBy("length", "_salt").orderBy(*[F.col(c) for c in pieces.columns])
-    ranked = dealt.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    dealt = stored(pieces.mapInArrow(_numbered(pieces.columns.index("length"), pieces.columns), f"{kinds}, _part int, _rank long"), "pieces")
+    counts = dealt.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = stored(counts.select("length", "_part", "_n", earlier.alias("_before")), "starts")
+    histogram = {r["length"]: r["n"] for r in starts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
+    placed = spark.sparkContext.broadcast(places(minimum_bin_slack(histogram, capacity)))  # capacity patterns at most: each uses a length up
+    ranked = dealt.join(starts.drop("_n"), ["length", "_part"])
 
     @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        table, start = placed.value
-        n = length.to_numpy()
-        r = rank.to_numpy() + np.fromiter((start[x] for x in zip(n.tolist(), salt.tolist(), strict=True)), np.int64, len(n))
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        table = placed.value
+        n, r = length.to_numpy(), rank.to_numpy()
         seq, off = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         for v in np.unique(n):
             at = np.flatnonzero(n == v)
@@ -248,7 +264,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             seq[at], off[at] = bins[p] + k // per[p], where[p] + k % per[p] * v
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
-    return ranked.withColumn("_at", place("length", "_salt", "_rank")).select(*pieces.columns, "_at.sequence_id", "_at.offset")
+    return ranked.withColumn("_at", place("length", F.col("_rank") + F.col("_before"))).select(*pieces.columns, "_at.sequence_id", "_at.offset")
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
