@@ -102,30 +102,65 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+class Open:
+    """The open elements, with their numbers by tag, so that a tag which isn't open costs no search."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple]] = []
+        self.blocks: list[tuple[str, tuple]] = []  # those that aren't inline
+        self.n: dict[str, int] = {}
+
+    def push(self, tag: str, names: tuple) -> None:
+        self.stack.append((tag, names))
+        self.n[tag] = self.n.get(tag, 0) + 1
+        if tag not in INLINE:
+            self.blocks.append((tag, names))
+
+    def cut(self, k: int) -> None:
+        for tag, _ in self.stack[k:]:
+            self.n[tag] -= 1
+            if tag not in INLINE:
+                self.blocks.pop()
+        del self.stack[k:]
+
+    def close(self, tags: set[str], until: set[str] | None = None, inline_only: bool = False) -> None:
+        """Closes the innermost of tags and what is open in it, unless one of until, or with inline_only any block, is met first."""
+        if not any(self.n.get(t) for t in tags):
+            return
+        for k in range(len(self.stack) - 1, -1, -1):
+            tag = self.stack[k][0]
+            if tag in tags:
+                self.cut(k)
+                return
+            if (until is not None and tag in until) or (inline_only and tag not in INLINE):
+                return
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """A block's path has (tag, names) of each ancestor, from the outside."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    open_ = Open()
     held: list[str] = []
-    linked, path = 0, ()
+    linked, path, blank = 0, (), True
     at, n = 0, len(page)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, blank
         if held:
             text = " ".join("".join(held).split())
             if text:
                 out.append(Block(path, text, linked))
             held.clear()
-        linked = 0
+        linked, blank = 0, True
 
     def add(raw: str) -> None:
-        nonlocal path, linked
+        nonlocal path, linked, blank
         text = html.unescape(raw) if "&" in raw else raw
-        if not held or not "".join(held).strip():
-            path = tuple(x for x in stack if x[0] not in INLINE)
+        if blank:
+            path = tuple(open_.blocks)
+            blank = not text.strip()
         held.append(text)
-        if any(x[0] == "a" for x in stack):
+        if open_.n.get("a"):
             linked += len(text)
 
     tags = Tags(page)
@@ -147,12 +182,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if closing:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            open_.close({tag}, inline_only=tag in INLINE)
             continue
         if tag in RAW:
             flush()
@@ -169,22 +199,12 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
             if tag not in ("tr", "td", "th", "dt", "dd", "li"):
-                for k in range(len(stack) - 1, -1, -1):  # an open paragraph ends here
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SCOPES:
-                        break
+                open_.close({"p"}, SCOPES)  # an open paragraph ends here
             if tag in CLOSES:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in CLOSES[tag]:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table"):
-                        break
+                open_.close(CLOSES[tag], {"ul", "ol", "dl", "table"})
         names = tuple(dict.fromkeys(w.lower() for a in NAMES.findall(attributes) for w in PART.findall("".join(a)))) if attributes else ()
         if not (attributes.endswith("/") and tag not in INLINE):
-            stack.append((tag, names))
+            open_.push(tag, names)
     flush()
     return out
 
