@@ -3,7 +3,8 @@
 A rule is a host and a path prefix. A url's possible rules are its host's
 suffixes (at label boundaries) joined with its path's prefixes of the lengths
 that occur in the list. Those that the filter lets pass go to an equi-join with
-the list, which removes false positives; the longest rule decides.
+the list, which removes false positives; the longest rule decides. Urls without
+a candidate take no part in the join and aren't shuffled.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and no rule. Every input row gives one output row, repeated ones too. A host is
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm._common import LOWER, UPPER, ascii_lower, table
+from larkspan.llm._common import LOWER, UPPER, ascii_lower, stored, table
 
 #: Words of 32 bits in a block; a key sets one bit in each.
 WORDS = 8
@@ -109,13 +110,16 @@ def judge_urls(urls: DataFrame, rules: DataFrame, column: str = "url", default:
         F.coalesce(F.regexp_extract(column, URL, 2), F.lit("")).alias("path"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    probes = parsed.withColumn("_key", F.explode_outer(possible("host", "path")))
+    probed = stored(parsed.withColumn("_keys", possible("host", "path")), "probed")
+    probes = probed.filter(F.size("_keys") > 0).withColumn("_key", F.explode("_keys")).drop("_keys")
     hits = probes.join(listed.select(F.col("key").alias("_key"), "rule_host", "rule_path", "rule_verdict"), "_key", "left")
     # the host's and the path's boundary is compared too: a key alone doesn't tell them apart
     fits = F.col("rule_host").isNotNull() & F.col("path").startswith(F.col("rule_path")) & ((F.col("host") == F.col("rule_host")) | F.col("host").endswith(F.concat(F.lit("."), F.col("rule_host"))))
     best = F.max(F.when(fits, F.struct(F.length("_key").alias("n"), F.length("rule_host").alias("h"), F.col("rule_verdict").alias("verdict"), F.col("_key").alias("rule")))).alias("_best")
-    out = hits.groupBy("_row").agg(F.first("_in").alias("_in"), F.first("host").alias("host"), F.first("path").alias("path"), best)
-    return out.select("_in.*", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    judged = hits.groupBy("_row").agg(F.first("_in").alias("_in"), F.first("host").alias("host"), F.first("path").alias("path"), best)
+    some = judged.select("_in.*", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    none = probed.filter(F.size("_keys") == 0).select("_in.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return none.unionByName(some)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
