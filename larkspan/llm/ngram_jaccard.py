@@ -2,7 +2,7 @@
 
 1. Each document becomes a set of 64-bit shingle fingerprints (WORDS consecutive
    words, lower-cased, between white space; shorter texts are one shingle), a
-   signature of HASHES MinHash values, and BANDS keys of them. Documents with
+   signature of HASHES MinHash values, cut into BANDS keys. Documents with
    equal sets are one class; only one of it goes on, with the class's size.
 2. Classes that share a band key meet in its bucket, with their signatures. A
    pair at the threshold misses all bands with probability
@@ -108,12 +108,9 @@ def _scattered(x: np.ndarray) -> np.ndarray:
     return x * np.uint32(0x45D9F3B)
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    rows = signature.astype(np.uint64).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32)
-    for i in range(ROWS):
-        key = mixed(key + rows[:, i])
-    return key.astype(np.int64)
+def share_band(signatures: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which signatures agree with one in all values of some band."""
+    return (signatures == one).reshape(len(signatures), BANDS, ROWS).all(2).any(1)
 
 
 @lru_cache(maxsize=8)
@@ -132,7 +129,7 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("tid", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("tid", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("signature", pa.binary())])
 
 
 def _signed(words: int):
@@ -145,10 +142,9 @@ def _signed(words: int):
                 if len(s):
                     raw = s.tobytes()
                     key = np.array([xxhash.xxh3_64_intdigest(raw), xxhash.xxh3_64_intdigest(raw, seed=1)], np.uint64).astype(np.int64).tolist()
-                    signature = minhash(s)
-                    out.append((doc_id, tid, *key, len(s), signature.astype("<u4").tobytes(), band_keys(signature).tolist()))
+                    out.append((doc_id, tid, *key, len(s), minhash(s).astype("<u4").tobytes()))
                 else:
-                    out.append((doc_id, tid, None, None, 0, None, None))
+                    out.append((doc_id, tid, None, None, 0, None))
             cols = list(zip(*out, strict=True)) or [[]] * len(SIGNED)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, SIGNED.types, strict=True)], schema=SIGNED)
 
@@ -194,13 +190,12 @@ def alike(sizes: np.ndarray, signatures: np.ndarray, a: int, other: np.ndarray,
 def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
     """Of all pairs of a row in left and a larger one in right, those that share a band key, survive pruning and reach the threshold exactly."""
     signatures = np.stack([minhash(s) for s in sets])
-    keys = np.stack([band_keys(s) for s in signatures])
     least = least_matches(threshold, tolerance)
     sizes = np.array([len(s) for s in sets])
     found = []
     for a in left.tolist():
         other = right[right > a] if len(left) == len(right) and (left == right).all() else right
-        other = alike(sizes, signatures, a, other[(keys[other] == keys[a]).any(1)], threshold, least)
+        other = alike(sizes, signatures, a, other[share_band(signatures[other], signatures[a])], threshold, least)
         if len(other):
             found.append((a, other))
     if not found:
@@ -328,8 +323,9 @@ def _two_by_two(blocked: DataFrame, key: str, *columns: str) -> DataFrame:
 
 
 def candidate_clusters(classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, bucket: int = BUCKET) -> DataFrame:
-    """node, comp: classes (cid, n, signature, bands) that pairs which survive pruning connect."""
-    keys = classes.select("cid", F.explode("bands").alias("band"))
+    """node, comp: classes (cid, n, signature) that pairs which survive pruning connect."""
+    band = lambda b: F.xxhash64(b, F.substring("signature", 4 * ROWS * b + 1, 4 * ROWS))
+    keys = classes.select("cid", F.explode(F.array(*[band(F.lit(b)) for b in range(BANDS)])).alias("band"))
     shared = stored(keys.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared")
     held = join_hot(keys, shared, ["band"], "m").join(classes.select("cid", "n", "signature"), "cid")
     blocks = F.ceil(F.col("m") / bucket).cast("int")
@@ -342,9 +338,9 @@ def _linked(docs: DataFrame, words: int, threshold: float, tolerance: float) ->
     """One row per input row: doc_id, tid (digest of the text), class_id, copy_id, n_links, n_shingles, stays (whether the row is the one of its class that has the smallest doc_id, then tid)."""
     small_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("tid"), "text")
-    signed = stored(text.mapInArrow(_signed(words), "doc_id long, tid string, k1 long, k2 long, n int, signature binary, bands array<long>"), "signed")
-    # every row of a class has the same n, signature and bands
-    grouped = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tid")).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "signature", "bands")])
+    signed = stored(text.mapInArrow(_signed(words), "doc_id long, tid string, k1 long, k2 long, n int, signature binary"), "signed")
+    # every row of a class has the same n and signature
+    grouped = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tid")).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "signature")])
     classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     comps = stored(candidate_clusters(classes, threshold, tolerance), "clusters")
     members = comps.select(F.col("node").alias("cid"), "comp").join(classes.select("cid", "first", "copies", "n"), "cid")
