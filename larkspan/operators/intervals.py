@@ -15,11 +15,24 @@ def union_length(df: DataFrame, keys: list[str], start: str = "t0", end: str = "
     return df.withColumn("_add", F.greatest(added, F.lit(0).cast("long"))).groupBy(*keys).agg(F.sum("_add").alias("busy"))
 
 
-def gap_sessions(df: DataFrame, keys: list[str], gap: int, ties: list[str], start: str = "t0", end: str = "t1") -> DataFrame:
-    """df with session, from 0: a new one begins where a row starts more than gap after the previous row's end."""
-    order = W.partitionBy(*keys).orderBy(start, *ties)
-    new = F.coalesce(F.col(start) - F.lag(end).over(order) > gap, F.lit(True))
-    return df.withColumn("_new", new.cast("long")).withColumn("session", F.sum("_new").over(order) - 1).drop("_new")
+def gap_sessions(df: DataFrame, keys: list[str], gap: int, ties: list[str], start: str = "t0", end: str = "t1", slice_: int = 86_400_000_000) -> DataFrame:
+    """df with session, from 0: a new one begins where a row starts more than gap after the previous row's end.
+
+    Rows are numbered within slices of time, so a key isn't one task; of each
+    slice its first start, last end and number of new sessions go on to the next
+    ones. df is read twice.
+    """
+    rows = df.withColumn("_slice", F.floor(F.col(start) / slice_))
+    order = W.partitionBy(*keys, "_slice").orderBy(start, *ties)
+    inner = F.col(start) - F.lag(end).over(order) > gap
+    rows = rows.withColumn("_first", F.lag(end).over(order).isNull() & (F.row_number().over(order) == 1)).withColumn("_new", F.coalesce(inner, F.lit(True)).cast("long") - F.col("_first").cast("long"))
+    at = F.struct(start, *ties)
+    parts = rows.groupBy(*keys, "_slice").agg(F.min(start).alias("_from"), F.max_by(end, at).alias("_to"), F.sum("_new").alias("_n"))
+    along = W.partitionBy(*keys).orderBy("_slice")
+    opens = F.coalesce(F.col("_from") - F.lag("_to").over(along) > gap, F.lit(True)).cast("long")
+    parts = parts.withColumn("_opens", opens).withColumn("_at", F.sum(F.col("_opens") + F.col("_n")).over(along) - F.col("_n") - 1)
+    numbered = rows.withColumn("_in", F.sum("_new").over(order)).join(parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s"), "_at"), F.expr(" AND ".join([*[f"{k} <=> _k{i}" for i, k in enumerate(keys)], "_slice = _s"])))
+    return numbered.select(*df.columns, (F.col("_at") + F.col("_in")).alias("session"))
 
 
 def worst_window(df: DataFrame, keys: list[str], width: int, start: str = "t0", end: str = "t1") -> DataFrame:
@@ -47,18 +60,23 @@ def shortest_pause(df: DataFrame, keys: list[str], start: str = "t0", end: str =
     return df.withColumn("_p", F.lead(start).over(order) - F.col(end)).groupBy(*keys).agg(F.min("_p").alias("pause"))
 
 
-def overlaps(df: DataFrame, ident: str, condition, longest: int, start: str = "t0", end: str = "t1") -> DataFrame:
+def overlaps(df: DataFrame, ident: str, condition, longest: int, start: str = "t0", end: str = "t1", band: tuple[str, str] | None = None, cell: int = 1_000_000) -> DataFrame:
     """Pairs a, b (structs of df's columns, a's ident smaller) that overlap in time and meet condition(a, b).
 
-    Intervals meet in buckets of their longest length; a pair that shares two is
-    taken in the later of both first buckets only.
+    Intervals meet in buckets of their longest length; with band, the columns of
+    centre and width in Hz of a condition that asks for less than half the sum of
+    both widths between the centres, also in cells of frequency. A pair that
+    shares several is taken in the last of both first buckets and cells only.
     """
     row = F.struct(*[F.col(c) for c in df.columns])
     first = lambda c: F.floor(c / longest)
-    held = df.select(row.alias("r"), F.explode(F.sequence(first(F.col(start)), first(F.greatest(F.col(end) - 1, F.col(start))))).alias("k"))
-    a, b = held.select(F.col("r").alias("a"), "k"), held.select(F.col("r").alias("b"), "k")
-    met = a.join(b, "k").filter(F.col(f"a.{ident}") < F.col(f"b.{ident}"))
-    once = F.col("k") == F.greatest(first(F.col(f"a.{start}")), first(F.col(f"b.{start}")))
+    centre, width = (F.col(band[0]), F.col(band[1])) if band else (F.lit(0), F.lit(0))
+    low = lambda f, w: F.floor((f - w / 2) / cell)
+    held = df.select(row.alias("r"), low(centre, width).alias("f"), F.explode(F.sequence(low(centre, width), F.floor((centre + width / 2) / cell))).alias("c"), F.sequence(first(F.col(start)), first(F.greatest(F.col(end) - 1, F.col(start)))).alias("ks"))
+    held = held.select("r", "f", "c", F.explode("ks").alias("k"))
+    a, b = held.select(F.col("r").alias("a"), F.col("f").alias("fa"), "c", "k"), held.select(F.col("r").alias("b"), F.col("f").alias("fb"), "c", "k")
+    met = a.join(b, ["k", "c"]).filter(F.col(f"a.{ident}") < F.col(f"b.{ident}"))
+    once = (F.col("k") == F.greatest(first(F.col(f"a.{start}")), first(F.col(f"b.{start}")))) & (F.col("c") == F.greatest("fa", "fb"))
     return met.filter(once & (F.col(f"a.{start}") < F.col(f"b.{end}")) & (F.col(f"b.{start}") < F.col(f"a.{end}")) & condition(F.col("a"), F.col("b"))).select("a", "b")
 
 

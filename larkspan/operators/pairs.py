@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.plans.storage import cut
 
-def every(left: DataFrame, right: DataFrame, blocks: int = 16) -> DataFrame:
-    """Each row of left with each row of right, for matrices that are the answer themselves: left is dealt over blocks by its rows' hash, right copied to each, so no task holds the matrix."""
+
+#: Rows that a block of every() has of its left side.
+BLOCK_ROWS = 256
+
+
+def every(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each row of left with each row of right, for matrices that are the answer themselves: left is dealt over blocks by its rows' hash, as many as its rows ask for, right copied to each, so no task holds the matrix."""
+    blocks = max(1, -(-left.count() // BLOCK_ROWS))
     dealt = left.withColumn("_block", F.pmod(F.xxhash64(*left.columns), F.lit(blocks)))
     return dealt.join(right.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), "_block").drop("_block")
 
@@ -20,3 +27,30 @@ def within(points: DataFrame, ident: str, x: str, y: str, radius: int) -> DataFr
     near = near.withColumn("gy", F.explode(F.sequence(F.col("_gy") - 1, F.col("_gy") + 1)))
     d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
     return one.join(near, ["gx", "gy"]).filter("a < b").withColumn("d2", d2).filter(F.col("d2") <= radius * radius).select("a", "b", "d2")
+
+
+def nearest(points: DataFrame, keys: list[str], x: str, y: str, sites: DataFrame, width: int, reach: int) -> DataFrame:
+    """keys, id, d2: for each point (x, y) the nearest of sites (id, x, y); ties to the smaller id. d2 is rounded to four digits.
+
+    Points and sites meet in a grid of width: one side in its own cell, the other
+    in nine, which settles every point that has a site within the width. The rest
+    meets again in a grid four times as wide, up to reach, the extent of it all.
+    """
+    left, done = points.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")), None
+    while True:
+        at = lambda c, w=width: F.floor(c / w)
+        near = sites.select("id", F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.explode(F.sequence(at(F.col("x")) - 1, at(F.col("x")) + 1)).alias("_gx"), at(F.col("y")).alias("_g"))
+        near = near.withColumn("_gy", F.explode(F.sequence(F.col("_g") - 1, F.col("_g") + 1))).drop("_g")
+        d2 = F.round(F.pow(F.col("_sx") - F.col("_x"), F.lit(2.0)) + F.pow(F.col("_sy") - F.col("_y"), F.lit(2.0)), 4)
+        met = left.withColumn("_gx", at(F.col("_x"))).withColumn("_gy", at(F.col("_y"))).join(near, ["_gx", "_gy"])
+        best = met.groupBy(*keys).agg(F.min(F.struct(d2.alias("d2"), F.col("id"))).alias("_b")).select(*keys, "_b.id", "_b.d2")
+        if width <= reach:
+            best = best.filter(F.col("d2") <= float(width) * width)
+        best = cut(best)
+        done = best if done is None else done.unionByName(best)
+        if width > reach:
+            return done
+        left = cut(left.join(best.select(*keys), keys, "left_anti"))
+        if left.isEmpty():
+            return done
+        width *= 4

@@ -6,6 +6,8 @@ built from integers and floor() only, so that both engines agree to the bit.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,22 +78,27 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATIONS = "stations AS (SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(s_suppkey * 4241 % 20000 AS BIGINT) AS x, CAST(s_suppkey * 15013 % 20000 AS BIGINT) AS y FROM supplier)"
 
 
-SIDE = 96
+def side(spark: SparkSession, sf_dir: str) -> int:
+    """Cells in a row of the grid, which is as square as the table allows."""
+    return max(1, math.ceil(math.sqrt(read(spark, sf_dir, "orders").count())))
 
 
-def cells(spark: SparkSession) -> DataFrame:
-    """row, col, v of a square grid; integers."""
-    r, c = F.floor(F.col("id") / SIDE), F.col("id") % SIDE
-    return spark.range(SIDE * SIDE).select(r.alias("row"), c.alias("col"), ((r * 37 + c * 91 + r * c * 7) % 101 - 20).alias("v"))
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row, col, v: a grid with a cell for each order, so that it grows with the table; v is an integer."""
+    n, k = side(spark, sf_dir), F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(F.floor(k / n).alias("row"), (k % n).alias("col"), (F.floor("o_totalprice").cast("long") % 101 - 20).alias("v"))
 
 
-CELLS = f"""cells AS (SELECT id // {SIDE} AS row, id % {SIDE} AS col,
-  CAST(((id // {SIDE}) * 37 + (id % {SIDE}) * 91 + (id // {SIDE}) * (id % {SIDE}) * 7) % 101 - 20 AS BIGINT) AS v FROM range({SIDE * SIDE}) t(id))"""
+CELLS = """side AS (SELECT greatest(1, CAST(ceil(sqrt(count(*))) AS BIGINT)) AS side FROM orders),
+cells AS (SELECT o_orderkey // side AS row, o_orderkey % side AS col, CAST(floor(o_totalprice) AS BIGINT) % 101 - 20 AS v FROM orders, side)"""
 
 
-def sites(spark: SparkSession, n: int = 12) -> DataFrame:
-    i = F.col("id")
-    return spark.range(n).select(i.alias("site"), (i * 53 % SIDE).alias("row"), (i * 29 % SIDE).alias("col"))
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site, row, col: a site for each supplier."""
+    n, k = side(spark, sf_dir), F.col("s_suppkey")
+    return read(spark, sf_dir, "supplier").select(k.alias("site"), (k * 53 % n).alias("row"), (k * 29 % n).alias("col"))
 
 
-SITES = f"sites AS (SELECT id AS site, id * 53 % {SIDE} AS row, id * 29 % {SIDE} AS col FROM range(12) t(id))"
+SITES = "sites AS (SELECT s_suppkey AS site, s_suppkey * 53 % side AS row, s_suppkey * 29 % side AS col FROM supplier, side)"
+#: Cells are numbered row * WIDE + col where one number is needed.
+WIDE = 10_000_000

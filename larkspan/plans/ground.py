@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from larkspan.operators import graph, pairs, raster
 from larkspan.plans import bridge
-from larkspan.plans.bridge import CELLS, NODES, SIDE, SITES
+from larkspan.plans.bridge import CELLS, NODES, SITES, WIDE
 
 RADIUS, K = 14, 2
 SQL: dict[str, str] = {}
 
 
 def morphological_opening(spark, sf_dir):
-    return raster.opening(bridge.cells(spark), 4)
+    return raster.opening(bridge.cells(spark, sf_dir), 4)
 
 
 def _filter(fn: str, frm: str, half: int) -> str:
@@ -25,21 +25,21 @@ SQL["morphological_opening"] = f"WITH {CELLS}, a AS ({_filter('min', 'cells', 4)
 
 
 def local_maxima(spark, sf_dir):
-    return raster.local_maxima(bridge.cells(spark), 3)
+    return raster.local_maxima(bridge.cells(spark, sf_dir), 3)
 
 
 SQL["local_maxima"] = f"WITH {CELLS} SELECT a.row, a.col, a.v FROM cells a JOIN cells b ON abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 GROUP BY a.row, a.col, a.v HAVING max(CASE WHEN b.v > a.v OR (b.v = a.v AND (b.row < a.row OR (b.row = a.row AND b.col < a.col))) THEN 1 ELSE 0 END) = 0"
 
 
 def demand_blocks(spark, sf_dir):
-    return raster.blocks(bridge.cells(spark), 5)
+    return raster.blocks(bridge.cells(spark, sf_dir), 5)
 
 
 SQL["demand_blocks"] = f"WITH {CELLS} SELECT row // 5 AS brow, col // 5 AS bcol, CAST(sum(v) AS BIGINT) AS total, count(v) AS cells FROM cells GROUP BY ALL HAVING sum(v) > 0"
 
 
 def summed_area(spark, sf_dir):
-    return raster.summed_area(bridge.cells(spark))
+    return raster.summed_area(bridge.cells(spark, sf_dir))
 
 
 SQL["summed_area"] = f"WITH {CELLS}, a AS (SELECT *, sum(v) OVER (PARTITION BY row ORDER BY col) AS r FROM cells) SELECT row, col, v, CAST(sum(r) OVER (PARTITION BY col ORDER BY row) AS BIGINT) AS area FROM a"
@@ -47,37 +47,37 @@ SQL["summed_area"] = f"WITH {CELLS}, a AS (SELECT *, sum(v) OVER (PARTITION BY r
 
 def population_split(spark, sf_dir):
     """Cells dealt over 4 x 4 samples and gathered again in cells of 3 samples."""
-    out = raster.split_cells(bridge.cells(spark).filter("v > 0"), 4, 3)
+    out = raster.split_cells(bridge.cells(spark, sf_dir).filter("v > 0"), 4, 3)
     return out.withColumn("value", F.round("value", 6))
 
 
 SQL["population_split"] = f"WITH {CELLS} SELECT (row * 4 + i) // 3 AS row, (col * 4 + j) // 3 AS col, round(sum(v) / 16.0, 6) AS value FROM cells, range(4) a(i), range(4) b(j) WHERE v > 0 GROUP BY ALL"
 
 
-def _served(spark):
-    return raster.disc_cells(bridge.sites(spark), RADIUS)
+def _served(spark, sf_dir):
+    return raster.disc_cells(bridge.sites(spark, sf_dir), RADIUS)
 
 
 _SERVED = f"served AS (SELECT site, c.row, c.col FROM sites s JOIN cells c ON (c.row - s.row) * (c.row - s.row) + (c.col - s.col) * (c.col - s.col) <= {RADIUS * RADIUS})"
 
 
 def gap_accounting(spark, sf_dir):
-    return raster.gap_accounting(bridge.cells(spark), _served(spark), K)
+    return raster.gap_accounting(bridge.cells(spark, sf_dir), _served(spark, sf_dir), K)
 
 
 SQL["gap_accounting"] = f"WITH {CELLS}, {SITES}, {_SERVED}, n AS (SELECT row, col, least(count(*), 254) AS n FROM served GROUP BY ALL), j AS (SELECT greatest(v, 0) AS w, coalesce(n, 0) AS n FROM cells LEFT JOIN n USING (row, col)) SELECT CAST(sum(w) AS BIGINT) AS total, CAST(coalesce(sum(w) FILTER (n >= 1), 0) AS BIGINT) AS served, CAST(coalesce(sum(w) FILTER (n >= {K}), 0) AS BIGINT) AS served_k, CAST(coalesce(sum(w) FILTER (n = 0), 0) AS BIGINT) AS uncovered FROM j"
 
 
 def served_counts(spark, sf_dir):
-    cells = bridge.cells(spark).select("row", "col")
-    return _served(spark).join(cells, ["row", "col"], "left_semi").groupBy("row", "col").agg(F.least(F.count(F.lit(1)), F.lit(254)).alias("n"))
+    cells = bridge.cells(spark, sf_dir).select("row", "col")
+    return _served(spark, sf_dir).join(cells, ["row", "col"], "left_semi").groupBy("row", "col").agg(F.least(F.count(F.lit(1)), F.lit(254)).alias("n"))
 
 
 SQL["served_counts"] = f"WITH {CELLS}, {SITES}, {_SERVED} SELECT row, col, least(count(*), 254) AS n FROM served GROUP BY ALL"
 
 
 def gap_clusters(spark, sf_dir):
-    return raster.gap_clusters(bridge.cells(spark), _served(spark), 12)
+    return raster.gap_clusters(bridge.cells(spark, sf_dir), _served(spark, sf_dir), 12)
 
 
 _CLUSTERS = f"SELECT row // 12 AS brow, col // 12 AS bcol, CAST(sum(v) AS BIGINT) AS weight, count(*) AS cells, round(sum(row * v) / sum(v), 6) AS crow, round(sum(col * v) / sum(v), 6) AS ccol FROM cells WHERE v > 0 AND NOT EXISTS (SELECT 1 FROM served s WHERE s.row = cells.row AND s.col = cells.col) GROUP BY ALL"
@@ -85,12 +85,10 @@ SQL["gap_clusters"] = f"WITH {CELLS}, {SITES}, {_SERVED} {_CLUSTERS}"
 
 
 def nearest_site(spark, sf_dir):
-    """For each cluster of gaps the nearest site; ties to the first. Sites are a short list."""
-    c = gap_clusters(spark, sf_dir)
-    s = bridge.sites(spark).select(F.collect_list(F.struct("site", "row", "col")).alias("s"))
-    c = c.withColumn("s", s.scalar())
-    best = F.array_min(F.transform("s", lambda x: F.struct(F.round(F.pow(x["row"] - F.col("crow"), F.lit(2.0)) + F.pow(x["col"] - F.col("ccol"), F.lit(2.0)), 4).alias("d2"), x["site"].alias("site"))))
-    return c.withColumn("b", best).select("brow", "bcol", F.col("b.site").alias("site"), F.col("b.d2").alias("d2"))
+    """For each cluster of gaps the nearest site; ties to the first."""
+    c = gap_clusters(spark, sf_dir).select("brow", "bcol", "crow", "ccol")
+    near = pairs.nearest(c, ["brow", "bcol"], "crow", "ccol", bridge.sites(spark, sf_dir).select(F.col("site").alias("id"), F.col("row").alias("x"), F.col("col").alias("y")), 48, bridge.side(spark, sf_dir))
+    return near.select("brow", "bcol", F.col("id").alias("site"), "d2")
 
 
 SQL["nearest_site"] = f"WITH {CELLS}, {SITES}, {_SERVED}, c AS ({_CLUSTERS}), d AS (SELECT brow, bcol, site, round(pow(s.row - crow, 2) + pow(s.col - ccol, 2), 4) AS d2 FROM c, sites s), r AS (SELECT *, row_number() OVER (PARTITION BY brow, bcol ORDER BY d2, site) AS k FROM d) SELECT brow, bcol, site, d2 FROM r WHERE k = 1"
@@ -100,20 +98,33 @@ def stratified_candidates(spark, sf_dir):
     """Maxima ranked within tiles of 24 cells: two from each tile, then the best of the rest up to forty."""
     from pyspark.sql import Window as W
 
-    m = raster.local_maxima(bridge.cells(spark), 3)
-    tile = m.withColumn("tile", F.floor(F.col("row") / 24) * 100 + F.floor(F.col("col") / 24))
+    m = raster.local_maxima(bridge.cells(spark, sf_dir), 3)
+    tile = m.withColumn("tile", F.floor(F.col("row") / 24) * WIDE + F.floor(F.col("col") / 24))
     ranked = tile.withColumn("k", F.row_number().over(W.partitionBy("tile").orderBy(F.desc("v"), "row", "col")).cast("long"))
     quota = ranked.withColumn("first", (F.col("k") <= 2).cast("int"))
     return quota.orderBy(F.desc("first"), F.desc("v"), "row", "col").limit(40).select("row", "col", "v", "tile", "k")
 
 
-SQL["stratified_candidates"] = f"WITH m AS ({SQL['local_maxima'].replace('WITH ', 'WITH ', 1)}), t AS (SELECT *, row // 24 * 100 + col // 24 AS tile FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY v DESC, row, col) AS k FROM t) SELECT row, col, v, tile, k FROM r ORDER BY CASE WHEN k <= 2 THEN 1 ELSE 0 END DESC, v DESC, row, col LIMIT 40"
+SQL["stratified_candidates"] = f"WITH m AS ({SQL['local_maxima'].replace('WITH ', 'WITH ', 1)}), t AS (SELECT *, row // 24 * {WIDE} + col // 24 AS tile FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY v DESC, row, col) AS k FROM t) SELECT row, col, v, tile, k FROM r ORDER BY CASE WHEN k <= 2 THEN 1 ELSE 0 END DESC, v DESC, row, col LIMIT 40"
 
 
 def greedy_siting(spark, sf_dir):
     """Six of the candidate sites, each adding most uncovered weight."""
-    covers = _served(spark).join(bridge.cells(spark).filter("v > 0"), ["row", "col"]).select(F.col("site").alias("cand"), (F.col("row") * SIDE + F.col("col")).alias("item"))
-    return graph.greedy_coverage(covers, bridge.cells(spark).filter("v > 0").select((F.col("row") * SIDE + F.col("col")).alias("item"), F.col("v").alias("w")), 6)
+    covers = _served(spark, sf_dir).join(bridge.cells(spark, sf_dir).filter("v > 0"), ["row", "col"]).select(F.col("site").alias("cand"), (F.col("row") * WIDE + F.col("col")).alias("item"))
+    return graph.greedy_coverage(covers, bridge.cells(spark, sf_dir).filter("v > 0").select((F.col("row") * WIDE + F.col("col")).alias("item"), F.col("v").alias("w")), 6)
+
+
+def _greedy_sql(picks: int) -> str:
+    steps = []
+    for k in range(picks):
+        taken = " UNION ALL ".join(f"SELECT site FROM g{j}" for j in range(k))
+        open_ = f" WHERE (row, col) NOT IN (SELECT row, col FROM cov WHERE site IN ({taken}))" if k else ""
+        steps.append(f"g{k} AS (SELECT {k} AS step, site, sum(v) AS gain FROM cov{open_} GROUP BY site ORDER BY gain DESC, site LIMIT 1)")
+    every = " UNION ALL ".join(f"SELECT * FROM g{k}" for k in range(picks))
+    return f"WITH {CELLS}, {SITES}, {_SERVED}, cov AS (SELECT site, row, col, v FROM served JOIN cells USING (row, col) WHERE v > 0), {', '.join(steps)} SELECT CAST(step AS BIGINT) AS step, site AS cand, CAST(gain AS BIGINT) AS gain FROM ({every})"
+
+
+SQL["greedy_siting"] = _greedy_sql(6)
 
 
 def _radius_links(spark, sf_dir, radius=900):

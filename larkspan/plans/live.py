@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from larkspan.operators import medium, pairs
-from larkspan.plans import bridge
+from larkspan.plans import bridge, storage
 from larkspan.sources import loss_table
 from larkspan.streaming import rolling
 
@@ -34,13 +32,19 @@ SQL["loss_table_round_trip"] = "WITH n AS (SELECT s_suppkey AS id FROM supplier)
 
 
 def _drained(spark, sf_dir, transform, mode="complete"):
-    """A streaming query over the events file, run until all is read; its result table."""
+    """A streaming query over the events file, run until all is read; the table it wrote. Progress and table are in the shared folder."""
     events = bridge.read(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"live_{uuid.uuid4().hex}"
-    query = transform(rolling.frames(stream)).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    base = storage.scratch(spark)
+    out = transform(rolling.frames(stream))
+
+    def keep(batch, number):
+        # in complete mode a batch is the whole table; a batch that is run again replaces what it wrote
+        batch.write.mode("overwrite").parquet(f"{base}/table" if mode == "complete" else f"{base}/table/batch={number}")
+
+    query = out.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/progress").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{base}/table")
 
 
 def stream_airtime(spark, sf_dir):

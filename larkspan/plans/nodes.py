@@ -90,13 +90,14 @@ SQL["prefix_occupancy"] = f"WITH {NODES}, p AS (SELECT b, substr(sha256(name), 1
 
 
 def prefix_join(spark, sf_dir):
-    """Keys heard by a one-byte prefix, and all nodes it can mean."""
+    """One-byte prefixes of the keys that sent a frame, and all nodes each can mean."""
     keys = bridge.nodes(spark, sf_dir).select("id", F.substring(F.sha2(F.col("name"), 256), 1, 2).alias("p"))
-    heard = keys.filter("id <= 40").select("p").distinct()
+    senders = bridge.frames(spark, sf_dir).select(F.col("sid").alias("id")).distinct()
+    heard = keys.join(senders, "id", "left_semi").select("p").distinct()
     return heard.join(keys, "p").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
-SQL["prefix_join"] = f"WITH {NODES}, k AS (SELECT id, substr(sha256(name), 1, 2) AS p FROM nodes), h AS (SELECT DISTINCT p FROM k WHERE id <= 40) SELECT p, count(*) AS n, min(id) AS first FROM h JOIN k USING (p) GROUP BY p"
+SQL["prefix_join"] = f"WITH {bridge.FRAMES}, {NODES}, k AS (SELECT id, substr(sha256(name), 1, 2) AS p FROM nodes), h AS (SELECT DISTINCT p FROM k WHERE id IN (SELECT sid FROM frames)) SELECT p, count(*) AS n, min(id) AS first FROM h JOIN k USING (p) GROUP BY p"
 
 
 def slugs(spark, sf_dir):

@@ -56,8 +56,8 @@ SQL["airtime_carrier"] = f"WITH {FRAMES} SELECT CAST(round_even(freq / 100000.0,
 def airtime_kind(spark, sf_dir):
     """Frames and airtime by kind, all and on the calling channel, as grouping sets."""
     f = bridge.frames(spark, sf_dir).withColumn("calling", on_calling(F.col("freq")))
-    f.createOrReplaceTempView("_kinds")
-    return spark.sql("SELECT kind, coalesce(CAST(calling AS INT), -1) AS calling, CAST(grouping(calling) AS BIGINT) AS all_channels, count(*) AS frames, sum(span) AS us FROM _kinds GROUP BY GROUPING SETS ((kind), (kind, calling))")
+    sums = f.groupingSets([["kind"], ["kind", "calling"]], "kind", "calling").agg(F.grouping("calling").cast("long").alias("all_channels"), F.count(F.lit(1)).alias("frames"), F.sum("span").alias("us"))
+    return sums.select("kind", F.coalesce(F.col("calling").cast("int"), F.lit(-1)).alias("calling"), "all_channels", "frames", "us")
 
 
 SQL["airtime_kind"] = f"WITH {FRAMES}, k AS (SELECT kind, {ON} AS calling, span FROM frames) SELECT kind, coalesce(CAST(calling AS INT), -1) AS calling, CAST(grouping(calling) AS BIGINT) AS all_channels, count(*) AS frames, CAST(sum(span) AS BIGINT) AS us FROM k GROUP BY GROUPING SETS ((kind), (kind, calling))"
@@ -139,12 +139,12 @@ SQL["top_busy"] = f"SELECT * FROM ({SQL['busy_share']}) ORDER BY busy DESC, st L
 
 def loss_summary(spark, sf_dir):
     """Receptions by verdict, frames heard somewhere, lost everywhere, and heard by nobody."""
-    r = bridge.receptions(spark, sf_dir).filter("eid % 9 <> 0").groupBy("eid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "clean").alias("clean"))
+    r = bridge.receptions(spark, sf_dir).groupBy("eid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "clean").alias("clean"))
     j = bridge.frames(spark, sf_dir).select("eid").join(r, "eid", "left")
     return j.agg(F.sum("n").alias("receptions"), F.sum("clean").alias("clean"), F.sum(F.col("n") - F.col("clean")).alias("crc"), F.count_if(F.col("clean") > 0).alias("heard"), F.count_if((F.col("n") > 0) & (F.col("clean") == 0)).alias("lost"), F.count_if(F.col("n").isNull()).alias("nobody"))
 
 
-SQL["loss_summary"] = f"""WITH {FRAMES}, {RECEPTIONS}, r AS (SELECT eid, count(*) AS n, count(*) FILTER (verdict = 'clean') AS clean FROM receptions WHERE eid % 9 <> 0 GROUP BY eid)
+SQL["loss_summary"] = f"""WITH {FRAMES}, {RECEPTIONS}, r AS (SELECT eid, count(*) AS n, count(*) FILTER (verdict = 'clean') AS clean FROM receptions GROUP BY eid)
 SELECT CAST(sum(n) AS BIGINT) AS receptions, CAST(sum(clean) AS BIGINT) AS clean, CAST(sum(n - clean) AS BIGINT) AS crc, count(*) FILTER (clean > 0) AS heard, count(*) FILTER (n > 0 AND clean = 0) AS lost, count(*) FILTER (n IS NULL) AS nobody FROM frames LEFT JOIN r USING (eid)"""
 
 
@@ -191,7 +191,7 @@ SQL["shortest_pause"] = f"WITH {FRAMES}, p AS (SELECT sid, lead(t0) OVER (PARTIT
 def overlap_pairs(spark, sf_dir):
     """Pairs of frames that share the air: overlapping in time, channels overlapping in frequency."""
     f = bridge.frames(spark, sf_dir)
-    both = intervals.overlaps(f, "eid", lambda a, b: radio.in_band(a["freq"], a["bw"], b["freq"], b["bw"]), LONGEST)
+    both = intervals.overlaps(f, "eid", lambda a, b: radio.in_band(a["freq"], a["bw"], b["freq"], b["bw"]), LONGEST, band=("freq", "bw"))
     return both.select(F.col("a.eid").alias("a"), F.col("b.eid").alias("b"), (F.least("a.t1", "b.t1") - F.greatest("a.t0", "b.t0")).alias("shared_us"))
 
 
@@ -207,7 +207,7 @@ def _level(frame, rx):
 def interference_pieces(spark, sf_dir):
     """Each frame's air cut where the frames that share it begin or end."""
     f = bridge.frames(spark, sf_dir)
-    p = intervals.overlaps(f, "eid", lambda a, b: radio.in_band(a["freq"], a["bw"], b["freq"], b["bw"]), LONGEST)
+    p = intervals.overlaps(f, "eid", lambda a, b: radio.in_band(a["freq"], a["bw"], b["freq"], b["bw"]), LONGEST, band=("freq", "bw"))
     turned = p.select(F.col("a.eid").alias("eid"), F.col("b.t0").alias("o0"), F.col("b.t1").alias("o1")).unionByName(p.select(F.col("b.eid").alias("eid"), F.col("a.t0").alias("o0"), F.col("a.t1").alias("o1")))
     return intervals.pieces(f.select("eid", "t0", "t1"), turned, "eid")
 
@@ -224,7 +224,7 @@ def reception_verdicts(spark, sf_dir):
     cand = f.join(r, "eid").filter("sid <> rx")
     cand = cand.select("eid", "sid", "rx", "t0", "t1", "sf", "bw", "power")
     cand = cand.withColumn("level", (F.col("power") - (F.lit(80) + (F.col("sid") * 31 + F.col("rx") * 17) % 60)).cast("double"))
-    p = intervals.overlaps(f, "eid", lambda a, b: radio.in_band(a["freq"], a["bw"], b["freq"], b["bw"]), LONGEST)
+    p = intervals.overlaps(f, "eid", lambda a, b: radio.in_band(a["freq"], a["bw"], b["freq"], b["bw"]), LONGEST, band=("freq", "bw"))
     pick = lambda me, he: p.select(F.col(f"{me}.eid").alias("eid"), F.col(f"{he}.sid").alias("osid"), F.col(f"{he}.sf").alias("osf"), F.col(f"{he}.power").alias("opower"), F.col(f"{he}.t0").alias("o0"), F.col(f"{he}.t1").alias("o1"))
     others = cand.select("eid", "rx", "t0", "t1", "sf", "level").join(pick("a", "b").unionByName(pick("b", "a")), "eid")
     others = others.withColumn("against", (F.col("opower") - (F.lit(80) + (F.col("osid") * 31 + F.col("rx") * 17) % 60)).cast("double"))
@@ -257,7 +257,7 @@ FROM c LEFT JOIN t ON t.eid = c.eid AND t.rx = c.rx LEFT JOIN b ON b.eid = c.eid
 def in_band_energy(spark, sf_dir):
     """Summed power in a receiver's band at each frame's start, and whether carrier sense calls the channel busy."""
     f = bridge.frames(spark, sf_dir)
-    p = intervals.overlaps(f, "eid", lambda a, b: radio.in_band(a["freq"], a["bw"], b["freq"], b["bw"]), LONGEST)
+    p = intervals.overlaps(f, "eid", lambda a, b: radio.in_band(a["freq"], a["bw"], b["freq"], b["bw"]), LONGEST, band=("freq", "bw"))
     at = p.select(F.col("a.eid").alias("eid"), F.col("a.t0").alias("t0"), F.col("b.t0").alias("o0"), F.col("b.t1").alias("o1"), F.col("b.power").alias("power")).unionByName(p.select(F.col("b.eid").alias("eid"), F.col("b.t0").alias("t0"), F.col("a.t0").alias("o0"), F.col("a.t1").alias("o1"), F.col("a.power").alias("power")))
     s = at.filter("o0 <= t0 AND o1 > t0").groupBy("eid").agg(F.sum(radio.milliwatts(F.col("power") - 110.0)).alias("mw"))
     return s.select("eid", F.round(radio.dbm(F.col("mw")), 6).alias("dbm"), (F.round(radio.dbm(F.col("mw")), 6) >= F.round(radio.sense_threshold(F.lit(125000)), 6)).alias("busy"))

@@ -67,21 +67,20 @@ SQL["points_in_plots"] = f"WITH {NODES}, {_PLOTS}, n AS (SELECT id AS node, x %
 
 def profile_losses(spark, sf_dir):
     """Rows of the grid as short paths: near-field loss, the worst Fresnel ratio and its verdict."""
-    d = F.transform(F.sequence(F.lit(0), F.lit(bridge.SIDE - 1)), lambda i: i * 10.0)
-    rows = bridge.cells(spark).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "v"))), lambda x: x["v"].cast("double")).alias("h"))
-    rows = rows.withColumn("d", d).withColumn("bare", F.transform("h", lambda x: x * 0.1))
+    rows = bridge.cells(spark, sf_dir).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "v"))), lambda x: x["v"].cast("double")).alias("h")).filter(F.size("h") > 2)
+    rows = rows.withColumn("d", F.transform("h", lambda _, i: i * 10.0)).withColumn("bare", F.transform("h", lambda x: x * 0.1))
     mhz, tx, rx = F.lit(869.525), F.lit(12.0), F.lit(6.0)
     near = paths.near_field_loss(mhz, F.col("d"), F.col("bare"), F.transform("h", lambda x: x * 0.2), tx, rx)
     ratio = F.round(paths.fresnel_ratio(mhz, F.col("d"), F.col("bare"), F.transform("h", lambda x: x * 0.2), tx, rx, 10.0), 5)
     return rows.select("row", F.round(near, 5).alias("loss"), ratio.alias("ratio"), paths.clearance(ratio).alias("verdict"))
 
 
-SQL["profile_losses"] = f"""WITH {CELLS}, e AS (SELECT row, max(CASE WHEN col = 0 THEN v * 0.1 END) + 12.0 AS tx, max(CASE WHEN col = {bridge.SIDE - 1} THEN v * 0.1 END) + 6.0 AS rx FROM cells GROUP BY row),
-p AS (SELECT row, CAST(col * 10.0 AS DOUBLE) AS d, CAST(v * 0.2 AS DOUBLE) AS g, CAST(tx AS DOUBLE) AS tx, CAST(rx AS DOUBLE) AS rx, {(bridge.SIDE - 1) * 10.0}::DOUBLE AS len, 299.792458::DOUBLE / 869.525 AS w FROM cells JOIN e USING (row) WHERE col BETWEEN 1 AND {bridge.SIDE - 2}),
+SQL["profile_losses"] = f"""WITH {CELLS}, e AS (SELECT row, max(col) AS m, arg_min(v, col) * 0.1 + 12.0 AS tx, arg_max(v, col) * 0.1 + 6.0 AS rx FROM cells GROUP BY row),
+p AS (SELECT row, CAST(col * 10.0 AS DOUBLE) AS d, CAST(v * 0.2 AS DOUBLE) AS g, CAST(tx AS DOUBLE) AS tx, CAST(rx AS DOUBLE) AS rx, CAST(m * 10.0 AS DOUBLE) AS len, 299.792458::DOUBLE / 869.525 AS w FROM cells JOIN e USING (row) WHERE col BETWEEN 1 AND m - 1),
 q AS (SELECT *, g - (tx + (rx - tx) * (d / len)) AS h FROM p),
-n AS (SELECT row, max(sign(h) * sqrt(4.0 * abs(sqrt(d * d + h * h) + sqrt((len - d) * (len - d) + h * h) - len) / w)) AS nu, min(CASE WHEN d >= greatest(100.0 / w, 30.0) AND len - d >= greatest(100.0 / w, 30.0) THEN ((tx + (rx - tx) * (d / len)) - (g + d * (len - d) / (2.0 * (157.0 / 112.0 * 6371000.0)))) / sqrt(w * d * (len - d) / len) END) AS ratio FROM q GROUP BY row),
-r AS (SELECT row, round(32.44 + 20 * log10(869.525::DOUBLE) + 20 * log10({(bridge.SIDE - 1) * 10.0}::DOUBLE / 1000) + CASE WHEN nu <= -0.78 THEN 0 ELSE greatest(0, 6.9 + 20 * log10(sqrt((nu - 0.1) * (nu - 0.1) + 1) + nu - 0.1)) END, 5) AS loss, round(coalesce(ratio, 0), 5) AS ratio FROM n)
-SELECT *, CASE WHEN ratio >= 0.6 THEN 'clear' WHEN ratio >= 0 THEN 'grazing' ELSE 'obstructed' END AS verdict FROM r"""
+n AS (SELECT row, max(sign(h) * sqrt(4.0 * abs(sqrt(d * d + h * h) + sqrt((len - d) * (len - d) + h * h) - len) / w)) AS nu, min(CASE WHEN d >= greatest(100.0 / w, 30.0) AND len - d >= greatest(100.0 / w, 30.0) THEN ((tx + (rx - tx) * (d / len)) - (g + d * (len - d) / (2.0 * (157.0 / 112.0 * 6371000.0)))) / sqrt(w * d * (len - d) / len) END) AS ratio, any_value(len) AS len FROM q GROUP BY row),
+r AS (SELECT row, round(32.44 + 20 * log10(869.525::DOUBLE) + 20 * log10(len / 1000) + CASE WHEN nu <= -0.78 THEN 0 ELSE greatest(0, 6.9 + 20 * log10(sqrt((nu - 0.1) * (nu - 0.1) + 1) + nu - 0.1)) END, 5) AS loss, round(coalesce(ratio, 0), 5) AS ratio FROM n)
+SELECT row, loss, ratio, CASE WHEN ratio >= 0.6 THEN 'clear' WHEN ratio >= 0 THEN 'grazing' ELSE 'obstructed' END AS verdict FROM r"""
 
 
 def antenna_heights(spark, sf_dir):
