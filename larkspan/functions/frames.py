@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Fixed by the protocols: first bytes of call frames, the power request, flag bits, contexts, and the names whose hashes announces carry.
 CALLS = {0xC2: "HAIL", 0xC3: "ANNOUNCE", 0xC4: "GOT", 0xC5: "READY", 0xC6: "END", 0xC7: "BYE", 0xC8: "RESEND"}
+#: What call frames are labelled with in results: a fixed value, as their users know it.
+CALL_LABEL = "SUPE"
 POWER_REQUEST, POWER_REQUEST_BYTES = 0x04, 4
 PATH_RESPONSE, LINK_PROOF, LINK_CONTROL = 0x0B, 0xFF, [0xFA, 0xFB, 0xFC, 0xFE]
 NAMES = [
@@ -48,7 +50,7 @@ def _named(hex_: Column, names: dict[str, str]) -> Column:
     return out
 
 
-def kind_of(payload: Column, part: Column, calls: str = "call") -> Column:
+def kind_of(payload: Column, part: Column, calls: str = CALL_LABEL) -> Column:
     """One class of a frame; null for the second part of a split one, which counts as its first part does."""
     flags, size, header = _header(payload)
     first = byte(payload, 0)
@@ -80,10 +82,10 @@ def kind_of(payload: Column, part: Column, calls: str = "call") -> Column:
     )
 
 
-def calling_class(kind: Column, calls: str = "call") -> Column:
+def calling_class(kind: Column, calls: str = CALL_LABEL) -> Column:
     """What a frame on the calling channel counts as in the split by role."""
     announces = kind.startswith("announce") | kind.isin(f"{calls} ANNOUNCE", "path request", "path response")
-    return F.when(announces, "announces_and_path").when(kind == f"{calls} HAIL", "hails").when(kind.startswith(f"{calls} "), "calls_other").otherwise("unicast")
+    return F.when(announces, "announces_and_path").when(kind == f"{calls} HAIL", "hails").when(kind.startswith(f"{calls} "), f"{calls.lower()}_other").otherwise("unicast")
 
 
 def announced(payload: Column, part: Column) -> Column:
@@ -91,3 +93,7 @@ def announced(payload: Column, part: Column) -> Column:
     flags, size, header = _header(payload)
     fits = (F.coalesce(part, F.lit(0)) != 2) & ~byte(payload, 0).isin(list(CALLS)) & (size >= 19) & (flags.bitwiseAND(0x80) == 0) & (flags.bitwiseAND(3) == 1)
     return F.when(fits, F.struct(part_hex(payload, header - 16, 16).alias("dest"), byte(payload, 2).alias("hops")))
+
+
+def is_announce(kind: Column, calls: str = CALL_LABEL) -> Column:
+    return kind.startswith("announce") | (kind == f"{calls} ANNOUNCE")

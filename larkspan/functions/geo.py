@@ -118,3 +118,21 @@ def clip_box(a: list[Column], b: list[Column]) -> Column:
 
 def bilinear(q00: Column, q01: Column, q10: Column, q11: Column, fx: Column, fy: Column) -> Column:
     return (q00 * (1.0 - fx) + q01 * fx) * (1.0 - fy) + (q10 * (1.0 - fx) + q11 * fx) * fy
+
+
+#: Metres per degree on synthetic ground: a nautical mile to the minute.
+SYNTHETIC_M = 1852.0 * 60
+
+
+def synthetic_xy(lat: Column, lon: Column) -> Column:
+    return F.struct((lon * SYNTHETIC_M).alias("x"), (lat * SYNTHETIC_M).alias("y"))
+
+
+def synthetic_latlon(x: Column, y: Column) -> Column:
+    return F.struct((y / SYNTHETIC_M).alias("lat"), (x / SYNTHETIC_M).alias("lon"))
+
+
+def boxes_meet(a: Column, b: Column, closed: bool) -> Column:
+    """Whether boxes (structs of west, south, east, north) meet: closed ones also where they only touch, half-open ones not."""
+    less = (lambda x, y: x <= y) if closed else (lambda x, y: x < y)
+    return less(a["west"], b["east"]) & less(b["west"], a["east"]) & less(a["south"], b["north"]) & less(b["south"], a["north"])

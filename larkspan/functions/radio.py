@@ -153,3 +153,49 @@ def receiver_sensitivity(sf: Column, bw_khz: Column) -> Column:
 def ladder_step(ceiling: Column) -> Column:
     """The highest power of the ladder that the ceiling allows."""
     return F.array_max(F.filter(F.array(*[F.lit(p) for p in POWER_LADDER]), lambda p: p <= ceiling))
+
+
+# dBm that the chip gives at least and at most, and that a front end gives at most.
+CHIP_DBM, FRONT_END_DBM = (-9, 22), 27
+#: What a receiver's setting must share with a frame's for the frame to be decoded.
+MATCH = ("bw", "sf", "sync")
+#: A frame's longest time in the air, in microseconds.
+MAX_FRAME_US = 60_000_000
+# Fixed values of pair tables: no path, and what is known of a pair.
+NEVER, NEAR_FIELD, OFF_PACK, BEYOND_RADIUS, LOS_CLEAR = float("inf"), 1, 2, 4, 8
+
+
+def modem_matches(state: Column, frame: Column) -> Column:
+    """Whether a receiver (struct of freq, bw, sf, sync) is set to decode a frame; missing fields match missing ones."""
+    out = same_carrier(state["freq"], frame["freq"], frame["bw"])
+    for k in MATCH:
+        out = out & state[k].eqNullSafe(frame[k])
+    return out
+
+
+def station_power(own: Column) -> Column:
+    """struct(max_dbm, front_end, ok): a node's maximum power, the chip's if none is stated; whether that needs a front end; whether what is stated lies within the limits."""
+    top = F.coalesce(own, F.lit(float(CHIP_DBM[1]))).cast("double")
+    return F.struct(top.alias("max_dbm"), (top > CHIP_DBM[1]).alias("front_end"), F.coalesce(own.between(CHIP_DBM[0], FRONT_END_DBM), F.lit(True)).alias("ok"))
+
+
+def frame_times(t0: Column, t_end: Column, t_pre: Column, t_hdr: Column, now: Column) -> Column:
+    """struct(start, end, pre, hdr) of a frame as it goes on the air: not before now, its length, preamble and header in order and within the longest frame."""
+    zero = F.lit(0).cast("long")
+    start = F.greatest(t0, now)
+    span = F.greatest(zero, F.least(F.coalesce(t_end, t0) - t0, F.lit(MAX_FRAME_US).cast("long")))
+    pre = F.greatest(zero, F.least(F.coalesce(t_pre, t0) - t0, span))
+    hdr = F.greatest(pre, F.least(F.coalesce(t_hdr, t0) - t0, span))
+    return F.struct(start.alias("start"), (start + span).alias("end"), (start + pre).alias("pre"), (start + hdr).alias("hdr"))
+
+
+def reply_cell(status: Column, text: Column, loss: Column, model: Column, verdict: Column, freq: Column, metres: Column, full: str = "p1812") -> Column:
+    """struct(loss, flags) of a pair from a link answer: an error's status and text, or loss, model and clearance. Null for errors that say nothing about the pair."""
+    cell = lambda db, flags: F.struct(db.cast("double").alias("loss"), F.lit(flags).cast("int").alias("flags") if isinstance(flags, int) else flags.cast("int").alias("flags"))
+    known = F.when(F.coalesce(model, F.lit(full)) != full, NEAR_FIELD).otherwise(0) + F.when(F.coalesce(verdict == "clear", F.lit(False)), LOS_CLEAR).otherwise(0)
+    return (
+        F.when(status.isNull(), cell(loss, known))
+        .when(text.contains("leaves the pack"), cell(F.lit(NEVER), OFF_PACK))
+        .when(text.contains("window cap"), cell(F.lit(NEVER), BEYOND_RADIUS))
+        .when(text.contains("within 20 m") | text.contains("too short"), cell(free_space_loss(freq, metres), NEAR_FIELD))
+    )

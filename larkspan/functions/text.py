@@ -92,3 +92,42 @@ def level_height(text: Column) -> Column:
     metres = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*m?\s*$", 1).try_cast("double")
     feet, inches = F.regexp_extract(text, r"^\s*(\d+)'\s*(?:(\d+)\")?\s*$", 1).try_cast("double"), F.regexp_extract(text, r"^\s*(\d+)'\s*(?:(\d+)\")?\s*$", 2).try_cast("double")
     return F.coalesce(metres, feet * 0.3048 + F.coalesce(inches, F.lit(0.0)) * 0.0254)
+
+
+def clock(us: Column) -> Column:
+    """Microseconds as hh:mm:ss, or Nd + hh:mm from a day on; null counts as 0."""
+    s = F.floor(F.coalesce(us, F.lit(0)) / 1_000_000)
+    day, rest = F.floor(s / 86_400), s % 86_400
+    h, m = F.floor(rest / 3600), F.floor(rest % 3600 / 60)
+    return F.when(day > 0, F.format_string("%dd + %02d:%02d", day, h, m)).otherwise(F.format_string("%02d:%02d:%02d", h, m, rest % 60))
+
+
+def share(part: Column, of: Column) -> Column:
+    """part/of with its percentage to one digit; 0/0 of nothing."""
+    return F.when(of > 0, F.format_string("%d/%d (%.1f%%)", part, of, 100.0 * part / of)).otherwise("0/0")
+
+
+def hex_bytes(text: Column, n: int) -> Column:
+    """The n bytes that text writes in hexadecimal, in either case; null for anything else."""
+    return F.when(text.rlike(f"^[0-9a-fA-F]{{{2 * n}}}$"), F.unhex(text))
+
+
+def named_like(label: Column, only: str) -> Column:
+    """Whether a label holds any of the words in a comma-separated list, whatever their case; an empty list lets all pass."""
+    words = [w.strip().lower() for w in only.split(",") if w.strip()]
+    out = F.lit(not words)
+    for w in words:
+        out = out | F.lower(label).contains(w)
+    return out
+
+
+def masked(line: Column) -> Column:
+    """A log line without what differs from message to message: ids as an ellipsis, numbers as N."""
+    return F.regexp_replace(F.regexp_replace(line, r"\b(o_\S+|[0-9a-f]{8,}|lxmf\.id\d\.\S+)", "…"), r"[0-9]+", "N")
+
+
+def expanded(command: Column, name: Column, ident: Column, addresses: Column) -> Column:
+    """A command line with {name}, {id} and {addr:<node>} filled in; addresses is a map by node. Unknown nodes stay as they are."""
+    out = F.replace(F.replace(command, F.lit("{name}"), name), F.lit("{id}"), ident.cast("string"))
+    put = lambda s, e: F.replace(s, F.concat(F.lit("{addr:"), e["key"], F.lit("}")), e["value"])
+    return F.aggregate(F.map_entries(addresses), out, put)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,3 +59,30 @@ def merged(first: DataFrame, second: DataFrame, metres: int) -> DataFrame:
     close = (F.col("x") - F.col("fx")) * (F.col("x") - F.col("fx")) + (F.col("y") - F.col("fy")) * (F.col("y") - F.col("fy")) <= metres * metres
     kept = held.alias("h").join(near.alias("n"), (F.col("h.gx") == F.col("n.gx")) & (F.col("h.gy") == F.col("n.gy")) & close, "left_anti")
     return first.select("id", "name", "x", "y").unionByName(kept.select("id", "name", "x", "y"))
+
+
+def sensed(received: DataFrame) -> DataFrame:
+    """Sensing records (rssi, src, lat, lon, hops_travelled, hops_remaining) with gate: the first reason why a record measures no link, or usable.
+
+    A record needs a finite level, a sender, the sender's position, and one hop: a
+    route still ahead means it was relayed, an unknown number of hops is refused.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) != float("inf"))
+    one = F.when(F.col("hops_remaining").isNotNull(), False).otherwise(F.col("hops_travelled") == 0)
+    gate = F.when(~finite("rssi"), "bad_rssi").when(F.coalesce("src", F.lit("")) == "", "no_sender").when(~finite("lat") | ~finite("lon"), "no_tx_position").when(one.isNull(), "hops_unknown").when(~one, "relayed")
+    return received.withColumn("gate", gate.otherwise("usable"))
+
+
+def since_start(lines: DataFrame, keys: list[str], order: str, at: str, start: Column, until: float | None = None) -> DataFrame:
+    """lines with at counted from start; a day is added to what lies before it. With until, a key's lines end before the first one later than that."""
+    passed = F.col(at) - start
+    out = lines.withColumn(at, F.when(passed < 0, passed + DAY).otherwise(passed))
+    if until is None:
+        return out
+    late = F.max((F.col(at) > until).cast("int")).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return out.withColumn("_late", late).filter("coalesce(_late, 0) = 0").drop("_late")
+
+
+def height_census(buildings: DataFrame, source: str, height: str) -> DataFrame:
+    """Buildings, and those with a height, by where the height comes from."""
+    return buildings.groupBy(source).agg(F.count(F.lit(1)).alias("buildings"), F.count(height).alias("with_height"), F.sum(height).alias("height_sum"))

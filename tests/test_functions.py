@@ -190,7 +190,7 @@ def test_frame_kinds(spark):
 
     announce = b"\x33" * 64 + frames.name_hash("lxmf.delivery") + b"\x44" * 20
     cases = [
-        (b"", 0, "empty"), (None, 0, "empty"), (b"\xc2\x01\x02\x03", 0, "call HAIL"), (b"\x04\x10\x00\x00", 0, "power request"), (packet(0, 0), 2, None),
+        (b"", 0, "empty"), (None, 0, "empty"), (b"\xc2\x01\x02\x03", 0, "SUPE HAIL"), (b"\x04\x10\x00\x00", 0, "power request"), (packet(0, 0), 2, None),
         (b"\x00\x01", 0, "other"), (packet(0, 0, flags=0x80), 0, "other"), (packet(1, 0, data=announce), 0, "announce lxmf.delivery"), (packet(1, 0, data=announce, two=True), 1, "announce lxmf.delivery"),
         (packet(1, 0, data=b"x" * 80), 0, "announce other"), (packet(1, 0x0B, data=announce), 0, "path response"), (packet(2, 0), 0, "link request"), (packet(3, 0xFF), 0, "link proof"), (packet(3, 1), 0, "proof"),
         (packet(0, 0, frames.plain_address("rnstransport.path.request")), 0, "path request"), (packet(0, 0xFE), 0, "link control"), (packet(0, 5), 0, "resource"), (packet(0, 0x0E), 0, "data"),
@@ -199,4 +199,4 @@ def test_frame_kinds(spark):
     out = df.select("i", frames.kind_of(F.col("p"), F.col("part")).alias("k"), frames.announced(F.col("p"), F.col("part")).alias("a")).orderBy("i").collect()
     assert [r.k for r in out] == [k for _, _, k in cases]
     assert tuple(out[8].a) == ("11" * 16, 3) and out[2].a is None and out[15].a is None
-    assert [one(spark, frames.calling_class(F.lit(k))) for k in ("announce other", "call HAIL", "call GOT", "data")] == ["announces_and_path", "hails", "calls_other", "unicast"]
+    assert [one(spark, frames.calling_class(F.lit(k))) for k in ("announce other", "SUPE HAIL", "SUPE GOT", "data")] == ["announces_and_path", "hails", "supe_other", "unicast"]
