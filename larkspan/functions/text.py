@@ -103,8 +103,12 @@ def clock(us: Column) -> Column:
 
 
 def share(part: Column, of: Column) -> Column:
-    """part/of with its percentage to one digit; 0/0 of nothing."""
-    return F.when(of > 0, F.format_string("%d/%d (%.1f%%)", part, of, 100.0 * part / of)).otherwise("0/0")
+    """part/of with its percentage to one digit; 0/0 of nothing. The digit is that nearest to the double, of two as near the even one."""
+    x = 100.0 * part / of
+    low = F.floor(x * 10)
+    beyond = (x * 16 - (2 * low + 1)) + x * 4  # 20 x less the middle between two tenths; exact where it is small
+    tenths = low + F.when((beyond > 0) | ((beyond == 0) & (low % 2 == 1)), 1).otherwise(0)
+    return F.when(of > 0, F.format_string("%d/%d (%d.%d%%)", part, of, F.floor(tenths / 10), tenths % 10)).otherwise("0/0")
 
 
 def hex_bytes(text: Column, n: int) -> Column:

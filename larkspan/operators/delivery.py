@@ -39,10 +39,10 @@ def delivered(sends: DataFrame, logs: DataFrame, radio: DataFrame) -> DataFrame:
 
 
 def shares(rows: DataFrame) -> DataFrame:
-    """by, name, place, ok, sent, text: of all messages, and by route, radio hops and class."""
-    f = rows.select(F.col("ok").cast("long").alias("ok"), F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in ("all", "route", "radio", "class")]), F.array(F.lit("all"), "route", "radio", "cls"))).alias("by", "name"))
-    sums = f.groupBy("by", "name").agg(F.sum("ok").alias("ok"), F.count(F.lit(1)).alias("sent"))
-    return sums.select("by", "name", F.coalesce(place(F.col("name")), F.lit(0)).cast("long").alias("place"), "ok", "sent", share(F.col("ok"), F.col("sent")).alias("text"))
+    """split, name, place, ok, sent, text: of all messages, and by route, radio hops and class."""
+    f = rows.select(F.col("ok").cast("long").alias("ok"), F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in ("all", "route", "radio", "class")]), F.array(F.lit("all"), "route", "radio", "cls"))).alias("split", "name"))
+    sums = f.groupBy("split", "name").agg(F.sum("ok").alias("ok"), F.count(F.lit(1)).alias("sent"))
+    return sums.select("split", "name", F.coalesce(place(F.col("name")), F.lit(0)).cast("long").alias("place"), "ok", "sent", share(F.col("ok"), F.col("sent")).alias("text"))
 
 
 def delays(rows: DataFrame, key: str) -> DataFrame:

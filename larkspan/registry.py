@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspan.plans import ground, live, nodes, records, reports, terrain
+from larkspan.plans import fields, ground, live, nodes, records, reports, terrain
 
-PLANS = (reports, records, ground, nodes, live, terrain)
+PLANS = (reports, records, fields, ground, nodes, live, terrain)
 
 
 def queries() -> dict:

@@ -18,7 +18,7 @@ OFFSETS = "a string, b string, db double, note string"
 # What a name may be (lower-case letters, digits and hyphens inside), and where a height can come from.
 NAME = re.compile(r"[a-z0-9](?:[a-z0-9-]{0,30}[a-z0-9])?")
 HEIGHTS = ("measured", "roof", "raster", "assumed")
-HEIGHT_M, LARGEST_ID = 2.0, 65_535
+HEIGHT_M, LARGEST_ID, ANTENNA = 2.0, 1000, "whip_sma_quarter_wave"
 #: Keys that a node must not have: what they said is said elsewhere.
 REFUSED = ("device", "radio", "role", "board")
 
@@ -52,12 +52,12 @@ def _node(name: str, node: object, where: str, heights: tuple[str, ...], largest
             raise ValueError(f"{where}: node {name}: max_dbm is a number of dBm") from None
         if not CHIP_DBM[0] <= power <= FRONT_END_DBM:
             _fail(where, f"node {name}: max_dbm is {CHIP_DBM[0]} to {FRONT_END_DBM} dBm, not {power:g}")
-    antenna = node.get("antenna") or {"type": "omni"}
+    antenna = node.get("antenna") or {"type": ANTENNA}
     if isinstance(antenna, str):
         antenna = {"type": antenna}
     number = lambda k: None if antenna.get(k) is None else float(antenna[k])
     tags = list(dict.fromkeys(str(t) for t in node.get("tags") or []))
-    return ident, name, lat, lon, float(node.get("height_m", HEIGHT_M)), source, power, (str(antenna["type"]), number("azimuth_deg"), number("elevation_deg")), tags
+    return ident, name, lat, lon, float(node.get("height_m", HEIGHT_M)), source, power, (str(antenna.get("type") or ANTENNA), number("azimuth_deg"), number("elevation_deg")), tags
 
 
 def parsed(text: str, where: str, heights: tuple[str, ...] = HEIGHTS, largest: int = LARGEST_ID) -> tuple[list[tuple], list[tuple]]:
