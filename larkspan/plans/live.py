@@ -19,6 +19,28 @@ def demodulator_lock(spark, sf_dir):
     return medium.followed(f.join(r, "eid"))
 
 
+def _heard(spark, sf_dir, pairwise=False):
+    """Frames at their receivers, which change their state from time to time and send frames of their own."""
+    f = bridge.frames(spark, sf_dir).select("eid", "sid", "t0", "t1", "freq", "bw", "sf", F.lit(18).alias("sync"), "power")
+    slot = lambda c: (c % 2).cast("int")
+    r = bridge.receptions(spark, sf_dir).select("eid", "rx").distinct().join(f, "eid").filter("sid <> rx")
+    level = (F.col("power") - (F.lit(60) + (F.col("sid") * 31 + F.col("rx") * 17) % 60)).cast("double") + F.col("eid") % 4 / 4.0
+    came = r.select("eid", "rx", slot(F.col("eid")).alias("slot"), "t0", "t1", "freq", "bw", "sf", "sync", level.alias("level"))
+    # a station says what it does whenever it starts to hear something, and now and then that it does something else
+    said = came.select("rx", "slot", (F.col("t0") - 2).alias("t"), F.col("eid").alias("n"), F.when(F.col("eid") % 6 == 0, "STANDBY").when(F.col("eid") % 5 == 0, "CAD").otherwise("RX").alias("mode"), "freq", "bw", F.when(F.col("eid") % 8 != 0, F.col("sf")).otherwise(7).alias("sf"), "sync")
+    return medium.heard(came, said, f.select(F.col("sid").alias("rx"), "t0", "t1"), pairwise)
+
+
+def heard_frames(spark, sf_dir):
+    """What listening slots make of frames: locks, energy, and receptions lost to another frame."""
+    return _heard(spark, sf_dir)
+
+
+def heard_frames_pairwise(spark, sf_dir):
+    """The same by the pairwise rule."""
+    return _heard(spark, sf_dir, True)
+
+
 def loss_table_round_trip(spark, sf_dir):
     """Pair losses through the binary format and back."""
     n = bridge.stations(spark, sf_dir)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from larkspan.functions import radio
 from larkspan.functions.stats import ranked_quantiles
 from larkspan.operators import intervals, pairs
+from larkspan.operators.medium import PAIRWISE_DB
 from larkspan.plans import bridge
 from larkspan.plans.bridge import CALLING, FRAMES, LONGEST, NODES, RECEPTIONS
 
@@ -254,6 +255,27 @@ SELECT c.eid, c.rx, c.level, CASE WHEN round(c.level - (-168.0 + 10.0 * log10(c.
 FROM c LEFT JOIN t ON t.eid = c.eid AND t.rx = c.rx LEFT JOIN b ON b.eid = c.eid AND b.rx = c.rx"""
 
 
+def pairwise_verdicts(spark, sf_dir):
+    """Verdict of each reception taken pair by pair: it must lead every frame on its carrier that the receiver hears."""
+    f = bridge.frames(spark, sf_dir)
+    cand = f.join(bridge.receptions(spark, sf_dir).select("eid", "rx").distinct(), "eid").filter("sid <> rx")
+    level = lambda power, sid: (F.col(power) - (F.lit(80) + (F.col(sid) * 31 + F.col("rx") * 17) % 60)).cast("double")
+    cand = cand.select("eid", "rx", "freq", "bw", level("power", "sid").alias("level"))
+    p = intervals.overlaps(f, "eid", lambda a, b: radio.in_band(a["freq"], a["bw"], b["freq"], b["bw"]), LONGEST, band=("freq", "bw"))
+    pick = lambda me, he: p.select(F.col(f"{me}.eid").alias("eid"), *[F.col(f"{he}.{c}").alias(f"o{c}") for c in ("sid", "freq", "bw", "sf", "power")])
+    others = cand.join(pick("a", "b").unionByName(pick("b", "a")), "eid").withColumn("against", level("opower", "osid"))
+    near = radio.same_carrier(F.col("freq"), F.col("ofreq"), F.greatest("bw", "obw"))
+    beaten = near & radio.audible(F.col("against"), F.col("obw"), F.col("osf")) & (F.col("level") - F.col("against") < PAIRWISE_DB)
+    bad = others.filter((F.col("osid") == F.col("rx")) | beaten).select("eid", "rx").distinct().withColumn("bad", F.lit(True))
+    return cand.join(bad, ["eid", "rx"], "left").select("eid", "rx", F.when(F.col("bad"), "crc").otherwise("clean").alias("verdict"))
+
+
+SQL["pairwise_verdicts"] = f"""WITH {FRAMES}, {RECEPTIONS}, c AS (SELECT DISTINCT eid, sid, rx, t0, t1, bw, freq, {_LEVEL.format(p='power', s='sid')} AS level FROM frames JOIN receptions USING (eid) WHERE sid <> rx),
+o AS (SELECT c.eid, c.rx, c.level, c.freq, c.bw, y.sid AS osid, y.sf, y.freq AS ofreq, y.bw AS obw, CAST(y.power - (80 + (y.sid * 31 + c.rx * 17) % 60) AS DOUBLE) AS against FROM c JOIN frames y ON y.eid <> c.eid AND c.t0 < y.t1 AND y.t0 < c.t1 AND abs(c.freq - y.freq) < (c.bw + y.bw) / 2),
+b AS (SELECT DISTINCT eid, rx FROM (SELECT *, {_SENS.replace('c.sf', 'sf')} AS s FROM o) WHERE osid = rx OR (abs(freq - ofreq) <= greatest(bw, obw) / 4.0 AND against >= -168.0 + 10.0 * log10(obw) + s AND level - against < {PAIRWISE_DB}))
+SELECT c.eid, c.rx, CASE WHEN b.eid IS NULL THEN 'clean' ELSE 'crc' END AS verdict FROM c LEFT JOIN b USING (eid, rx)"""
+
+
 def in_band_energy(spark, sf_dir):
     """Summed power in a receiver's band at each frame's start, and whether carrier sense calls the channel busy."""
     f = bridge.frames(spark, sf_dir)
