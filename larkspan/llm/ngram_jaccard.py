@@ -55,6 +55,8 @@ TOLERANCE = 1e-6
 BLOCK, MOST, BLOCK_SHINGLES = 128, 4096, 1 << 18
 #: Classes of a bucket whose signatures one task holds (twice, where two blocks meet).
 BUCKET = 4096
+#: Words whose fingerprints a task remembers.
+CACHE = 200_000
 
 _rng = np.random.default_rng(20)
 A = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -81,7 +83,7 @@ class Shingler:
         try:
             a = np.array([known[x] for x in w], np.uint64)
         except KeyError:
-            if len(known) > 500_000:
+            if len(known) > CACHE:
                 known.clear()
             for x in w:
                 if x not in known:
