@@ -122,3 +122,15 @@ def test_stages(spark, odd_docs, no_docs, odd_labels, tmp_path):
         last = corpus_pipeline.STAGES[-1][1](spark, held, str(tmp_path)).collect()
         kept = {r.doc_id for r in last}
         assert kept == ({2, 4, 5, 6, 8, 9, None} if docs is odd_docs else set())
+
+
+def test_rows_that_share_a_doc_id_are_judged_apart(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(5, "dup"), (9, "dup"), (5, "unique"), (None, "dup"), (None, "alone"), (7, base), (7, "something else entirely, of other words"), (8, base + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    exact = sorted((r.doc_id or 0, r.text) for r in exact_dedup.without_exact_duplicates(df).collect())
+    assert exact == sorted([(i or 0, t) for i, t in rows if t != "dup"] + [(9, "dup")])
+    near = sorted((r.doc_id or 0, r.text) for r in ngram_jaccard.without_near_duplicates(df).collect())
+    assert near == sorted((i or 0, t) for i, t in rows if (i, t) not in ((9, "dup"), (8, base + " end")))
+    out = {(r.doc_id, r.n_shingles): (r.class_id, r.n_links) for r in ngram_jaccard.near_duplicates(df).collect() if r.doc_id is not None}
+    assert out[7, 96] == (7, 1) and out[8, 97] == (7, 1) and out[7, 2] == (7, 0)
