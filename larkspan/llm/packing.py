@@ -38,7 +38,7 @@ from larkspan.llm._common import small_batches, stored, table
 CAPACITY = 2048
 END = 0
 #: Chunks of text whose ids a worker remembers; some 150 bytes each.
-CACHE = 300_000
+CACHE = 500_000
 #: Marks that never join a run of letters. The apostrophe does: the file's pattern knows endings like 's.
 MARKS = ".,;:!?()[]{}*#%&$+-/|=<>\"_~^@"
 

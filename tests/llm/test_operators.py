@@ -113,6 +113,15 @@ def test_chunks_have_the_ids_of_the_text():
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [encode.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_chunks_forgotten_and_learnt_again_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 40)
+    encode, rng = packing.ChunkTokenizer(packing.default_tokenizer()), random.Random(3)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 6))) + rng.choice(["", "", ",", "..", "'s", "7"]) for _ in range(200)]
+    for _ in range(60):
+        texts = [" ".join(rng.choices(words[: rng.choice([5, 200])], k=rng.randint(0, 30))) for _ in range(4)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [encode.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_fullest_is_optimal():
     rng = random.Random(2)
     for _ in range(200):
