@@ -80,6 +80,40 @@ def test_graph(spark):
     assert graph.both_ways(one_way).count() == 2
 
 
+def _random_links(rng, n: int, k: int) -> set:
+    some = [(rng.randrange(n), rng.randrange(n)) for _ in range(k)]
+    return {(a, b) for a, b in some + [(b, a) for a, b in some] if a != b}
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_hops_against_breadth_first(spark, most):
+    import random
+
+    rng = random.Random(2)
+    links = _random_links(rng, 300, 330) | {(1000 + i, 1001 + i) for i in range(40)} | {(1001 + i, 1000 + i) for i in range(40)}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+    passes = {x for x in range(1100) if x % 3}
+    sources = [*range(150), 1000, 5000, 7, None]  # 5000 has no links, 7 is there twice
+
+    def walk(src, via):
+        got, front, d = {src: 0}, {src}, 0
+        while front and d != most:
+            d += 1
+            front = {y for x in front if via is None or x == src or x in via for y in near.get(x, ())} - got.keys()
+            got |= dict.fromkeys(front, d)
+        return {(src, x, k) for x, k in got.items()}
+
+    table, src = spark.createDataFrame(sorted(links), "a long, b long"), spark.createDataFrame([(x,) for x in sources], "src long")
+    for via in (None, passes):
+        got = [(r.src, r.node, r.d) for r in graph.hops(table, src, None if via is None else spark.createDataFrame([(x,) for x in via], "node long"), most).collect()]
+        want = set().union(*[walk(x, via) for x in sources])
+        assert len(got) == len(want) and set(got) == want
+    want = set().union(*[walk(x, None) for x in sources])
+    assert tuple(graph.diameter(table, src, 154, most).first()) == (max(k for *_, k in want), 154 * 154 - len(want))
+
+
 def test_components_of_chains_and_random_links(spark):
     import random
 
