@@ -2,9 +2,11 @@
 
 The models are first-order chains over ALPHABET with a start state, one of
 random strings and one of ordinary identifiers, with add-half smoothing. They
-are trained from labelled samples: random strings and identifiers made by rule
-(GENERATED of each), and as further identifiers the words of SAMPLE_DOCS
-documents, the first by a hash of doc_id, without what the patterns match there.
+are trained from strings made by rule, random ones and identifiers (GENERATED of
+each), and as further identifiers the words of all documents, without what the
+patterns match there. The documents' transitions are counted whole and then
+scaled to CORPUS_SHARE times as many as the made identifiers have, so that
+identifiers weigh the same however much text there is.
 A token of MIN_TOKEN or more characters is a span of kind ``markov`` if its
 log-likelihood ratio exceeds THRESHOLD and no base span overlaps it.
 
@@ -41,7 +43,8 @@ THRESHOLD = 12.0
 GENERATED = 2000
 BLOCK = 128
 FAR = 2**31 - 1
-SAMPLE_DOCS = 400
+#: How many transitions the documents' words count for, by those of the made identifiers.
+CORPUS_SHARE = 3.0
 IDENTIFIER_WORDS = (
     "user name file path data index value count list item node page request response error handler config server client cache key "
     "table column row query result status message event time start end begin create update delete insert select find get set read "
@@ -100,39 +103,44 @@ def apart(tokens: Column, base: Column) -> Column:
     return F.when(F.size(base) == 0, tokens).otherwise(bound(F.array_sort(F.concat(base, tokens)), among))
 
 
-def labelled_samples(docs: DataFrame, generated: int = GENERATED, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """value, random (1 or 0): strings made by rule, and words of a bounded sample of documents."""
+MADE, RANDOM, CORPUS = 0, 1, 2
+
+
+def labelled_strings(docs: DataFrame, generated: int = GENERATED) -> DataFrame:
+    """value, source, n: strings made by rule (MADE, RANDOM), and the words of all documents (CORPUS), each once with how often it occurs."""
     ids = docs.sparkSession.range(generated)
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
     based = F.base64(F.unhex(digest))
     part = lambda c: F.substring(c, 1, 40)
-    random = ids.select(F.explode(F.array(part(digest), part(based), F.translate(F.upper(part(based)), "+/=", ""), F.translate(part(based), "+/=", "-_"))).alias("value"), F.lit(1).alias("random"))
+    random = ids.select(F.explode(F.array(part(digest), part(based), F.translate(F.upper(part(based)), "+/=", ""), F.translate(part(based), "+/=", "-_"))).alias("value"), F.lit(RANDOM).alias("source"))
     vocabulary = F.array(*[F.lit(w) for w in IDENTIFIER_WORDS])
     word = lambda k: F.get(vocabulary, F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(len(IDENTIFIER_WORDS))).cast("int"))
     some = [word(k) for k in range(4)]
     made = F.array(F.concat_ws("_", *some), F.concat(some[0], *[F.initcap(w) for w in some[1:]]), F.concat_ws("-", *some[:3]), F.upper(F.concat_ws("_", *some[:3])), F.concat_ws("/", *some), F.concat(some[0], some[1], (F.col("id") % 100).cast("string")))
-    ordinary = ids.select(F.explode(made).alias("value"), F.lit(0).alias("random"))
-    chosen = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    ordinary = ids.select(F.explode(made).alias("value"), F.lit(MADE).alias("source"))
     text = F.coalesce("text", F.lit(""))
-    for _, pattern, *_ in KINDS:
-        text = F.regexp_replace(text, pattern, " ")
-    corpus = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("value"), F.lit(0).alias("random"))
-    return random.unionByName(ordinary).unionByName(corpus)
+    for name, pattern, *_, quick in KINDS:
+        text = F.regexp_replace(text, pattern, " ") if name == "access" else F.when(text.rlike(quick), F.regexp_replace(text, pattern, " ")).otherwise(text)
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("value"))
+    corpus = words.groupBy("value").agg(F.count(F.lit(1)).alias("n")).select("value", F.lit(CORPUS).alias("source"), "n")
+    return random.unionByName(ordinary).withColumn("n", F.lit(1).cast("long")).unionByName(corpus)
 
 
 def state(c: Column) -> Column:
     return F.instr(F.lit(ALPHABET), c)
 
 
-def likelihood_ratios(samples: DataFrame) -> list[float]:
+def likelihood_ratios(strings: DataFrame) -> list[float]:
     """log P(next | previous) under the random model less the same under the identifier model, at previous * STATES + next."""
     n = F.length("value")
-    pairs = samples.filter(n > 0).select("random", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.when(i > 1, state(F.substring(F.col("value"), i - 1, 1))).otherwise(0).alias("a"), state(F.substring(F.col("value"), i, 1)).alias("b")))).alias("p"))
-    counts = pairs.groupBy("random", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).collect()  # 2 * STATES ** 2 rows at most
-    n, of = [[0.0] * (STATES * STATES) for _ in range(2)], [[0.0] * STATES for _ in range(2)]
-    for random, a, b, k in counts:
-        n[random][a * STATES + b] += k
-        of[random][a] += k
+    pairs = strings.filter(n > 0).select("source", "n", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.when(i > 1, state(F.substring(F.col("value"), i - 1, 1))).otherwise(0).alias("a"), state(F.substring(F.col("value"), i, 1)).alias("b")))).alias("p"))
+    counts = pairs.groupBy("source", "p.a", "p.b").agg(F.sum("n").alias("n")).collect()  # 3 * STATES ** 2 rows at most
+    totals = [sum(k for source, *_, k in counts if source == which) for which in (MADE, RANDOM, CORPUS)]
+    scale = {MADE: 1.0, RANDOM: 1.0, CORPUS: CORPUS_SHARE * totals[MADE] / max(1, totals[CORPUS])}
+    n = [[0.0] * (STATES * STATES) for _ in range(2)]
+    for source, a, b, k in sorted(counts):
+        n[source == RANDOM][a * STATES + b] += scale[source] * k
+    of = [[sum(n[r][a * STATES : (a + 1) * STATES]) for a in range(STATES)] for r in range(2)]
     p = lambda r, a, b: math.log((n[r][a * STATES + b] + 0.5) / (of[r][a] + 0.5 * STATES))
     return [round(p(1, a, b) - p(0, a, b), 6) for a in range(STATES) for b in range(STATES)]
 
@@ -146,7 +154,7 @@ def ratio(token: Column, model: Column) -> Column:
 def secret_spans(docs: DataFrame, model: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with __larkspan_base and __larkspan_spans added: arrays of (start, kind, end, value), sorted; kind is an index into KINDS, or len(KINDS) for markov."""
     if model is None:
-        model = likelihood_ratios(labelled_samples(docs))
+        model = likelihood_ratios(labelled_strings(docs))
     held = F.from_json(F.lit(json.dumps(model)), "array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(*[matches(text, p, g, least, quick, k) for k, (_, p, g, least, quick) in enumerate(KINDS)]))

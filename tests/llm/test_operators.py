@@ -237,6 +237,16 @@ def test_segments_go_by_impact_and_skip_the_dead():
     assert len(index.search(np.full(24, 5), np.iinfo(np.int64).min, 20, own)[0]) < 100
 
 
+def test_secret_model_reads_every_document(spark):
+    """Every document's words count, however many there are, in the share that the made identifiers leave them."""
+    words = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}zzz" for i in range(1000)]
+    docs = spark.createDataFrame([(i, f"{w} {w}") for i, w in enumerate(words)], "doc_id long, text string")
+    got = {r.value: r.n for r in secret_scan.labelled_strings(docs, 5).filter(f"source = {secret_scan.CORPUS}").collect()}
+    assert got == dict.fromkeys(words, 2)
+    twice = docs.unionByName(docs.selectExpr("doc_id + 1000 AS doc_id", "text"))
+    assert secret_scan.likelihood_ratios(secret_scan.labelled_strings(docs)) == secret_scan.likelihood_ratios(secret_scan.labelled_strings(twice))
+
+
 def test_toxicity_held_out():
     rng = random.Random(4)
     plain = [f"{a}{b}{c}" for a in "bcdfglmnprst" for b in ("an", "er", "il", "on") for c in ("", "ta", "del", "so")]
