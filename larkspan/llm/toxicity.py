@@ -8,13 +8,12 @@ model picks the likeliest reading. A text's words are those it has and those it
 is restored to.
 
 The score is a logistic model over a lexicon of words and word beginnings. Both,
-and the trigram model, are learnt from labelled documents: SAMPLE[0] clean and
-SAMPLE[1] toxic ones at most, the first by a hash of doc_id, of texts up to
-SAMPLE_CHARS long, and only such whose crc32(doc_id as text) mod 3 isn't 1. The
+and the trigram model, are learnt from the whole texts of all labelled documents
+whose crc32(doc_id as text) mod 3 isn't 1. The
 lexicon is chosen greedily: each entry is the one that explains most toxic
 documents not explained DEPTH times yet, so that words which merely come along
 with copies of a toxic text stay out. How many documents an entry must explain
-follows from the share of toxic ones in the sample alone, at every size.
+follows from the share of toxic ones alone, at every size.
 
 Defined results: a null or empty text has no words and gets the score of the
 intercept, rounded like all scores. Without labels of both kinds every score is
@@ -36,8 +35,6 @@ from pyspark.sql import functions as F
 
 from larkspan.llm._common import discard, small_batches, stored, table
 
-SAMPLE = (4000, 3000)
-SAMPLE_CHARS = 20_000
 FOLDS, HELD_OUT = 3, 1
 CUT = 0.7
 #: Word beginnings that can be lexicon entries.
@@ -49,8 +46,12 @@ LEAST_RATIO, DEPTH = 3.0, 3
 CHANCE = 0.01
 #: Tokens whose lexicon entries a task remembers.
 CACHE = 100_000
-#: Texts whose entries are held at a time.
+#: Texts whose words are held at a time.
 FEW = 50
+#: Words or entries that a task counts before it hands the counts on.
+COUNTED = 300_000
+#: Rows of the logistic model's matrix that are held at a time.
+MATRIX_ROWS = 20_000
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Signs and the letters they can stand for.
@@ -152,11 +153,18 @@ def token_words(token: str, model: CharModel | None) -> list[str]:
     return out
 
 
-def words_of(text: str, model: CharModel | None) -> set[str]:
-    """A text's distinct words, restored ones included."""
-    low, out = lowered(text), set()
+def words_of(text: str, model: CharModel | None, known: dict[str, list[str]] | None = None) -> set[str]:
+    """A text's distinct words, restored ones included. known remembers tokens' words under one model."""
+    low, out, known = lowered(text), set(), {} if known is None else known
     for token in set(low.split()):
-        out.update(token_words(token, model))
+        got = known.get(token)
+        if got is None:
+            got = token_words(token, model)
+            if len(known) >= CACHE:
+                known.clear()
+            if len(token) <= 64:
+                known[token] = got
+        out.update(got)
     if model is not None:
         for m in SPREAD.finditer(low):
             out.update(restored(m[0], model).split())
@@ -218,18 +226,19 @@ def odds(there: int, toxic: int, against: int, clean: int) -> float:
     return math.log((there + 0.5) / (toxic + 1)) - math.log((against + 0.5) / (clean + 1))
 
 
-def chosen_entries(docs: dict[str, list[int]], against: dict[str, int], toxic: int, least: int) -> list[str]:
-    """Of entries with the toxic documents (0 to toxic - 1) that have them and the number of clean ones: chosen greedily by how many toxic documents they explain anew."""
-    left, out = [DEPTH] * toxic, []
+def chosen_entries(docs: dict[str, list[int]], against: dict[str, int], size: list[int], least: int) -> list[str]:
+    """Of entries with the groups of toxic documents that have them (size: documents of a group) and the number of clean ones: chosen greedily by how many toxic documents they explain anew."""
+    left, out = [DEPTH] * len(size), []
+    total = {e: sum(size[i] for i in d) for e, d in docs.items()}
     # a longer or whole entry is preferred to a shorter one that explains the same documents
-    queue = sorted(docs, key=lambda e: (-len(docs[e]), against[e], "*" in e, -len(e), e))
-    gain = {e: len(docs[e]) for e in queue}
+    queue = sorted(docs, key=lambda e: (-total[e], against[e], "*" in e, -len(e), e))
+    gain = dict(total)
     while queue:
         top, at = 0, None
         for e in queue:
             if gain[e] <= top:
                 break
-            gain[e] = sum(1 for i in docs[e] if left[i] > 0)
+            gain[e] = sum(size[i] for i in docs[e] if left[i] > 0)
             if gain[e] > top:
                 top, at = gain[e], e
         if at is None or top < least:
@@ -254,24 +263,28 @@ def lexicon(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
         against.update(entries(words) & docs.keys())
     least = least_docs(len(toxic), len(clean))
     docs = {e: d for e, d in docs.items() if len(d) >= least and odds(len(d), len(toxic), against[e], len(clean)) >= LEAST_RATIO}
-    return chosen_entries(docs, against, len(toxic), least)
+    return chosen_entries(docs, against, [1] * len(toxic), least)
 
 
-def weighed(chars: CharModel, chosen: list[str], rows: list[tuple[set[str], int]]) -> ToxicModel:
-    """The logistic model over the chosen entries, from those that each document has and its label."""
+def weighed(chars: CharModel, chosen: list[str], rows: list[tuple[set[str], int, int]]) -> ToxicModel:
+    """The logistic model over the chosen entries, from those that documents have, their label and how many documents these are."""
     place = {e: i for i, e in enumerate(chosen)}
-    x, y = np.zeros((len(rows), len(chosen) + 1)), np.array([float(label) for _, label in rows])
-    for r, (have, _) in enumerate(rows):
-        x[r, [place[e] for e in have if e in place]] = 1
-    x[:, -1] = 1
-    w = np.zeros(x.shape[1])
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    had = [np.array([place[e] for e in have if e in place], np.int32) for have, _, _ in rows]
+    y, n = np.array([float(label) for _, label, _ in rows]), np.array([float(k) for *_, k in rows])
+    w = np.zeros(len(chosen) + 1)
+    weight = np.where(y > 0, 0.5 / max(1, (n * y).sum()), 0.5 / max(1, (n * (1 - y)).sum())) * n.sum() * n
+    penalty = np.full(len(w), 0.02)
+    penalty[-1] = 20.0  # a clean text has no entries, so the data alone would push it without bound
     for _ in range(25):  # Newton steps, with a small penalty on all but the intercept
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        penalty = np.full(len(w), 0.02)
-        penalty[-1] = 20.0  # a clean text has no entries, so the data alone would push it without bound
-        gradient = x.T @ (weight * (p - y)) + penalty * w
-        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + np.diag(penalty)
+        gradient, hessian = penalty * w, np.diag(penalty)
+        for lo in range(0, len(rows), MATRIX_ROWS):
+            part = slice(lo, lo + MATRIX_ROWS)
+            x = np.zeros((len(had[part]), len(w)))
+            x[np.repeat(np.arange(len(x)), [len(h) for h in had[part]]), np.concatenate(had[part])] = 1
+            x[:, -1] = 1
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            gradient = gradient + x.T @ (weight[part] * (p - y[part]))
+            hessian = hessian + (x * (weight[part] * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x
         w -= np.clip(np.linalg.solve(hessian, gradient), -4, 4)
     weights = {e: float(v) for e, v in zip(chosen, w, strict=False) if v > 0}
     return ToxicModel(chars, weights, float(w[-1]))
@@ -287,76 +300,127 @@ def fitted(texts: list[tuple[str, int]]) -> ToxicModel:
     if not all(sides):
         return ToxicModel(None, {}, -30.0)
     chosen = lexicon(sides[1], sides[0])
-    return weighed(chars, chosen, [(entries(words), y) for y, side in enumerate(sides) for words in side])
+    return weighed(chars, chosen, [(entries(words), y, 1) for y, side in enumerate(sides) for words in side])
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> ToxicModel:
-    """The model from a bounded sample: sample[0] clean and sample[1] toxic texts of at most sample_chars.
+def had(words: list[str], known: set[str], heads: set[str]) -> list[str]:
+    """Which of the known entries a text with these words has; heads: beginnings that known entries have, with their star."""
+    found = [w for w in words if w in known]
+    for k in HEADS:
+        of = Counter([h for w in words if len(w) >= k and (h := w[:k] + "*") in heads])
+        found += [e for h, n in of.items() for i in range(1, min(n, WORDS_OF_HEAD) + 1) if (e := f"{h}{i}") in known]
+    return sorted(set(found))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
+    """The model from all labelled documents that aren't held out.
 
     Executors read the texts, once for the trigrams, once more to restore them
     under these, and count the entries. The driver gets trigram counts, the
-    entries that are common and toxic enough, with the toxic documents that have
-    them, and which of the chosen ones each document has.
+    entries that are common and toxic enough, the toxic documents grouped by
+    which of them they have, and all documents grouped by which of the chosen
+    ones they have.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    usable = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)").filter(~held_out(F.col("_id")))
-    side = lambda y: usable.filter(F.col("_y") == y).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample[y])
-    chosen = side(0).unionByName(side(1))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).filter(F.length("text") <= sample_chars)
-    held = stored(rows.select("doc_id", "text", F.col("_y").alias("y")).repartition(32, F.xxhash64("doc_id")), "sample")
+    usable = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)").filter(~held_out(F.col("_id"))).distinct()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).join(usable, F.col("doc_id") == F.col("_id"))
+    held = stored(rows.select("text", F.col("_y").alias("y")), "labelled")
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, known = Counter(), {}
+
+        def found() -> pd.DataFrame:
+            of = grams(n)
+            return pd.DataFrame({"o": [o for o, _ in of], "gram": [g for _, g in of], "n": list(of.values())})
+
         for f in frames:
-            n: Counter = Counter()
             for t in f["text"]:
-                n.update(words_of(t, None))
-            found = grams(n)
-            yield pd.DataFrame({"o": [o for o, _ in found], "gram": [g for _, g in found], "n": list(found.values())})
+                n.update(words_of(t, None, known))
+                if len(n) >= COUNTED:
+                    yield found()
+                    n.clear()
+        if n:
+            yield found()
 
     counts = held.select("text").mapInPandas(counted, "o int, gram string, n long").groupBy("o", "gram").agg(F.sum("n").alias("n"))
     chars = CharModel(Counter({(r["o"], r["gram"]): r["n"] for r in counts.collect()}))
     model = spark.sparkContext.broadcast(chars)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[str]] = {}
         for f in frames:
-            for at in range(0, len(f), FEW):  # a text has many times as many entries as words
+            for at in range(0, len(f), FEW):
                 part = f.iloc[at : at + FEW]
-                yield pd.DataFrame({"row": part["row"], "y": part["y"], "entries": [sorted(entries(words_of(t, model.value))) for t in part["text"]]})
+                yield pd.DataFrame({"y": part["y"], "words": [sorted(words_of(t, model.value, known)) for t in part["text"]]})
 
-    known = stored(held.select(F.monotonically_increasing_id().alias("row"), "y", "text").mapInPandas(read, "row long, y int, entries array<string>"), "entries")
+    read_ = stored(held.mapInPandas(read, "y int, words array<string>"), "words")
     model.destroy()
     discard(held)
-    size = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = {r["y"]: r["n"] for r in read_.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
-        discard(known)
+        discard(read_)
         return ToxicModel(None, {}, -30.0)
     least = least_docs(toxic, clean)
-    totals = known.select("y", F.explode("entries").alias("entry")).groupBy("entry").agg(F.sum("y").alias("there"), F.count_if(F.col("y") == 0).alias("against"))
+
+    def tallied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sides = Counter(), Counter()
+
+        def found() -> Iterator[pd.DataFrame]:
+            for y, side in enumerate(sides):
+                if side:
+                    yield pd.DataFrame({"entry": list(side), "there": [y * n for n in side.values()], "against": [(1 - y) * n for n in side.values()]})
+                side.clear()
+
+        for f in frames:
+            for y, words in zip(f["y"], f["words"], strict=True):
+                sides[y].update(entries(set(words)))
+                if len(sides[0]) + len(sides[1]) >= COUNTED:
+                    yield from found()
+        yield from found()
+
+    totals = read_.mapInPandas(tallied, "entry string, there long, against long").groupBy("entry").agg(F.sum("there").alias("there"), F.sum("against").alias("against"))
     ratio = F.log((F.col("there") + 0.5) / (toxic + 1)) - F.log((F.col("against") + 0.5) / (clean + 1))
-    good = stored(totals.filter((F.col("there") >= least) & (ratio >= LEAST_RATIO)), "good")
-    where = known.filter("y = 1").select("row", F.explode("entries").alias("entry")).join(good, "entry").groupBy("entry").agg(F.collect_list("row").alias("rows"), F.first("against").alias("against"))  # at most sample[1] rows an entry
-    place: dict[int, int] = {}
-    explains, against = {}, {}
-    for entry, found, n in where.toLocalIterator():
-        explains[entry], against[entry] = [place.setdefault(r, len(place)) for r in found], n
-    words = chosen_entries(explains, against, len(place), least)
+    good = totals.filter((F.col("there") >= least) & (ratio >= LEAST_RATIO)).select("entry", "against").collect()
+    against = {r["entry"]: r["against"] for r in good}
+    explains: dict[str, list[int]] = {e: [] for e in against}
+    group: list[int] = []
+    for having, _, n in _groups(read_.filter("y = 1"), list(against)):
+        for e in having:
+            explains[e].append(len(group))
+        group.append(n)
+    words = chosen_entries(explains, against, group, least)
     del explains
-    pick = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    have = known.select("row", "y", F.array_intersect("entries", pick).alias("have")).collect()
-    discard(known)
-    discard(good)
-    return weighed(chars, words, [(set(h), y) for _, y, h in sorted((r["row"], r["y"], r["have"]) for r in have)])
+    out = weighed(chars, words, _groups(read_, words))
+    discard(read_)
+    return out
+
+
+def _groups(texts: DataFrame, known: list[str]) -> list[tuple[list[str], int, int]]:
+    """Which of the known entries texts (y, words) have, y, and how many texts that are."""
+    at = {e: i for i, e in enumerate(sorted(known))}
+    names = sorted(known)
+    held = texts.sparkSession.sparkContext.broadcast((set(known), {e[:-1] for e in known if e[-2:-1] == "*"}, at))
+
+    def which(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entries_, heads, place = held.value
+        for f in frames:
+            yield pd.DataFrame({"y": f["y"], "have": [[place[e] for e in had(words, entries_, heads)] for words in f["words"]]})
+
+    groups = texts.mapInPandas(which, "y int, have array<int>").groupBy("y", "have").agg(F.count(F.lit(1)).alias("n"))
+    out = sorted((list(r["have"]), r["y"], r["n"]) for r in groups.collect())
+    held.destroy()
+    return [([names[i] for i in have], y, n) for have, y, n in out]
 
 
 def score_column(spark: SparkSession, model: ToxicModel, text: str | Column = "text") -> Column:
     small_batches(spark)
-    held = spark.sparkContext.broadcast(model)  # a lexicon and trigram counts of a bounded sample
+    held = spark.sparkContext.broadcast(model)  # a lexicon and trigram counts
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

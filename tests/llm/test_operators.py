@@ -247,6 +247,23 @@ def test_secret_model_reads_every_document(spark):
     assert secret_scan.likelihood_ratios(secret_scan.labelled_strings(docs)) == secret_scan.likelihood_ratios(secret_scan.labelled_strings(twice))
 
 
+def test_toxicity_reads_every_label(spark):
+    """The model is that of all labelled texts that aren't held out: long ones count, and however many there are."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for i in range(60):
+        toxic = i % 4 == 0
+        text = " ".join([*(word() for _ in range(5)), *(["scumface"] * toxic)])
+        rows.append((i, text + " filler" * (4000 if toxic else 1), int(toxic)))  # toxic ones of more than 20,000 characters
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = toxicity.train(docs, labels)
+    want = toxicity.fitted([(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1])
+    assert got.weights.keys() == want.weights.keys() and got.weights
+    assert got.intercept == pytest.approx(want.intercept) and all(got.weights[e] == pytest.approx(w) for e, w in want.weights.items())
+    assert got.score("nice words scumface") >= toxicity.CUT > got.score("nice words")
+
+
 def test_toxicity_held_out():
     rng = random.Random(4)
     plain = [f"{a}{b}{c}" for a in "bcdfglmnprst" for b in ("an", "er", "il", "on") for c in ("", "ta", "del", "so")]
