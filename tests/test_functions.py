@@ -251,3 +251,22 @@ def test_frame_kinds(spark):
     assert [r.k for r in out] == [k for _, _, k in cases]
     assert tuple(out[8].a) == ("11" * 16, 3) and out[2].a is None and out[15].a is None
     assert [one(spark, frames.calling_class(F.lit(k))) for k in ("announce other", "SUPE HAIL", "SUPE GOT", "data")] == ["announces_and_path", "hails", "supe_other", "unicast"]
+
+
+def test_pairs_at_shared_places(spark):
+    """Points that share a place, more than a row holds, and repeated ones: pairs by brute force, and no side of every() broadcast."""
+    from larkspan.operators import pairs
+
+    points = [(i, i % 7 * 10, i % 3 * 10) for i in range(60)] + [(3, 30, 0)]
+    df = spark.createDataFrame(points, "i long, x long, y long")
+    d2 = lambda p, q: (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2
+    want = sorted((p[0], q[0], d2(p, q)) for p in points for q in points if p[0] < q[0] and d2(p, q) <= 225)
+    before, pairs.AT_ONCE = pairs.AT_ONCE, 2
+    try:
+        assert sorted(map(tuple, pairs.within(df, "i", "x", "y", 15).collect())) == want
+    finally:
+        pairs.AT_ONCE = before
+    left, right = spark.range(1000).toDF("a"), spark.range(700).toDF("b")
+    both = pairs.every(left, right)
+    assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
+    assert both.distinct().count() == both.count() == 700_000
