@@ -156,15 +156,15 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
 def greedy_coverage(covers: DataFrame, weights: DataFrame, picks: int, k: int = 1, seed: DataFrame | None = None) -> DataFrame:
     """step, cand, gain: repeatedly the candidate (cand, item) that adds most weight (item, w) to items covered fewer than k times.
 
-    Ties go to the smaller candidate; it stops where nothing is gained. Each
-    step is one join and one aggregate; the driver sees one row of it.
+    Ties go to the smaller candidate; it stops where nothing is gained. What
+    covers what is written once. Each step is one join and one aggregate; the driver sees one row of it.
     """
     spark = covers.sparkSession
     held = weights.select("item", "w", F.lit(0).cast("long").alias("n"))
     if seed is not None:
         have = seed.groupBy("item").agg(F.count(F.lit(1)).alias("s"))
         held = held.join(have, "item", "left").select("item", "w", F.coalesce("s", F.lit(0)).cast("long").alias("n"))
-    held, out, taken = cut(held), [], []
+    covers, held, out, taken = cut(covers.select("cand", "item")), cut(held), [], []
     for step in range(picks):
         open_items = held.filter(F.col("n") < k)
         left = covers.filter(~F.col("cand").isin(taken)) if taken else covers
