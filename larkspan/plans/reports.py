@@ -12,6 +12,7 @@ from larkspan.operators import intervals, pairs
 from larkspan.operators.medium import PAIRWISE_DB
 from larkspan.plans import bridge
 from larkspan.plans.bridge import CALLING, FRAMES, LONGEST, NODES, RECEPTIONS
+from larkspan.plans.storage import cut
 
 HOUR = 3_600_000_000
 GAP = 60_000_000
@@ -484,12 +485,11 @@ round(pow(10.0, power / 10.0), 6) AS mw, CAST(list_max(list_filter({radio.POWER_
 
 def audible_links(spark, sf_dir):
     """Pairs of stations that would decode each other's frames, by the made-up path loss and each sender's most common setting."""
-    s = common_setting(spark, sf_dir).filter(F.col("freq") == CALLING).select("freq", "sf", "bw", "power")
+    s = cut(common_setting(spark, sf_dir).filter(F.col("freq") == CALLING).select("power", (radio.noise_floor(F.col("bw")) + radio.sensitivity(F.col("sf"))).alias("least")))  # one row: a setting per carrier
     n = bridge.stations(spark, sf_dir).select("id")
-    met = pairs.every(n.withColumnRenamed("id", "tx"), n.withColumnRenamed("id", "rx")).filter("tx <> rx")
-    met = met.withColumn("freq", F.lit(CALLING).cast("long")).join(s, "freq")  # one row: a setting per carrier
+    met = pairs.every(n.withColumnRenamed("id", "tx").crossJoin(F.broadcast(s)), n.withColumnRenamed("id", "rx")).filter("tx <> rx")
     level = (F.col("power") - (F.lit(100) + (F.col("tx") * 31 + F.col("rx") * 17) % 60)).cast("double")
-    return met.filter(radio.audible(level, F.col("bw"), F.col("sf"))).select("tx", "rx", level.alias("level"))
+    return met.filter(level >= F.col("least")).select("tx", "rx", level.alias("level"))
 
 
 SQL["audible_links"] = f"WITH c AS (SELECT * FROM ({SQL['common_setting']}) WHERE freq = {CALLING}), n AS (SELECT s_suppkey AS id FROM supplier), p AS (SELECT a.id AS tx, b.id AS rx, c.sf, c.bw, CAST(c.power - (100 + (a.id * 31 + b.id * 17) % 60) AS DOUBLE) AS level FROM n a, n b, c WHERE a.id <> b.id) SELECT tx, rx, level FROM p c WHERE level >= -168.0 + 10.0 * log10(bw) + {_SENS}"
