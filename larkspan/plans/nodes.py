@@ -160,8 +160,9 @@ def loss_offsets(spark, sf_dir):
     """Pair losses with offsets added: offsets by unordered pair, summed, both ways."""
     n = bridge.stations(spark, sf_dir).select("id")
     cells = pairs.every(n.withColumnRenamed("id", "a"), n.withColumnRenamed("id", "b")).filter("a <> b").select("a", "b", ((F.col("a") * 31 + F.col("b") * 17) % 60 + 80).alias("loss"))
+    # at most 780 pairs of residues: broadcast, so the matrix isn't shuffled
     off = bridge.frames(spark, sf_dir).select((F.col("eid") % 40).alias("p"), (F.col("eid") * 7 % 40).alias("q"), (F.col("eid") % 3).alias("db")).filter("p <> q").groupBy(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).agg(F.sum("db").alias("db"))
-    return cells.join(off, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left").select("a", "b", (F.col("loss") + F.coalesce("db", F.lit(0))).cast("long").alias("loss"))
+    return cells.join(F.broadcast(off), (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left").select("a", "b", (F.col("loss") + F.coalesce("db", F.lit(0))).cast("long").alias("loss"))
 
 
 SQL["loss_offsets"] = f"WITH {bridge.FRAMES}, n AS (SELECT s_suppkey AS id FROM supplier), c AS (SELECT a.id AS a, b.id AS b, (a.id * 31 + b.id * 17) % 60 + 80 AS loss FROM n a JOIN n b ON a.id <> b.id), o AS (SELECT least(p, q) AS lo, greatest(p, q) AS hi, sum(db) AS db FROM (SELECT eid % 40 AS p, eid * 7 % 40 AS q, eid % 3 AS db FROM frames) WHERE p <> q GROUP BY 1, 2) SELECT a, b, CAST(loss + coalesce(db, 0) AS BIGINT) AS loss FROM c LEFT JOIN o ON least(a, b) = lo AND greatest(a, b) = hi"
