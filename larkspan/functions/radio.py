@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +62,12 @@ def rejection(sf: Column, other: Column) -> Column:
     return F.when(sf.isNull() | other.isNull() | (sf == other), F.lit(SAME_SF_DB)).otherwise(F.get(F.get(rows, at(sf)), at(other)))
 
 
+def rejections(sf: np.ndarray, other: int) -> np.ndarray:
+    """The same over an array of known factors."""
+    at = np.clip(sf, 7, 12) - 7
+    return np.where(sf == other, SAME_SF_DB, np.array(INTER_SF_DB, np.float64)[at, min(12, max(7, other)) - 7])
+
+
 def sense_threshold(bw: Column) -> Column:
     return 10.0 * F.log10(F.greatest(bandwidth(bw), F.lit(1000.0)) / 1000.0) + (SENSE_DBM_AT_1KHZ + SENSE_ABOVE_DB)
 
