@@ -50,6 +50,8 @@ CACHE = 100_000
 FEW = 50
 #: Words or entries that a task counts before it hands the counts on.
 COUNTED = 300_000
+#: Labels that are broadcast at a time.
+AT_ONCE = 1_000_000
 #: Rows of the logistic model's matrix that are held at a time.
 MATRIX_ROWS = 20_000
 
@@ -316,6 +318,19 @@ def had(words: list[str], known: set[str], heads: set[str]) -> list[str]:
     return sorted(set(found))
 
 
+def labelled(docs: DataFrame, usable: DataFrame) -> DataFrame:
+    """text, y of the documents that usable (_id, _y) lists. Texts stay where they are read: the labels go to them, AT_ONCE or so at a time, for each of which the documents are read again."""
+    usable = stored(usable, "usable")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
+    parts = -(-usable.count() // AT_ONCE) or 1
+    out = None
+    for i in range(parts):
+        some = usable.filter(F.pmod(F.xxhash64("_id"), F.lit(parts)) == i)
+        met = rows.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", F.col("_y").alias("y"))
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """The model from all labelled documents that aren't held out.
 
@@ -328,8 +343,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     spark = docs.sparkSession
     small_batches(spark)
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)").filter(~held_out(F.col("_id"))).distinct()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).join(usable, F.col("doc_id") == F.col("_id"))
-    held = stored(rows.select("text", F.col("_y").alias("y")), "labelled")
+    held = stored(labelled(docs, usable), "labelled")
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, known = Counter(), {}

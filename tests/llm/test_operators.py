@@ -264,6 +264,25 @@ def test_toxicity_reads_every_label(spark):
     assert got.score("nice words scumface") >= toxicity.CUT > got.score("nice words")
 
 
+def test_labels_go_to_the_texts(spark, monkeypatch):
+    """Labelled texts aren't shuffled, however many labels there are; these come in parts, and each text meets its own."""
+    docs = spark.createDataFrame([(i % 90, f"text {i}") for i in range(100)] + [(None, "no id"), (7, None)], "doc_id long, text string")
+    usable = spark.createDataFrame([(i, i % 2) for i in range(0, 120, 3)] + [(3, 0)], "_id long, _y int")
+    monkeypatch.setattr(toxicity, "AT_ONCE", 9)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = toxicity.labelled(docs, usable)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    of = defaultdict(list)
+    for r in usable.collect():
+        of[r[0]].append(r[1])
+    used = [(r.text or "", y) for r in docs.collect() if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for y in of[r.doc_id]]
+    assert sorted(map(tuple, got.collect())) == sorted(used)
+
+
 def test_toxicity_held_out():
     rng = random.Random(4)
     plain = [f"{a}{b}{c}" for a in "bcdfglmnprst" for b in ("an", "er", "il", "on") for c in ("", "ta", "del", "so")]
