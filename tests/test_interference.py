@@ -36,9 +36,8 @@ def brute(frames, heard, width):
 
 
 @pytest.mark.parametrize("spread", [4000, 60])
-def test_sums_against_pairs(spark, spread, monkeypatch):
+def test_sums_against_pairs(spark, spread):
     """Crowded and sparse air; frames of no length, over several slices and at edges of them; channels that overlap partly."""
-    monkeypatch.setattr(interference, "CELLS", 50)
     rng, width = random.Random(spread), 50
     frames = []
     for i in range(150):
@@ -55,6 +54,14 @@ def test_sums_against_pairs(spark, spread, monkeypatch):
     assert any(v == (False, True) for v in want.values())
 
 
+def test_ranges_in_parts(monkeypatch):
+    monkeypatch.setattr(interference, "CELLS", 7)
+    n = np.array([0, 0, 1, 2, 3, 3, 20])
+    first = np.array([5, 0, 9, 4, 1, 2, 0])
+    got = [[at[k][real[k]].tolist() for k in range(len(at))] for _, at, real in interference._running(first, first + n)]
+    assert sum(got, []) == [list(range(a, a + k)) for a, k in zip(first, n)] and len(got) > 3
+
+
 def test_verdicts_make_no_pairs(spark, monkeypatch):
     """Pairs of frames, which grow with the square of what is on at a time, aren't rows of the verdicts' plan."""
 
