@@ -10,7 +10,8 @@ unprocessed rest of a score lies between the sums of the negative and of the
 positive impacts left, so a vector leaves as soon as its upper bound is below
 the query's k-th best lower bound: that is the proof. Later levels skip the
 vectors that left. When few are left, or nothing is left to process, the rest is
-rescored exactly.
+rescored exactly. The first TOGETHER levels, in which hardly a vector leaves, are
+one step, made for some queries at a time as one product of matrices.
 
 Queries are dealt by a hash into chunks of about CHUNK_BYTES, each broadcast by
 itself; every candidate is read once per chunk and never shuffled. (Building a
@@ -45,10 +46,12 @@ from larkspan.llm._common import stored, table
 SCALE, K, EVERY = 64, 20, 20
 #: Bytes of the queries that are broadcast at a time.
 CHUNK_BYTES = 8 << 20
+#: Levels from a query's highest that are its first step, and queries that make it together.
+TOGETHER, GROUP = 6, 64
 #: Rescoring starts when at most this share of a block is left.
 FEW = 0.02
-#: Doubles hold integers up to here exactly.
-EXACT = 2**53
+#: Doubles, and single floats, hold integers up to here exactly.
+EXACT, SINGLE = 2**53, 2**24
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -80,32 +83,54 @@ class ImpactIndex:
             shifted = vectors - self.low
             for d in range(width):
                 for p in range(int(shifted[:, d].max(initial=0)).bit_length()):
-                    marks.append((shifted[:, d] >> p & 1).astype(np.uint8))
+                    marks.append((shifted[:, d] >> p & 1).astype(np.float32))
                     dimension.append(d)
                     plane.append(p)
-        self.marks = np.stack(marks) if marks else np.zeros((0, n), np.uint8)
+        self.marks = np.stack(marks) if marks else np.zeros((0, n), np.float32)
         self.dimension, self.plane = np.array(dimension, np.int64), np.array(plane, np.int64)
 
-    def search(self, query: np.ndarray, floor: int, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of this block, those in own left out, that can be among the k best, given that a score below floor can't be; and their scores."""
+    def whole(self, queries: np.ndarray) -> np.ndarray:
+        """Which queries are scored in whole, with integers of any size."""
+        return ~(4 * (np.abs(queries.astype(np.float64)) @ self.reach) < EXACT) if self.exact else np.ones(len(queries), bool)
+
+    def impacts(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each query's impacts of the segments, and their levels."""
+        impact = queries[:, self.dimension].astype(np.float64) * np.exp2(self.plane)
+        return impact, np.frexp(np.abs(impact))[1]
+
+    def first(self, queries: np.ndarray) -> np.ndarray:
+        """What queries that aren't scored in whole know of each vector after their first step."""
+        impact, level = self.impacts(queries)
+        if impact.shape[1]:
+            impact = np.where(level > level.max(1, keepdims=True) - TOGETHER, impact, 0.0)
+        single = 4 * float((np.abs(queries.astype(np.float64)) @ self.reach).max(initial=0)) < SINGLE
+        marks, impact = (self.marks, impact.astype(np.float32)) if single else (self.marks.astype(np.float64), impact)
+        return (impact @ marks).astype(np.float64) + (queries @ self.low).astype(np.float64)[:, None]
+
+    def search(self, query: np.ndarray, floor: int, k: int, own: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of this block, those in own left out, that can be among the k best, given that a score below floor can't be; and their scores. first: the query's row of first(), if it was made."""
         n = len(self.vectors)
-        rows = np.setdiff1d(np.arange(n), own, assume_unique=True)
-        if not self.exact or 4 * float(self.reach @ np.abs(query.astype(np.float64))) >= EXACT:
+        others = np.ones(n, bool)
+        others[own] = False
+        rows = np.flatnonzero(others)
+        if self.whole(query[None])[0]:
             whole = self.vectors[rows].astype(object) @ query.astype(object)
             return rows, np.array([int(x) for x in whole], np.int64)
-        impact = query[self.dimension].astype(np.float64) * np.exp2(self.plane)
-        level = np.frexp(np.abs(impact))[1]
+        impact, level = (x[0] for x in self.impacts(query[None]))
         order = np.argsort(-level, kind="stable")
         order = order[impact[order] != 0]
-        ends = [*(np.flatnonzero(np.diff(level[order])) + 1).tolist(), len(order)] if len(order) else []
+        top = level[order[:1]].max(initial=0)
+        step = np.maximum(top - level[order], TOGETHER - 1)
+        ends = [*(np.flatnonzero(np.diff(step)) + 1).tolist(), len(order)] if len(order) else []
         gain = float(np.maximum(impact, 0).sum())
         loss = float(np.minimum(impact, 0).sum())
-        known = np.full(len(rows), float(query @ self.low))
+        known = (self.first(query[None])[0] if first is None else first)[rows]
         at = 0
         for end in ends:
             segments = order[at:end]
             w = impact[segments]
-            known += w @ (self.marks[segments] if len(rows) == n else self.marks[np.ix_(segments, rows)])
+            if at:
+                known += w @ self.marks[np.ix_(segments, rows)].astype(np.float64)
             gain, loss, at = gain - float(np.maximum(w, 0).sum()), loss - float(np.minimum(w, 0).sum()), end
             bound = float(floor)
             if len(rows) > k:
@@ -134,10 +159,14 @@ def _searched(queries, k: int):
             mine = np.pad(asked, ((0, 0), (0, width - asked.shape[1])))
             index, sorted_by = ImpactIndex(vectors), np.argsort(ids, kind="stable")
             lo, hi = np.searchsorted(ids[sorted_by], qid, "left"), np.searchsorted(ids[sorted_by], qid, "right")
+            whole, firsts = index.whole(mine), {}
             for i in range(len(qid)):
                 held = best[i]
+                if i % GROUP == 0:
+                    group = np.flatnonzero(~whole[i : i + GROUP])
+                    firsts = dict(zip((i + group).tolist(), index.first(mine[i + group]), strict=True)) if len(group) else {}
                 floor = int(held[1][-1]) if len(held[0]) == k else np.iinfo(np.int64).min
-                at, scores = index.search(mine[i], floor, k, np.sort(sorted_by[lo[i] : hi[i]]))
+                at, scores = index.search(mine[i], floor, k, sorted_by[lo[i] : hi[i]], firsts.get(i))
                 if len(at):
                     best[i] = best_of(np.concatenate([held[0], ids[at]]), np.concatenate([held[1], scores]), k)
         for a in range(0, len(qid), 4096):

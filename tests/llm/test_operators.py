@@ -237,6 +237,23 @@ def test_segments_go_by_impact_and_skip_the_dead():
     assert len(index.search(np.full(24, 5), np.iinfo(np.int64).min, 20, own)[0]) < 100
 
 
+def test_first_steps_together():
+    """Queries that make their first step together know the same as alone, and what they know holds."""
+    rng = np.random.default_rng(13)
+    for scale in (40, 2**20):  # single floats hold the sums of the one, doubles those of the other
+        v = rng.integers(-scale, scale, (1500, 16))
+        queries = np.concatenate([rng.integers(-scale, scale, (6, 16)), np.zeros((1, 16), np.int64), 3 * np.eye(1, 16, dtype=np.int64)])
+        index = topk_search.ImpactIndex(v)
+        for query, known in zip(queries, index.first(queries), strict=True):
+            impact, level = (x[0] for x in index.impacts(query[None]))
+            left = impact[level <= level.max() - topk_search.TOGETHER]
+            scores = v @ query
+            assert (known + np.maximum(left, 0).sum() >= scores).all() and (known + np.minimum(left, 0).sum() <= scores).all()
+            alone, together = (index.search(query, np.iinfo(np.int64).min, 20, np.array([5]), x) for x in (None, known))
+            assert (alone[0] == together[0]).all() and (together[1] == scores[together[0]]).all()
+            assert set([j for j in np.lexsort((np.arange(1500), -scores)) if j != 5][:20]) <= set(together[0].tolist())
+
+
 def test_secret_model_reads_every_document(spark):
     """Every document's words count, however many there are, in the share that the made identifiers leave them."""
     words = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}zzz" for i in range(1000)]
