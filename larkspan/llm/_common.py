@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +106,47 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, par
     return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
 
 
+#: What empties the memories that a worker process keeps between its tasks, and the operator that it last worked for.
+_memories: list[Callable[[], None]] = []
+_works_for: list[str] = [""]
+
+
+def remembers(forget: Callable[[], None]) -> None:
+    """Names what empties a memory that an operator keeps in its worker processes."""
+    _memories.append(forget)
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, as far as the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def works_for(operator: str) -> None:
+    """The process works for an operator from now on, and forgets what it remembers for another."""
+    if _works_for[0] != operator:
+        _works_for[0] = operator
+        for forget in _memories:
+            forget()
+        give_back()
+
+
+def tidy(operator: str, work: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """work, for mapInArrow or mapInPandas, in a process that serves stage after stage, some of them idle beside the next one's: what it held goes when a task ends."""
+
+    def tidied(batches: Iterable) -> Iterator:
+        works_for(operator)
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches of this session by rows; plans read the setting when they run, so it stays."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:

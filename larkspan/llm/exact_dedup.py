@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm._common import ascii_lower, join_hot, small_batches, stored
+from larkspan.llm._common import ascii_lower, join_hot, small_batches, stored, tidy
 
 #: Bytes of distinct content that one table may hold before it spills.
 TABLE_BYTES = 64 << 20
@@ -173,8 +173,8 @@ def duplicate_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     small_batches(docs.sparkSession)
     text = content(F.col("text"))
     keyed = docs.select(F.sha2(text, 256).alias("digest"), text.alias("content"), F.col("doc_id").cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    folded = keyed.mapInArrow(_folded(budget), "digest string, content string, keep_id long, group_size long")
-    return folded.repartition(F.col("digest")).mapInArrow(_tabled(budget), "digest string, keep_id long, group_size long")
+    folded = keyed.mapInArrow(tidy("exact_dedup", _folded(budget)), "digest string, content string, keep_id long, group_size long")
+    return folded.repartition(F.col("digest")).mapInArrow(tidy("exact_dedup", _tabled(budget)), "digest string, keep_id long, group_size long")
 
 
 def exact_duplicates(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:

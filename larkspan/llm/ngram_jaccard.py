@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm._common import join_hot, small_batches, stored, table
+from larkspan.llm._common import join_hot, small_batches, stored, table, tidy
 from larkspan.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -332,7 +332,7 @@ def candidate_clusters(classes: DataFrame, threshold: float = THRESHOLD, toleran
     held = join_hot(keys, shared, ["band"], "m").join(classes.select("cid", "n", "signature"), "cid")
     blocks = F.ceil(F.col("m") / bucket).cast("int")
     held = held.select("band", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"), "cid", "n", "signature")
-    edges = _two_by_two(held, "band", "cid", "n", "signature").mapInArrow(_pruned(threshold, tolerance), "a long, b long")
+    edges = _two_by_two(held, "band", "cid", "n", "signature").mapInArrow(tidy("ngram_jaccard", _pruned(threshold, tolerance)), "a long, b long")
     return components(edges)
 
 
@@ -340,7 +340,7 @@ def _linked(docs: DataFrame, words: int, threshold: float, tolerance: float) ->
     """One row per input row: doc_id, tid (digest of the text), class_id, copy_id, n_links, n_shingles, stays (whether the row is the one of its class that has the smallest doc_id, then tid)."""
     small_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("tid"), "text")
-    signed = stored(text.mapInArrow(_signed(words), "doc_id long, tid string, k1 long, k2 long, n int, signature binary"), "signed")
+    signed = stored(text.mapInArrow(tidy("ngram_jaccard", _signed(words)), "doc_id long, tid string, k1 long, k2 long, n int, signature binary"), "signed")
     # every row of a class has the same n and signature
     grouped = signed.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tid")).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "signature")])
     classes = stored(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -351,7 +351,7 @@ def _linked(docs: DataFrame, words: int, threshold: float, tolerance: float) ->
     totals = totals.select("comp", F.greatest(by_docs, F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(totals, "comp").select("comp", "cid", "first.doc_id", "first.tid", F.col("copies").alias("weight"), "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"))
     groups = _two_by_two(text.join(members, ["doc_id", "tid"]), "comp", "cid", "weight", "text")
-    judged = stored(groups.mapInArrow(_judged(words, threshold, tolerance), "cid long, links long, other long"), "judged")
+    judged = stored(groups.mapInArrow(tidy("ngram_jaccard", _judged(words, threshold, tolerance)), "cid long, links long, other long"), "judged")
     links = judged.filter("other IS NULL").groupBy("cid").agg(F.sum("links").alias("links"))
     trees = components(judged.filter("other IS NOT NULL").select(F.col("cid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "cid")
     firsts = trees.join(classes.select("cid", "first"), "cid").groupBy("comp").agg(F.min("first").alias("least"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspan.llm._common import small_batches, stored, table
+from larkspan.llm._common import remembers, small_batches, stored, table, tidy
 
 CAPACITY = 2048
 END = 0
@@ -135,6 +135,9 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+remembers(chunk_tokenizer.cache_clear)
+
+
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -157,7 +160,7 @@ def _cut(path: str, capacity: int):
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(tokenizer or default_tokenizer(), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy("packing", _cut(tokenizer or default_tokenizer(), capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm._common import discard, small_batches, stored, table
+from larkspan.llm._common import discard, small_batches, stored, table, tidy, works_for
 
 FOLDS, HELD_OUT = 3, 1
 CUT = 0.7
@@ -361,7 +361,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         if n:
             yield found()
 
-    counts = held.select("text").mapInPandas(counted, "o int, gram string, n long").groupBy("o", "gram").agg(F.sum("n").alias("n"))
+    counts = held.select("text").mapInPandas(tidy("toxicity", counted), "o int, gram string, n long").groupBy("o", "gram").agg(F.sum("n").alias("n"))
     chars = CharModel(Counter({(r["o"], r["gram"]): r["n"] for r in counts.collect()}))
     model = spark.sparkContext.broadcast(chars)
 
@@ -372,7 +372,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
                 part = f.iloc[at : at + FEW]
                 yield pd.DataFrame({"y": part["y"], "words": [sorted(words_of(t, model.value, known)) for t in part["text"]]})
 
-    read_ = stored(held.mapInPandas(read, "y int, words array<string>"), "words")
+    read_ = stored(held.mapInPandas(tidy("toxicity", read), "y int, words array<string>"), "words")
     model.destroy()
     discard(held)
     size = {r["y"]: r["n"] for r in read_.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -398,7 +398,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
                     yield from found()
         yield from found()
 
-    totals = read_.mapInPandas(tallied, "entry string, there long, against long").groupBy("entry").agg(F.sum("there").alias("there"), F.sum("against").alias("against"))
+    totals = read_.mapInPandas(tidy("toxicity", tallied), "entry string, there long, against long").groupBy("entry").agg(F.sum("there").alias("there"), F.sum("against").alias("against"))
     ratio = F.log((F.col("there") + 0.5) / (toxic + 1)) - F.log((F.col("against") + 0.5) / (clean + 1))
     good = totals.filter((F.col("there") >= least) & (ratio >= LEAST_RATIO)).select("entry", "against").collect()
     against = {r["entry"]: r["against"] for r in good}
@@ -426,7 +426,7 @@ def _groups(texts: DataFrame, known: list[str]) -> list[tuple[list[str], int, in
         for f in frames:
             yield pd.DataFrame({"y": f["y"], "have": [[place[e] for e in had(words, entries_, heads)] for words in f["words"]]})
 
-    groups = texts.mapInPandas(which, "y int, have array<int>").groupBy("y", "have").agg(F.count(F.lit(1)).alias("n"))
+    groups = texts.mapInPandas(tidy("toxicity", which), "y int, have array<int>").groupBy("y", "have").agg(F.count(F.lit(1)).alias("n"))
     out = sorted((list(r["have"]), r["y"], r["n"]) for r in groups.collect())
     held.destroy()
     return [([names[i] for i in have], y, n) for have, y, n in out]
@@ -438,6 +438,7 @@ def score_column(spark: SparkSession, model: ToxicModel, text: str | Column = "t
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        works_for("toxicity")
         model = held.value
         return pd.Series([model.score(t) for t in texts], dtype="float64")
 

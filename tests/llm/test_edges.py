@@ -134,3 +134,29 @@ def test_rows_that_share_a_doc_id_are_judged_apart(spark):
     assert near == sorted((i or 0, t) for i, t in rows if (i, t) not in ((9, "dup"), (8, base + " end")))
     out = {(r.doc_id, r.n_shingles): (r.class_id, r.n_links) for r in ngram_jaccard.near_duplicates(df).collect() if r.doc_id is not None}
     assert out[7, 96] == (7, 1) and out[8, 97] == (7, 1) and out[7, 2] == (7, 0)
+
+
+def test_workers_forget_other_operators(spark):
+    """A worker process that goes on to another operator holds the first one's memories no longer."""
+    from larkspan.llm import _common
+
+    def packs(batches):
+        for b in batches:
+            packing.chunk_tokenizer(packing.default_tokenizer())(["some text"])
+            yield b
+
+    def counts(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([packing.chunk_tokenizer.cache_info().currsize])], ["id"])
+
+    one = spark.range(1).coalesce(1)
+    assert one.mapInArrow(_common.tidy("packing", packs), "id long").count() == 1
+    assert max(r.id for r in spark.range(8).repartition(4).mapInArrow(_common.tidy("packing", counts), "id long").collect()) >= 0
+    assert {r.id for r in spark.range(8).repartition(4).mapInArrow(_common.tidy("toxicity", counts), "id long").collect()} == {0}
+    packing.chunk_tokenizer(packing.default_tokenizer())
+    _common.works_for("packing")
+    assert packing.chunk_tokenizer(packing.default_tokenizer()) is packing.chunk_tokenizer(packing.default_tokenizer())
+    _common.works_for("exact_dedup")
+    assert packing.chunk_tokenizer.cache_info().currsize == 0
