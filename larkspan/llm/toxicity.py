@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -44,7 +45,7 @@ WORDS_OF_HEAD = 3
 LEAST_RATIO, DEPTH = 3.0, 3
 #: An entry must explain so many toxic documents that, had they been drawn from all labelled ones, all of them being toxic would be no likelier than this.
 CHANCE = 0.01
-#: Tokens whose lexicon entries a task remembers.
+#: Tokens that a task remembers, with what they give.
 CACHE = 100_000
 #: Texts whose words are held at a time.
 FEW = 50
@@ -69,17 +70,27 @@ DISGUISED = re.compile(
     rf"|(?<!{LETTER})(?:({LETTER})(?!\1\1))*+({LETTER})\2\2{LETTER}*+"
 )
 SEPARATORS = set(" .-_*")
+#: How such a stretch goes on behind its first character. It starts with a set of characters, which is searched for several times faster.
+SPREAD_ON = re.compile(rf"[ .\-_*](?:(?<=\W{UNIT}[ .\-_*])|(?<=\A{UNIT}[ .\-_*]))[ .\-_*]*+{UNIT}[ .\-_*]++{UNIT}(?![^\W_])")
+#: Behind a token's only word these disguise nothing.
+ENDS = string.punctuation + string.digits
+THRICE = re.compile(rf"({LETTER})\1\1")
+#: Longer tokens aren't remembered.
+LONG = 64
 COST = {"stands": 0.7, "drop": 0.4, "break": 2.5, "repeat": 0.3, "sign": 6.0}
 
 
 def grams(words: Counter) -> Counter:
     """Counts of (order, character after its context) for contexts of 0, 1 and 2 characters, over words between spaces."""
-    out: Counter = Counter()
+    longest: Counter = Counter()
     for w, k in words.items():
         s = f"  {w} "
-        for i in range(2, len(s)):
-            for order in range(3):
-                out[order, s[i - order : i + 1]] += k
+        for i in range(len(w) + 1):
+            longest[s[i : i + 3]] += k
+    out: Counter = Counter()
+    for gram, k in longest.items():
+        for order in range(3):
+            out[order, gram[2 - order :]] += k
     return out
 
 
@@ -146,31 +157,56 @@ def lowered(text: str) -> str:
     return low if low.isascii() or unicodedata.is_normalized("NFC", low) else unicodedata.normalize("NFC", low)
 
 
-def token_words(token: str, model: CharModel | None) -> list[str]:
-    """The words of a token without white space, as it stands and restored."""
-    out = WORDS.findall(token)
-    if model is not None:
-        for m in DISGUISED.finditer(token):
-            out += restored(m[0], model).split()
-    return out
+def token_parts(token: str) -> tuple[list[str], list[str]]:
+    """The words of a token without white space, as it stands, and its stretches that look disguised."""
+    word = token.rstrip(ENDS)
+    if word.isalpha() and not THRICE.search(word):
+        return [word], []
+    return WORDS.findall(token), [m[0] for m in DISGUISED.finditer(token)]
+
+
+def spread(low: str) -> list[str]:
+    """The stretches of a lower-case text whose letters are spread by separators."""
+    return [m[0] for m in SPREAD.finditer(low)] if SPREAD_ON.search(low) else []
+
 
+class Reader:
+    """Takes texts apart, and remembers tokens."""
 
-def words_of(text: str, model: CharModel | None, known: dict[str, list[str]] | None = None) -> set[str]:
-    """A text's distinct words, restored ones included. known remembers tokens' words under one model."""
-    low, out, known = lowered(text), set(), {} if known is None else known
-    for token in set(low.split()):
-        got = known.get(token)
-        if got is None:
-            got = token_words(token, model)
-            if len(known) >= CACHE:
-                known.clear()
-            if len(token) <= 64:
-                known[token] = got
-        out.update(got)
+    def __init__(self) -> None:
+        self.plain: set[str] = set()  # tokens that are one word and nothing else
+        self.known: dict[str, tuple[list[str], list[str]]] = {}
+
+    def parts(self, text: str) -> tuple[set[str], set[str]]:
+        """A text's distinct words, as they stand, and its distinct stretches that look disguised."""
+        low = lowered(text)
+        tokens = set(low.split())
+        words, stretches = tokens & self.plain, set(spread(low))
+        for token in tokens - words:
+            got = self.known.get(token)
+            if got is None:
+                got = token_parts(token)
+                if len(self.plain) + len(self.known) >= CACHE:
+                    self.plain.clear()
+                    self.known.clear()
+                if len(token) <= LONG:
+                    if got == ([token], []):
+                        self.plain.add(token)
+                    else:
+                        self.known[token] = got
+            words.update(got[0])
+            if got[1]:
+                stretches.update(got[1])
+        return words, stretches
+
+
+def words_of(text: str, model: CharModel | None) -> set[str]:
+    """A text's distinct words, restored ones included."""
+    words, stretches = Reader().parts(text)
     if model is not None:
-        for m in SPREAD.finditer(low):
-            out.update(restored(m[0], model).split())
-    return out
+        for stretch in stretches:
+            words.update(restored(stretch, model).split())
+    return words
 
 
 def entries(words: set[str]) -> set[str]:
@@ -182,35 +218,80 @@ def entries(words: set[str]) -> set[str]:
     return out
 
 
+class Tally:
+    """How many documents have each of the entries that entries() gives, without making these document by document."""
+
+    def __init__(self) -> None:
+        self.words: Counter = Counter()
+        self.heads = {k: [Counter() for _ in range(WORDS_OF_HEAD)] for k in HEADS}
+
+    def add(self, words: list[str]) -> None:
+        """A document's distinct words."""
+        self.words.update(words)
+        for k, by_number in self.heads.items():
+            words = [w for w in words if len(w) >= k]
+            of = Counter([w[:k] for w in words])
+            have = list(of)
+            for i, docs in enumerate(by_number):
+                if i:
+                    have = [h for h in have if of[h] > i]
+                docs.update(have)
+
+    def __len__(self) -> int:
+        return len(self.words) + sum(len(docs) for by_number in self.heads.values() for docs in by_number)
+
+    def counts(self) -> Iterator[tuple[list[str], list[int]]]:
+        """Entries and how many documents have them, a part at a time."""
+        yield list(self.words), list(self.words.values())
+        for by_number in self.heads.values():
+            for i, docs in enumerate(by_number, 1):
+                yield [f"{h}*{i}" for h in docs], list(docs.values())
+
+
 class ToxicModel:
     def __init__(self, chars: CharModel | None, weights: dict[str, float], intercept: float) -> None:
         self.chars, self.weights, self.intercept = chars, weights, intercept
         self.heads = {e[:-1] for e in weights if e[-2:-1] == "*"}
+        self.begin = beginnings(self.heads)
+        self.none: set[str] = set()  # tokens without entries
         self.known: dict[str, tuple] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"none": set(), "known": {}}
 
     def hits(self, words: list[str]) -> tuple[tuple[str, str], ...]:
         """(entry without its number, word) of those that the lexicon knows."""
+        words = [w for w in words if w in self.weights or w[: HEADS[0]] in self.begin]
         return tuple({(w, w) for w in words if w in self.weights} | {(h, w) for w in words for k in HEADS if len(w) >= k and (h := w[:k] + "*") in self.heads})
 
+    def read(self, words: list[str], stretches: list[str]) -> list[str]:
+        """The words and those that the stretches are restored to."""
+        if stretches and self.chars is not None:
+            words = words + [w for s in stretches for w in restored(s, self.chars).split()]
+        return words
+
     def score(self, text: str | None) -> float:
-        low, known = lowered(text or ""), self.known
+        low, none, known = lowered(text or ""), self.none, self.known
         found: set[tuple[str, str]] = set()
-        for token in set(low.split()):
+        new = set(low.split()) - none
+        if len(none) + len(known) + len(new) > CACHE:
+            none.clear()
+            known.clear()
+        # without repeated letters a token of one word is only that word
+        odd = new if THRICE.search(" ".join(new)) else {t for t in new if len(t) > LONG or not (w := t.rstrip(ENDS)).isalpha() or w in self.weights or w[: HEADS[0]] in self.begin}
+        if len(new) <= CACHE:
+            none.update(new - odd)
+        for token in odd:
             got = known.get(token)
             if got is None:
-                got = self.hits(token_words(token, self.chars))
-                if len(known) >= CACHE:
-                    known.clear()
-                if len(token) <= 64:
-                    known[token] = got
-            if got:
-                found.update(got)
-        if self.chars is not None:
-            for m in SPREAD.finditer(low):
-                found.update(self.hits(restored(m[0], self.chars).split()))
+                got = self.hits(self.read(*token_parts(token)))
+                if len(none) + len(known) < CACHE and len(token) <= LONG:
+                    if got:
+                        known[token] = got
+                    else:
+                        none.add(token)
+            found.update(got)
+        found.update(self.hits(self.read([], spread(low))))
         have = set()
         for e, n in Counter(e for e, _ in found).items():
             have.update([f"{e}{i}" for i in range(1, min(n, WORDS_OF_HEAD) + 1)] if e[-1] == "*" else [e])
@@ -309,9 +390,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def had(words: list[str], known: set[str], heads: set[str]) -> list[str]:
-    """Which of the known entries a text with these words has; heads: beginnings that known entries have, with their star."""
+def beginnings(heads: set[str]) -> set[str]:
+    """What a word must begin with to have one of these heads."""
+    return {h[: HEADS[0]] for h in heads}
+
+
+def had(words: list[str], known: set[str], heads: set[str], begin: set[str]) -> list[str]:
+    """Which of the known entries a text with these words has; heads: beginnings that known entries have, with their star; begin: beginnings(heads)."""
     found = [w for w in words if w in known]
+    words = [w for w in words if w[: HEADS[0]] in begin]
     for k in HEADS:
         of = Counter([h for w in words if len(w) >= k and (h := w[:k] + "*") in heads])
         found += [e for h, n in of.items() for i in range(1, min(n, WORDS_OF_HEAD) + 1) if (e := f"{h}{i}") in known]
@@ -334,45 +421,68 @@ def labelled(docs: DataFrame, usable: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """The model from all labelled documents that aren't held out.
 
-    Executors read the texts, once for the trigrams, once more to restore them
-    under these, and count the entries. The driver gets trigram counts, the
-    entries that are common and toxic enough, the toxic documents grouped by
-    which of them they have, and all documents grouped by which of the chosen
-    ones they have.
+    Executors read the texts once and take them apart; what they write has the
+    words and the disguised stretches, which are restored once the trigrams are
+    counted. The driver gets trigram counts, the entries that are common and
+    toxic enough, the toxic documents grouped by which of them they have, and
+    all documents grouped by which of the chosen ones they have.
     """
     spark = docs.sparkSession
     small_batches(spark)
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)").filter(~held_out(F.col("_id"))).distinct()
-    held = stored(labelled(docs, usable), "labelled")
+
+    def taken_apart(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader()
+        for f in frames:
+            for at in range(0, len(f), FEW):
+                part = f.iloc[at : at + FEW]
+                of = [reader.parts(t) for t in part["text"]]
+                yield pd.DataFrame({"y": part["y"].to_numpy(), "words": [" ".join(words) for words, _ in of], "stretches": ["\n".join(stretches) for _, stretches in of]})
+
+    held = stored(labelled(docs, usable).mapInPandas(tidy("toxicity", taken_apart), "y int, words string, stretches string"), "parts")
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, known = Counter(), {}
+        n: Counter = Counter()
 
         def found() -> pd.DataFrame:
             of = grams(n)
             return pd.DataFrame({"o": [o for o, _ in of], "gram": [g for _, g in of], "n": list(of.values())})
 
         for f in frames:
-            for t in f["text"]:
-                n.update(words_of(t, None, known))
+            for words in f["words"]:
+                n.update(words.split())
                 if len(n) >= COUNTED:
                     yield found()
                     n.clear()
         if n:
             yield found()
 
-    counts = held.select("text").mapInPandas(tidy("toxicity", counted), "o int, gram string, n long").groupBy("o", "gram").agg(F.sum("n").alias("n"))
+    counts = held.select("words").mapInPandas(tidy("toxicity", counted), "o int, gram string, n long").groupBy("o", "gram").agg(F.sum("n").alias("n"))
     chars = CharModel(Counter({(r["o"], r["gram"]): r["n"] for r in counts.collect()}))
     model = spark.sparkContext.broadcast(chars)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list[str]] = {}
+
+        def whole(words: str, stretches: str) -> str:
+            out = set(words.split())
+            for stretch in stretches.split("\n"):
+                got = known.get(stretch)
+                if got is None:
+                    got = restored(stretch, model.value).split()
+                    if len(known) >= CACHE:
+                        known.clear()
+                    if len(stretch) <= LONG:
+                        known[stretch] = got
+                out.update(got)
+            return " ".join(out)
+
         for f in frames:
             for at in range(0, len(f), FEW):
                 part = f.iloc[at : at + FEW]
-                yield pd.DataFrame({"y": part["y"], "words": [sorted(words_of(t, model.value, known)) for t in part["text"]]})
+                yield pd.DataFrame({"y": part["y"].to_numpy(), "words": [whole(w, s) if s else w for w, s in zip(part["words"], part["stretches"], strict=True)]})
 
-    read_ = stored(held.mapInPandas(tidy("toxicity", read), "y int, words array<string>"), "words")
+    read_ = stored(held.mapInPandas(tidy("toxicity", read), "y int, words string"), "words")
     model.destroy()
     discard(held)
     size = {r["y"]: r["n"] for r in read_.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -383,17 +493,18 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     least = least_docs(toxic, clean)
 
     def tallied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sides = Counter(), Counter()
+        sides = [Tally(), Tally()]
 
         def found() -> Iterator[pd.DataFrame]:
             for y, side in enumerate(sides):
-                if side:
-                    yield pd.DataFrame({"entry": list(side), "there": [y * n for n in side.values()], "against": [(1 - y) * n for n in side.values()]})
-                side.clear()
+                sides[y] = Tally()
+                for names, n in side.counts():
+                    if names:
+                        yield pd.DataFrame({"entry": names, "there": [y * k for k in n], "against": [(1 - y) * k for k in n]})
 
         for f in frames:
             for y, words in zip(f["y"], f["words"], strict=True):
-                sides[y].update(entries(set(words)))
+                sides[y].add(words.split())
                 if len(sides[0]) + len(sides[1]) >= COUNTED:
                     yield from found()
         yield from found()
@@ -419,12 +530,13 @@ def _groups(texts: DataFrame, known: list[str]) -> list[tuple[list[str], int, in
     """Which of the known entries texts (y, words) have, y, and how many texts that are."""
     at = {e: i for i, e in enumerate(sorted(known))}
     names = sorted(known)
-    held = texts.sparkSession.sparkContext.broadcast((set(known), {e[:-1] for e in known if e[-2:-1] == "*"}, at))
+    heads = {e[:-1] for e in known if e[-2:-1] == "*"}
+    held = texts.sparkSession.sparkContext.broadcast((set(known), heads, beginnings(heads), at))
 
     def which(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entries_, heads, place = held.value
+        entries_, heads, begin, place = held.value
         for f in frames:
-            yield pd.DataFrame({"y": f["y"], "have": [[place[e] for e in had(words, entries_, heads)] for words in f["words"]]})
+            yield pd.DataFrame({"y": f["y"], "have": [[place[e] for e in had(words.split(), entries_, heads, begin)] for words in f["words"]]})
 
     groups = texts.mapInPandas(tidy("toxicity", which), "y int, have array<int>").groupBy("y", "have").agg(F.count(F.lit(1)).alias("n"))
     out = sorted((list(r["have"]), r["y"], r["n"]) for r in groups.collect())

@@ -363,6 +363,68 @@ def test_disguise_patterns_take_linear_time():
     assert time.monotonic() - start < 60
 
 
+def test_plain_tokens_need_no_patterns(monkeypatch):
+    """Only tokens that can be disguised are matched, in training and in scores; the others are known at once."""
+    from collections import Counter
+
+    matched = []
+
+    class Noted:
+        def finditer(self, token):
+            matched.append(token)
+            return iter(())
+
+    monkeypatch.setattr(toxicity, "DISGUISED", Noted())
+    model = toxicity.ToxicModel(toxicity.CharModel(toxicity.grams(Counter({"abc": 1}))), {"bad": 2.0, "wor*1": 1.0, "wors*2": 1.0}, -1.0)
+    text = "One plain, text! of words: (here) worse, bad. l33t aaab " + " ".join("abcdefghij"[i % 10] + "klmnopqrst"[i // 10] + "." for i in range(100))
+    model.score(text), toxicity.words_of(text, None)
+    assert set(matched) <= {"(here)", "l33t", "aaab"}
+
+
+def test_texts_are_read_once_to_learn(spark, monkeypatch):
+    """What training writes on the way has words and stretches, no texts that would be taken apart again."""
+    docs = spark.createDataFrame([(i, f"plain words {'scum' if i % 3 else 'here'} l33t") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(30)], "doc_id long, toxic int")
+    wrote, stored = [], toxicity.stored
+
+    def noted(df, name="t"):
+        wrote.append(df.columns)
+        return stored(df, name)
+
+    monkeypatch.setattr(toxicity, "stored", noted)
+    assert toxicity.train(docs, labels).score("scum") > 0
+    assert wrote and not any("text" in columns for columns in wrote)
+
+
+def test_short_ways_give_what_the_patterns_and_definitions_give():
+    from collections import Counter
+
+    rng = random.Random(8)
+    for _ in range(20_000):
+        text = "".join(rng.choices("aab1é@$!( .-_*\n²€º", k=rng.randint(1, 14)))
+        assert toxicity.spread(text) == [m[0] for m in toxicity.SPREAD.finditer(text)], text
+        token = "".join(rng.choices("aaabbé1345@$!(.-_*:,'#²½ª\u0308٣", k=rng.randint(1, 9)))
+        assert toxicity.token_parts(token) == (toxicity.WORDS.findall(token), [m[0] for m in toxicity.DISGUISED.finditer(token)]), token
+    made = [{"".join(rng.choices("ab", k=rng.randint(1, 10))) for _ in range(40)} for _ in range(50)]
+    tally, want = toxicity.Tally(), Counter()
+    for words in made:
+        tally.add(list(words))
+        want.update(toxicity.entries(words))
+    assert {e: n for names, counts in tally.counts() for e, n in zip(names, counts, strict=True)} == want
+    words, want = Counter({w: i for i, w in enumerate(made[0], 1)}), Counter()
+    for w, k in words.items():
+        for i in range(len(w) + 1):
+            for order in range(3):
+                want[order, f"  {w} "[i + 2 - order : i + 3]] += k
+    assert toxicity.grams(words) == want
+    weights = {"aba": 1.5, "abab*1": 0.5, "abab*3": 0.75, "babab*2": 0.25}
+    model = toxicity.ToxicModel(toxicity.CharModel(toxicity.grams(words)), weights, -1.0)
+    for some in made * 2:
+        text = " ".join(w + rng.choice(["", ",", "1", " a b a "]) for w in some)
+        z = -1.0 + sum(weights.get(e, 0) for e in toxicity.entries(toxicity.words_of(text, model.chars)))
+        assert model.score(text) == pytest.approx(1 / (1 + 2.718281828459045**-z), abs=1e-6)
+
+
 def test_one_rule_for_lexicon_entries_at_every_size():
     for n in (50, 399, 400, 1200):
         toxic, clean = [{"bad", f"t{i}"} for i in range(n)], [{f"c{i}"} for i in range(9 * n)]
