@@ -123,7 +123,7 @@ def _counts(most: int | None):
 def diameter(links: DataFrame, sources: DataFrame, nodes: int, most: int | None = None) -> DataFrame:
     """diameter, unreached: over all ordered pairs of nodes, given as sources too; only how many pairs lie so many hops apart is made."""
     found = _by_block(links, sources, None, "d long, n long", _counts(most)).filter("n > 0").unionByName(_unknown(sources).select(F.lit(0).cast("long").alias("d"), F.lit(1).cast("long").alias("n")))
-    return found.agg(F.max("d").alias("diameter"), (F.lit(nodes) * F.lit(nodes) - F.coalesce(F.sum("n"), F.lit(0))).cast("long").alias("unreached"))
+    return found.agg(F.max("d").alias("diameter"), (F.lit(nodes * nodes).cast("long") - F.coalesce(F.sum("n"), F.lit(0))).alias("unreached"))
 
 
 def _stars(edges: DataFrame) -> DataFrame:

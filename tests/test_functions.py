@@ -114,6 +114,12 @@ def test_hops_against_breadth_first(spark, most):
     assert tuple(graph.diameter(table, src, 154, most).first()) == (max(k for *_, k in want), 154 * 154 - len(want))
 
 
+def test_diameter_of_more_pairs_than_an_int_counts(spark):
+    links = spark.createDataFrame([(1, 2), (2, 1)], "a long, b long")
+    for nodes in (46_341, 60_000):  # whose squares are beyond 2^31
+        assert tuple(graph.diameter(links, spark.createDataFrame([(1,), (2,), (3,)], "src long"), nodes).first()) == (1, nodes * nodes - 5)
+
+
 def test_hop_queries_at_odd_suppliers(spark, tmp_path):
     """Stations that are no customers, and ways of more than 30 hops, as in the SQL."""
     import duckdb
