@@ -27,9 +27,9 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
+def cut(df: DataFrame, **options: str) -> DataFrame:
+    """df written to the shared folder, with options of the writer, and read again."""
     spark = df.sparkSession
     path = scratch(spark) + "/table"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

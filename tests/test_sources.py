@@ -73,6 +73,42 @@ def test_loss_tables_in_parts(spark, monkeypatch):
         assert len(back) == len(names) ** 2 and {k: v for k, v in back.items() if v[0] < np.inf} == want
 
 
+def test_computed_loss_tables(spark, monkeypatch):
+    """Tables computed by strips are the file that encode() gives, a name listed twice included; their cells come back from pieces of rows."""
+    for what, cells in (("COMPUTED", 16), ("PIECE", 4), ("TASK_STRIPS", 2)):
+        monkeypatch.setattr(loss_table, what, cells)
+    keys = {"868": [0, 1, 2, 3, 4, 5, 5, 10, 11], "433": [7]}
+    values = lambda i, j: (np.where(i == j, np.inf, i * 10.0 + j), (i + j) * 10 + 20, i * 5900 + j)
+    parts = loss_table.computed_parts(spark.createDataFrame([(band, f"n{k}", k) for band, x in keys.items() for k in x], "band string, name string, key long"), values).cache()
+    held, back = parts.collect(), loss_table.decoded_parts(parts).collect()
+    assert max(len(x) for r in held if not r.head for x in r.content) <= 4 * 16 and len(held) > 10
+    for band, x in keys.items():
+        x = np.array(sorted(x, key=lambda k: f"n{k}"))
+        whole = b"".join(bytes(c) for _, c in sorted((at, c) for r in held if r.band == band for at, c in zip(r.at, r.content)))
+        loss, flags, samples = values(x[:, None], x)
+        assert whole == loss_table.encode({"band": band, "nodes": [f"n{k}" for k in x]}, loss, flags, samples)
+        want = [(f"n{a}", f"n{b}", loss[i, j], flags[i, j], samples[i, j]) for i, a in enumerate(x) for j, b in enumerate(x)]
+        assert sorted((r.a, r.b, r.loss, r.flags, r.samples) for r in back if r.band == band) == sorted(want)
+
+
+def test_loss_table_round_trip_at_odd_suppliers(spark, tmp_path, monkeypatch):
+    """Suppliers listed twice, without a key or below zero, as in the SQL; no pair becomes a row before the table is decoded."""
+    import duckdb
+
+    from larkspan import registry
+    from larkspan.operators import pairs
+
+    monkeypatch.setattr(pairs, "every", None)
+    for keys in ("0), (1), (1), (10), (2), (NULL), (70000000000", "0), (-1), (-61), (5), (5", "3", None):
+        con = duckdb.connect()
+        con.sql("CREATE TABLE supplier (s_suppkey BIGINT)")
+        if keys:
+            con.sql(f"INSERT INTO supplier VALUES ({keys})")
+        con.sql(f"COPY supplier TO '{tmp_path}/supplier.parquet'")
+        got = registry.queries()["loss_table_round_trip"](spark, str(tmp_path)).collect()
+        assert sorted(map(tuple, got)) == sorted(con.sql(registry.oracle_sql()["loss_table_round_trip"]).fetchall()), keys
+
+
 def test_sites_and_nodes(spark, tmp_path):
     sites = write(tmp_path / "sites.csv", "# lat, lon, tx_power_dbm, surface_masl\n52.5, 13.4, 30, 40\n, 13.5, 1, 1\n52.6, 13.6, , 41\n")
     assert [(r.id, r.name, r.max_dbm) for r in feeds.read_sites(spark, sites).orderBy("id").collect()] == [(1, "site-001", 27.0), (2, "site-003", None)]
